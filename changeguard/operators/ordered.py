@@ -123,9 +123,9 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     return int(row["m"] or 0), int(row["n"] or 0)
 
 
-def choose_splits(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> list[Splits]:
+def choose_splits(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int | None = None) -> list[Splits]:
     """Empty if every group is small enough for one task."""
-    limit = group_row_limit(df.sparkSession)
+    limit = limit or group_row_limit(df.sparkSession)
     biggest, total = largest_group(df, by)
     if by and biggest <= limit:
         return []
