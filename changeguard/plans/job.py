@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeguard.operators.backfill import fill_pending
+from changeguard.operators.bounded import merge_groups
 from changeguard.operators.lifecycle import current_state
 from changeguard.operators.parity import drift_scan, parity_gate, sampled_parity
 from changeguard.operators.registry import service_readiness
@@ -100,7 +101,7 @@ class ChangeJob:
         for column, expr in self.plan.exprs.items():
             report = sampled_parity(self._filled(), column, expr, self.key, self.plan.sample_rate)
             nulls = self._filled().agg(F.count_if(F.col(column).isNull()).alias("nulls"))
-            row = parity_gate(report.join(nulls, F.lit(True)), self.plan.min_parity).first()
+            row = parity_gate(merge_groups([], report, nulls), self.plan.min_parity).first()
             if not row["passed"]:
                 raise ChangeError(f"verify failed for {column}: {row['reason']}")
             found[column] = row["parity"]
