@@ -93,6 +93,12 @@ SHARED: dict[str, tuple[str, tuple[str, ...]]] = {
                CASE WHEN o_orderkey % 4 = 0 THEN 'kept' END AS band,
                CASE WHEN o_orderkey % 7 = 0 THEN 'pending' ELSE 'processed' END AS status
         FROM {orders}""", ("orders",)),
+    "backfill_fresh": ("""
+        SELECT o_orderkey AS id, o_totalprice AS amount,
+               CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'large' END END AS tier,
+               CASE WHEN o_orderkey % 7 = 0 THEN 'pending' ELSE 'processed' END AS status,
+               CASE WHEN o_orderkey % 4 = 0 THEN concat('b', cast(o_orderkey % 10 AS string)) END AS band
+        FROM {orders}""", ("orders",)),
     "orders_dst": ("""
         SELECT o_orderkey, o_custkey,
                CASE WHEN o_orderkey % 103 = 4 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,

@@ -78,8 +78,8 @@ def _canary_sql(max_p99, max_err, fail):
           coalesce(p99_ms > {max_p99}, false) OR coalesce(errors * 100.0::double / nullif(n, 0) > {max_err}, false) AS breach FROM o),
       s AS (SELECT *, coalesce(bool_or(breach) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM g),
       f AS (SELECT *, CASE WHEN stopped THEN 'not_run' WHEN n = 0 THEN 'no_data' WHEN breach THEN 'breach' ELSE 'healthy' END AS outcome FROM s)
-      SELECT step, step AS traffic_pct, CASE WHEN NOT stopped THEN n END AS n,
-        CASE WHEN NOT stopped AND n > 0 THEN errors END AS errors, CASE WHEN NOT stopped THEN p99_ms END AS p99_ms,
+      SELECT step, step AS traffic_pct, CASE WHEN NOT stopped THEN n END::double AS n,
+        CASE WHEN NOT stopped AND n > 0 THEN errors END::double AS errors, CASE WHEN NOT stopped THEN p99_ms END AS p99_ms,
         CASE WHEN NOT stopped THEN round(err_pct, 6) END AS err_pct, CASE WHEN NOT stopped THEN breach END AS slo_breached,
         CASE WHEN stopped THEN NULL WHEN p99_ms > {max_p99} THEN 'p99 ' || round_even(p99_ms, 0)::bigint || 'ms > {max_p99}ms'
           WHEN err_pct > {max_err} THEN printf('error-rate %.2f%% > {max_err:.2f}%%', err_pct) END AS reason, outcome,
@@ -87,16 +87,21 @@ def _canary_sql(max_p99, max_err, fail):
       FROM f"""
 
 
+def _counted(run):
+    """Counts of steps that did not run are NULL; as doubles both engines show them alike."""
+    return rounded(run.withColumns({c: F.col(c).cast("double") for c in ("n", "errors")}))
+
+
 @check(_canary_sql(300, 30.0, "rollback"), "requests")
 def canary_run(i):
     limits = Slo(max_p99_latency_ms=300, max_error_rate_pct=30.0)
-    return rounded(slo.canary_run(i.requests, "client_id", "duration_ms", is_error(), limits, salt="v1"))
+    return _counted(slo.canary_run(i.requests, "client_id", "duration_ms", is_error(), limits, salt="v1"))
 
 
 @check(_canary_sql(100, 30.0, "pause"), "requests")
 def canary_run_breach(i):
     limits = Slo(max_p99_latency_ms=100, max_error_rate_pct=30.0)
-    return rounded(slo.canary_run(i.requests, "client_id", "duration_ms", is_error(), limits, on_failure="pause", salt="v1"))
+    return _counted(slo.canary_run(i.requests, "client_id", "duration_ms", is_error(), limits, on_failure="pause", salt="v1"))
 
 
 @check("""SELECT id, max_lag_ms, max_lag_ms > 100 AS start_blocked,
@@ -148,10 +153,11 @@ def health_score(i):
     return rounded(health.score_health(i.health_samples).select("id", "score"))
 
 
-@check("""SELECT target, id, round(avg(score) OVER w, 5) AS mean_score, round(min(score) OVER w, 5) AS min_score, count(*) OVER w AS sample_count
+@check("""SELECT target, id, round(sum(score) OVER w, 6) AS score_sum, round(min(score) OVER w, 6) AS min_score, count(*) OVER w AS sample_count
     FROM scored WINDOW w AS (PARTITION BY target ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""", "health_samples scored")
 def rolling_health(i):
-    return rounded(health.rolling_health(i.health_samples).select("target", "id", "mean_score", "min_score", "sample_count"), 5)
+    total = (F.col("mean_score") * F.col("sample_count")).alias("score_sum")
+    return rounded(health.rolling_health(i.health_samples).select("target", "id", total, "min_score", "sample_count"))
 
 
 @check("""SELECT pid, query, query_start, round((epoch_us((SELECT max(query_start) FROM activity)) - epoch_us(query_start)) / 1e6::double, 6) AS age_s
@@ -164,21 +170,21 @@ def long_running(i):
 SAME_LOCK = " AND ".join(f"b.{c} IS NOT DISTINCT FROM w.{c}" for c in health.LOCK_OBJECT)
 
 
-@check(f"""SELECT x.pid AS blocked_pid, x.blocking_requests, x.blocking_pid, x.locktype, x.relation, p.query AS blocked_query, q.query AS blocking_query FROM
+@check(f"""SELECT x.pid AS blocked_pid, x.blocking_requests, x.blocking_pid, x.locktype, x.relation::varchar AS relation, p.query AS blocked_query, q.query AS blocking_query FROM
     (SELECT w.rid, w.pid, w.locktype, w.relation, count(*) AS blocking_requests,
         CASE WHEN w.pid = least(min(b.pid), w.pid) THEN max(b.pid) ELSE min(b.pid) END AS blocking_pid
      FROM (SELECT *, row_number() OVER () AS rid FROM locks) w JOIN locks b ON {SAME_LOCK} AND b.pid <> w.pid
      WHERE NOT w.granted GROUP BY w.rid, w.pid, w.locktype, w.relation) x
     JOIN lock_activity p ON p.pid = x.pid JOIN lock_activity q ON q.pid = x.blocking_pid""", "locks lock_activity")
 def lock_blocking(i):
-    return health.lock_blocking(i.locks, i.lock_activity)
+    return health.lock_blocking(i.locks, i.lock_activity).withColumn("relation", F.col("relation").cast("string"))
 
 
-@check(f"""SELECT w.pid AS blocked_pid, b.pid AS blocking_pid, w.locktype, w.relation, p.query AS blocked_query, q.query AS blocking_query
+@check(f"""SELECT w.pid AS blocked_pid, b.pid AS blocking_pid, w.locktype, w.relation::varchar AS relation, p.query AS blocked_query, q.query AS blocking_query
     FROM locks w JOIN locks b ON {SAME_LOCK} AND b.pid <> w.pid JOIN lock_activity p ON p.pid = w.pid JOIN lock_activity q ON q.pid = b.pid
     WHERE NOT w.granted AND w.pid = 8""", "locks lock_activity")
 def blocking_pairs_of_one(i):
-    return health.blocking_pairs(i.locks, i.lock_activity, 8)
+    return health.blocking_pairs(i.locks, i.lock_activity, 8).withColumn("relation", F.col("relation").cast("string"))
 
 
 PACE = ThrottleConfig(trip_below=0.3)

@@ -1 +1,185 @@
-"""Queries."""
+"""Stream queries: run over everything that is there, then read back.
+
+Windows that the watermark has not closed at the end are not emitted, so the SQL
+cuts there too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from changeguard.operators.registry import registry_from_heartbeats
+from changeguard.plans.job import RequestLog, run_change
+from changeguard.plans.plan import ColumnSpec, Plan, Slo
+from changeguard.session import scratch_dir
+from changeguard.sources.logs import stream_log
+from changeguard.streaming import monitors, stateful
+from changeguard.streaming.backfill import backfill_stream, run_available
+from suite.base import check, rounded
+from suite.objectives import PACE, _with_walk
+from suite.tables import BAND, TIER
+
+
+def events_stream(i):
+    return stream_log(i.spark, i.dir, i.table("events").schema, glob="events.parquet")
+
+
+def finished(i, stream, name, mode="append"):
+    return run_available(stream, scratch_dir(i.spark, name), scratch_dir(i.spark, f"{name}-checkpoint"), mode)
+
+
+LAST = "(SELECT max(ts) FROM events)"
+
+
+@check(f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n, errors, p99_ms, round(err_pct, 6) AS err_pct, p99_ms > 250 OR err_pct > 22 AS slo_breached,
+    CASE WHEN p99_ms > 250 THEN 'p99 ' || round_even(p99_ms, 0)::bigint || 'ms > 250ms' WHEN err_pct > 22 THEN printf('error-rate %.2f%% > 22.00%%', err_pct) END AS reason FROM
+    (SELECT date_trunc('day', ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_disc(value, 0.99) AS p99_ms,
+      count(*) FILTER (WHERE event_type = 'error') * 100.0::double / count(*) AS err_pct FROM events GROUP BY 1)
+    WHERE window_start + INTERVAL 1 DAY <= {LAST} - INTERVAL 10 MINUTE""")
+def slo_stream(i):
+    limits = Slo(max_p99_latency_ms=250, max_error_rate_pct=22.0)
+    s = monitors.slo_stream(events_stream(i), "ts", "value", F.col("event_type") == "error", limits, "1 day", "10 minutes")
+    return rounded(finished(i, s, "slo"))
+
+
+@check(f"""SELECT window_start, window_start + INTERVAL 2 DAY AS window_end, event_type, count(*) AS increase, round(count(*) / 172800.0::double, 6) AS rate
+    FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS window_start FROM events)
+    WHERE window_start + INTERVAL 2 DAY <= {LAST} - INTERVAL 10 MINUTE GROUP BY window_start, event_type""")
+def rate_stream(i):
+    s = monitors.rate_stream(events_stream(i), "ts", window="2 days", slide="1 day", delay="10 minutes", by=["event_type"])
+    return rounded(finished(i, s, "rate"))
+
+
+@check(f"""SELECT user_id, min(ts) AS first_beat, max(ts) + INTERVAL 10 HOUR AS silent_at, count(*) AS beats FROM
+    (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 10 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run
+     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events))
+    GROUP BY user_id, run HAVING max(ts) + INTERVAL 10 HOUR <= {LAST} - INTERVAL 10 MINUTE""")
+def heartbeat_sessions(i):
+    return finished(i, monitors.heartbeat_sessions(events_stream(i), "ts", ["user_id"], "10 hours", "10 minutes"), "sessions")
+
+
+@check(f"""SELECT user_id, max(ts) AS last_heartbeat, count(*) AS beats FROM events GROUP BY user_id
+    HAVING epoch_ms(max(ts)) + 36000000 < epoch_ms({LAST})""")
+def liveness_stream(i):
+    return finished(i, stateful.liveness_stream(events_stream(i), "ts", "user_id", 36_000), "liveness")
+
+
+@check(_with_walk("SELECT target, id, b::int AS batch_size, p::int AS throttle_ms, o AS tripped, trips::int AS trip_count FROM walk WHERE rn > 0"),
+       "health_samples scored")
+def throttle_stream(i):
+    samples = events_stream(i).selectExpr(
+        "user_id % 10 AS target", "event_id AS id", "ts", "100 AS max_conns",
+        "CASE WHEN hour(ts) < 4 THEN 100 ELSE event_id % 60 END AS active_conns",
+        "CASE WHEN hour(ts) < 4 THEN 5000.0D ELSE value END AS max_lag_ms",
+        "CASE WHEN hour(ts) < 4 THEN 20 ELSE event_id % 4 END AS waiting_queries",
+        "CASE WHEN hour(ts) < 4 THEN 2000000 ELSE (event_id * 137) % 300000 END AS dead_tuples")
+    out = finished(i, stateful.throttle_stream(samples, PACE), "throttle")
+    return out.select("target", "id", "batch_size", "throttle_ms", "tripped", "trip_count")
+
+
+@check("""WITH line AS (SELECT user_id AS client_id, event_id AS request_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (SELECT client_id, request_id, us, rn, 2 * 28800000000 AS level, true AS allowed FROM line WHERE rn = 1
+      UNION ALL SELECT client_id, request_id, us, rn, CASE WHEN full_now >= 28800000000 THEN full_now - 28800000000 ELSE full_now END, full_now >= 28800000000
+      FROM (SELECT l.*, least(3 * 28800000000, w.level + (l.us - w.us)) AS full_now FROM walk w JOIN line l ON l.client_id = w.client_id AND l.rn = w.rn + 1))
+    SELECT client_id, request_id, allowed FROM walk""", "requests")
+def rate_limit_stream(i):
+    log = events_stream(i).selectExpr("user_id AS client_id", "event_id AS request_id", "ts")
+    out = finished(i, stateful.rate_limit_stream(log, tokens=1, seconds=28_800, burst=3, idle_seconds=86_400), "limit")
+    return out.select("client_id", "request_id", "allowed")
+
+
+@check("""WITH runs AS (SELECT *, sum(CASE WHEN to_state IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY migration_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, lag(to_state) OVER (PARTITION BY migration_id ORDER BY id) AS p FROM state_log)),
+    last AS (SELECT migration_id, arg_max(to_state, id) AS state, arg_max(first_at, id) AS since FROM
+      (SELECT *, min(created_at) OVER (PARTITION BY migration_id, run) AS first_at FROM runs) GROUP BY migration_id)
+    SELECT migration_id, state, since, false AS stuck FROM last
+    UNION ALL SELECT migration_id, state, since, true FROM last WHERE state NOT IN ('Done', 'RolledBack', 'Pending')
+      AND epoch_ms(since) + 600000 < (SELECT epoch_ms(max(created_at)) FROM state_log)""", "state_log")
+def state_stream(i):
+    path = scratch_dir(i.spark, "state-log")
+    log = i.state_log
+    log.write.parquet(path)
+    return finished(i, stateful.state_stream(stream_log(i.spark, path, log.schema)), "state")
+
+
+FLAG = "CASE WHEN value < 50 THEN 'low' ELSE 'high' END"
+STORED = f"CASE WHEN event_id % 97 = 5 THEN NULL WHEN event_id % 89 = 7 THEN 'wrong' ELSE {FLAG} END"
+
+
+@check(f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, total, nulls, drifted, round((total - drifted)::double / total, 6) AS parity, (total - drifted)::double / total < 0.98 AS low_parity FROM
+    (SELECT date_trunc('day', ts) AS window_start, count(*) AS total, count(*) FILTER (WHERE stored IS NULL) AS nulls, count(*) FILTER (WHERE stored IS DISTINCT FROM flag) AS drifted
+     FROM (SELECT ts, {STORED} AS stored, {FLAG} AS flag FROM events) GROUP BY 1) WHERE window_start + INTERVAL 1 DAY <= {LAST} - INTERVAL 10 MINUTE""")
+def drift_stream(i):
+    s = events_stream(i).withColumn("stored", F.expr(STORED))
+    return rounded(finished(i, monitors.drift_stream(s, "ts", "stored", FLAG, "1 day", "10 minutes", 0.98), "drift"))
+
+
+@check("SELECT DISTINCT user_id, event_type FROM events")
+def dedup_stream(i):
+    return finished(i, monitors.dedup_stream(events_stream(i), "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup")
+
+
+def _target(df):
+    return df.selectExpr(
+        "o_orderkey AS id", "o_totalprice AS amount", "CASE WHEN o_orderkey % 3 = 0 THEN 'preset' END AS tier",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'kept' END AS band")
+
+
+def _backfill(i, folder):
+    orders = i.table("orders")
+    src, out = scratch_dir(i.spark, "orders"), scratch_dir(i.spark, folder)
+    orders.repartition(4, "o_orderkey").write.parquet(src)
+    log = backfill_stream(
+        i.spark, src, out, scratch_dir(i.spark, f"{folder}-checkpoint"), {"tier": TIER, "band": BAND}, orders.schema,
+        files_per_trigger=2, prepare=_target)
+    return out, log
+
+
+@check(f"""SELECT id, CASE WHEN tier IS NULL THEN {TIER} ELSE tier END AS tier,
+           CASE WHEN band IS NULL THEN {BAND} ELSE band END AS band FROM backfill_target""", "backfill_target")
+def backfill_stream_table(i):
+    out, _ = _backfill(i, "filled")
+    return i.spark.read.parquet(f"{out}/table").select("id", "tier", "band")
+
+
+@check("""SELECT count(*) AS rows, count(*) FILTER (WHERE tier IS NULL OR band IS NULL) AS filled, 0::bigint AS still_null FROM backfill_target""", "backfill_target")
+def backfill_stream_progress(i):
+    _, log = _backfill(i, "progress")
+    return log.agg(*[F.sum(c).alias(c) for c in ("rows", "filled", "still_null")])
+
+
+PLAN = dict(id="size-tier", version=1, table="backfill_target", drop=("status",),
+            add=(ColumnSpec("tier", "string", TIER), ColumnSpec("band", "string", BAND)))
+
+
+def _requests(i):
+    return RequestLog(i.requests, "client_id", "duration_ms", F.col("status_code") >= 500)
+
+
+@check(f"""SELECT id, amount, CASE WHEN tier IS NULL THEN {TIER} ELSE tier END AS tier,
+           CASE WHEN band IS NULL THEN {BAND} ELSE band END AS band FROM backfill_fresh""", "backfill_fresh")
+def change_job_done(i):
+    plan = Plan(**PLAN, slo=Slo(max_p99_latency_ms=400, max_error_rate_pct=40.0), steps=(25, 100))
+    registry = registry_from_heartbeats(i.heartbeats).withColumn("compatible", F.lit(True))
+    out = run_change(i.backfill_fresh, plan, _requests(i), scratch_dir(i.spark, "change"), registry=registry)
+    return out.table
+
+
+@check("SELECT id, amount, status FROM backfill_fresh", "backfill_fresh")
+def change_job_rolled_back(i):
+    plan = Plan(**PLAN, slo=Slo(max_p99_latency_ms=50), steps=(25, 100))
+    out = run_change(i.backfill_fresh, plan, _requests(i), scratch_dir(i.spark, "change"))
+    return out.table
+
+
+@check("""SELECT * FROM (SELECT 1::bigint AS id, 'Pending' AS from_state, 'Expanding' AS to_state, count(*) AS target_rows FROM backfill_fresh
+    UNION ALL SELECT 2, 'Expanding', 'Backfilling', count(*) FROM backfill_fresh UNION ALL SELECT 3, 'Backfilling', 'Verifying', count(*) FROM backfill_fresh
+    UNION ALL SELECT 4, 'Verifying', 'Canary', count(*) FROM backfill_fresh UNION ALL SELECT 5, 'Canary', 'Cutover', count(*) FROM backfill_fresh
+    UNION ALL SELECT 6, 'Cutover', 'RollingBack', count(*) FROM backfill_fresh UNION ALL SELECT 7, 'RollingBack', 'RolledBack', count(*) FROM backfill_fresh)""", "backfill_fresh")
+def change_job_cutover_blocked(i):
+    """Some services are not ready, so the cutover is refused and undone."""
+    plan = Plan(**PLAN, slo=Slo(max_p99_latency_ms=400), steps=(25, 100))
+    target = i.backfill_fresh
+    out = run_change(target, plan, _requests(i), scratch_dir(i.spark, "change"), registry=registry_from_heartbeats(i.heartbeats))
+    rows = target.count()
+    return out.events.select("id", "from_state", "to_state", F.lit(rows).cast("long").alias("target_rows"))

@@ -15,7 +15,7 @@ from suite.base import SIZE_CLASS, check, rounded
 
 TIER = "CASE WHEN amount < 100000 THEN 'small' WHEN amount < 300000 THEN 'medium' ELSE 'large' END"
 BAND = "concat('b', cast(id % 10 AS string))"
-ADDED = [ColumnSpec("weight_g", "bigint"), ColumnSpec("weight", "int"), ColumnSpec("note", "string")]
+ADDED = [ColumnSpec("weight_g", "double"), ColumnSpec("weight", "int"), ColumnSpec("note", "string")]
 
 
 @check("SELECT p_brand, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY p_brand")
@@ -61,7 +61,7 @@ def fill_pending_rows(i):
     return bf.fill_pending(i.backfill_target, {"tier": TIER, "band": BAND}).select("id", "tier", "band")
 
 
-@check("""SELECT id, weight, brand, legacy_shipping, shipping_class, cast(NULL AS bigint) AS weight_g,
+@check("""SELECT id, weight, brand, legacy_shipping, shipping_class, cast(NULL AS double) AS weight_g,
           cast(NULL AS varchar) AS note FROM drift_target""", "drift_target")
 def expand_columns(i):
     return schema_change.expand(i.drift_target, ADDED)
@@ -292,7 +292,7 @@ def row_difference(i):
 
 @check("""SELECT 'shipping_class' AS column_name, 'dropped' AS change, 'string' AS old_type, NULL AS new_type, count(shipping_class) AS affected_values FROM drift_target
     UNION ALL SELECT 'weight', 'retyped', 'int', 'bigint', count(weight) FROM drift_target
-    UNION ALL SELECT 'note', 'added', NULL, 'string', 0 FROM drift_target""", "drift_target")
+    UNION ALL SELECT 'note', 'added', NULL, 'string', 0""", "drift_target")
 def schema_difference(i):
     a = i.drift_target
     b = schema_change.expand(a.drop("shipping_class").withColumn("weight", F.col("weight").cast("bigint")), [ColumnSpec("note")])
