@@ -43,9 +43,10 @@ def order_statistics(
     by = list(by)
     group = by + ([members] if members else [])
     rows = df.select(*group, as_column(value).alias("_v")).filter(F.col("_v").isNotNull())
-    total = rows.count()
-    n_blocks = min(MAX_BLOCKS, max(8, math.ceil(total / group_row_limit(df.sparkSession)) * 2))
-    splits = find_splits(rows, ["_v"], n_blocks, total)
+    total, limit = rows.count(), group_row_limit(df.sparkSession)
+    if total <= limit:
+        return _ranked(rows, group, members, ranks)
+    splits = find_splits(rows, ["_v"], min(MAX_BLOCKS, math.ceil(total / limit) * 2), total)
     rows = rows.withColumn("_blk", block_column(splits))
 
     counts = rows.groupBy(*group, "_blk").agg(F.count("*").alias("_c"))
@@ -59,9 +60,7 @@ def order_statistics(
         F.sum("_c").over(upto).alias("_cum"),
         F.sum("_c").over(Window.partitionBy(*group)).alias("n"),
     )
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("idx")) for name, rank in ranks.items()
-    ])
+    wanted = _wanted(ranks)
     hits = sized.select(*group, "_blk", "n", (F.col("_cum") - F.col("_c")).alias("_off"), F.filter(
         wanted, lambda r: (r["idx"] < F.col("_cum")) & (r["idx"] >= F.col("_cum") - F.col("_c"))
     ).alias("_want")).filter(F.size("_want") > 0)
@@ -85,10 +84,20 @@ def order_statistics(
     )
     inside = Window.partitionBy(*group, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = found.withColumn("_cum", F.col("_off") + F.sum("_c").over(inside))
+    return _pick(ranked, group, ranks)
+
+
+def _wanted(ranks: Mapping[str, Rank]) -> Column:
+    return F.array(*[
+        F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("idx")) for name, rank in ranks.items()
+    ])
+
+
+def _pick(ranked: DataFrame, group: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
+    """The values whose running count ``_cum`` passes a wanted index."""
     won = F.filter("_want", lambda r: (r["idx"] < F.col("_cum")) & (r["idx"] >= F.col("_cum") - F.col("_c")))
-    won_names = F.transform(won, lambda r: r["name"])
     return (
-        ranked.withColumn("_won", won_names)
+        ranked.withColumn("_won", F.transform(won, lambda r: r["name"]))
         .filter(F.size("_won") > 0)
         .groupBy(*group)
         .agg(
@@ -98,6 +107,17 @@ def order_statistics(
     )
 
 
+def _ranked(rows: DataFrame, group: Sequence[str], members: str | None, ranks: Mapping[str, Rank]) -> DataFrame:
+    """All rows fit one task: count equal values and rank them per group."""
+    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+    if members:
+        counts = counts.withColumn(members, F.explode(members)).groupBy(*group, "_v").agg(F.sum("_c").alias("_c"))
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sized = counts.withColumns({"_cum": F.sum("_c").over(upto), "n": F.sum("_c").over(whole)})
+    return _pick(sized.withColumn("_want", _wanted(ranks)), group, ranks)
+
+
 def interpolated(df: DataFrame, by: Sequence[str], value: str | Column, q: float, name: str) -> DataFrame:
     """Exact interpolated percentile per group: ``by``, ``n`` and ``name``."""
     pos = lambda n: F.lit(float(q)) * (n - 1).cast("double")
