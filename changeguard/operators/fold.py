@@ -8,6 +8,7 @@ replayed from its own start state.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Sequence
 
@@ -19,11 +20,12 @@ from changeguard.functions.columns import micros
 from changeguard.functions.controllers import Bucket, Pacing
 from changeguard.operators.health import score_health
 from changeguard.operators.lifecycle import last_n
-from changeguard.operators.ordered import block_column, choose_splits
+from changeguard.operators.ordered import block_column, largest_group, splits_for
 from changeguard.plans.plan import ThrottleConfig
 from changeguard.session import group_row_limit
 
 FOLD_ROWS = 500_000
+BUCKET_ROWS = 100_000
 
 
 def ordered_fold(
@@ -38,14 +40,32 @@ def ordered_fold(
     by, order = list(by), list(order)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [columns])
     # A run is held in Python memory, so its blocks are smaller than window blocks.
-    splits = choose_splits(df, by, order, min(FOLD_ROWS, group_row_limit(df.sparkSession)))
+    limit = min(FOLD_ROWS, group_row_limit(df.sparkSession))
+    biggest, total = largest_group(df, by)
+    splits = splits_for(df, by, order, limit, biggest, total)
 
     def run(rows: pd.DataFrame, state) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         return rows.assign(**replay(controller, rows[value].tolist(), state))
 
     if not splits:
-        return df.groupBy(*by).applyInPandas(lambda rows: run(rows, controller.start()), schema)
+        # Small keys share a call: a bucket of keys costs one Python call, not one per key.
+        buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / BUCKET_ROWS))
+        names = df.columns
+
+        def run_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows[names].sort_values([*by, *order], kind="stable", ignore_index=True)
+            key_of = rows.groupby(by, dropna=False, sort=False).ngroup().tolist()
+            values, made, start = rows[value].tolist(), {}, 0
+            for end in range(1, len(values) + 1):
+                if end == len(values) or key_of[end] != key_of[start]:
+                    for name, part in replay(controller, values[start:end], controller.start()).items():
+                        made.setdefault(name, []).extend(part)
+                    start = end
+            return rows.assign(**made)
+
+        shared = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+        return shared.groupBy("_bucket").applyInPandas(run_bucket, schema)
 
     rows = df.withColumn("_blk", block_column(splits))
     key_ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)

@@ -125,8 +125,10 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
 
 def choose_splits(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int | None = None) -> list[Splits]:
     """Empty if every group is small enough for one task."""
-    limit = limit or group_row_limit(df.sparkSession)
-    biggest, total = largest_group(df, by)
+    return splits_for(df, by, order, limit or group_row_limit(df.sparkSession), *largest_group(df, by))
+
+
+def splits_for(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, biggest: int, total: int) -> list[Splits]:
     if by and biggest <= limit:
         return []
     n = min(MAX_BLOCKS, math.ceil(total / limit) * 2)
@@ -144,6 +146,7 @@ def scan(
     lag: Mapping[str, Column] | None = None,
     lead: Mapping[str, Column] | None = None,
     running: Mapping[str, Column] | None = None,
+    total: Mapping[str, Column] | None = None,
     fill: Mapping[str, Column] | None = None,
     fill_next: Mapping[str, Column] | None = None,
     splits: Sequence[Splits] | None = None,
@@ -151,30 +154,34 @@ def scan(
     """Add ordered columns per group.
 
     ``number`` 1-based position, ``lag``/``lead`` value of the neighbour row,
-    ``running`` inclusive sum, ``fill`` last non-NULL value so far (this row
+    ``running`` inclusive sum, ``total`` sum of the whole group, ``fill`` last non-NULL value so far (this row
     included), ``fill_next`` first non-NULL value from this row on. ``order``
     must be a total order inside the group for a repeatable result.
     """
     by, order = list(by), list(order)
     lag, lead = dict(lag or {}), dict(lead or {})
-    running, fill, fill_next = dict(running or {}), dict(fill or {}), dict(fill_next or {})
+    running, total = dict(running or {}), dict(total or {})
+    fill, fill_next = dict(fill or {}), dict(fill_next or {})
     if number:
         running[number] = F.lit(1).cast("long")
     keep = df.columns
     if splits is None:
         splits = choose_splits(df, by, order)
 
-    made = {**lag, **lead, **running, **fill, **fill_next}
+    made = {**lag, **lead, **running, **total, **fill, **fill_next}
     rows = df.select("*", *[e.alias(f"_in_{n}") for n, e in made.items()])
     inp = {n: F.col(f"_in_{n}") for n in made}
     group, sort = list(by), [F.col(c) for c in order]
     if splits:
         rows = rows.withColumn("_blk", block_column(splits)).withColumn("_pos", F.lit(1))
-        rows = _with_carry(rows, by, order, lag, lead, running, fill, fill_next)
+        rows = _with_carry(rows, by, order, lag, lead, running, total, fill, fill_next)
         group, sort = by + ["_blk"], [F.col("_pos"), *sort]
 
     w = Window.partitionBy(*group).orderBy(*sort)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*group)
+    # In blocks the head row carries the group's total; other rows have NULL there.
+    summed = {n: F.max(f"_sum_{n}").over(whole) if splits else F.sum(inp[n]).over(whole) for n in total}
     back = (
         Window.partitionBy(*group)
         .orderBy(*[F.desc(c) for c in (["_pos"] if splits else []) + order])
@@ -186,6 +193,7 @@ def scan(
         *[F.lag(inp[n]).over(w).alias(n) for n in lag],
         *[F.lead(inp[n]).over(w).alias(n) for n in lead],
         *[F.sum(inp[n]).over(upto).alias(n) for n in running],
+        *[e.alias(n) for n, e in summed.items()],
         *[F.last(inp[n], ignorenulls=True).over(upto).alias(n) for n in fill],
         *[F.last(inp[n], ignorenulls=True).over(back).alias(n) for n in fill_next],
     )
@@ -194,7 +202,7 @@ def scan(
     return out
 
 
-def _with_carry(rows, by, order, lag, lead, running, fill, fill_next) -> DataFrame:
+def _with_carry(rows, by, order, lag, lead, running, total, fill, fill_next) -> DataFrame:
     """Add one head and one tail row per block with what the neighbours hand over."""
     at = F.struct(*[F.col(c) for c in order])
 
@@ -207,7 +215,7 @@ def _with_carry(rows, by, order, lag, lead, running, fill, fill_next) -> DataFra
     aggs = [F.lit(1).alias("_one")]
     aggs += [F.max_by(boxed(n), at).alias(f"_in_{n}") for n in lag]
     aggs += [F.min_by(boxed(n), at).alias(f"_in_{n}") for n in lead]
-    aggs += [F.sum(f"_in_{n}").alias(f"_in_{n}") for n in running]
+    aggs += [F.sum(f"_in_{n}").alias(f"_in_{n}") for n in (*running, *total)]
     aggs += [F.max_by(F.col(f"_in_{n}"), seen(n)).alias(f"_in_{n}") for n in fill]
     aggs += [F.min_by(F.col(f"_in_{n}"), seen(n)).alias(f"_in_{n}") for n in fill_next]
     blocks = rows.groupBy(*by, "_blk").agg(*aggs)
@@ -219,6 +227,7 @@ def _with_carry(rows, by, order, lag, lead, running, fill, fill_next) -> DataFra
     parts = [rows]
     head = [F.lag(f"_in_{n}").over(w)["v"].alias(f"_in_{n}") for n in lag]
     head += [F.sum(f"_in_{n}").over(before).alias(f"_in_{n}") for n in running]
+    head += [F.sum(f"_in_{n}").over(Window.partitionBy(*by)).alias(f"_sum_{n}") for n in total]
     head += [F.last(f"_in_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in fill]
     tail = [F.lead(f"_in_{n}").over(w)["v"].alias(f"_in_{n}") for n in lead]
     tail += [F.last(f"_in_{n}", ignorenulls=True).over(after).alias(f"_in_{n}") for n in fill_next]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,19 @@ from changeguard.session import group_row_limit
 Rank = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class Nested:
+    """Groups inside wider ones: ``widen`` maps the group column ``source`` to the
+    array of wider groups, called ``name``, that its rows count for."""
+
+    source: str
+    name: str
+    widen: Callable[[Column], Column]
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.name, F.explode(self.widen(F.col(self.source)))).drop(self.source)
+
+
 def nearest_rank(p: float) -> Rank:
     """0-based index min(int(p * n), n - 1)."""
     return lambda n: F.least(F.floor(F.lit(float(p)) * n.cast("double")), n - 1)
@@ -33,27 +47,27 @@ def order_statistics(
     value: str | Column,
     ranks: Mapping[str, Rank],
     *,
-    members: str | None = None,
+    nested: Nested | None = None,
 ) -> DataFrame:
     """One row per group: the group columns, ``n`` and one column per rank.
 
-    NULL values are ignored. With ``members`` (an array column) a row belongs to
-    every group named in the array; it is exploded only after aggregation.
+    NULL values are ignored. With ``nested`` the rows of one group count for
+    several wider groups; they are spread only after aggregation.
     """
-    by = list(by)
-    group = by + ([members] if members else [])
-    rows = df.select(*group, as_column(value).alias("_v")).filter(F.col("_v").isNotNull())
+    source = [nested.source] if nested else []
+    inner, group = [*by, *source], [*by, *([nested.name] if nested else [])]
+    spread = nested.spread if nested else lambda df: df
+    rows = df.select(*inner, as_column(value).alias("_v")).filter(F.col("_v").isNotNull())
     total, limit = rows.count(), group_row_limit(df.sparkSession)
     if total <= limit:
-        return _ranked(rows, group, members, ranks)
+        counts = spread(rows.groupBy(*inner, "_v").agg(F.count("*").alias("_c")))
+        return _ranked(counts, group, ranks)
     splits = find_splits(rows, ["_v"], min(MAX_BLOCKS, math.ceil(total / limit) * 2), total)
     rows = rows.withColumn("_blk", block_column(splits))
 
-    counts = rows.groupBy(*group, "_blk").agg(F.count("*").alias("_c"))
-    if members:
-        counts = (
-            counts.withColumn(members, F.explode(members)).groupBy(*group, "_blk").agg(F.sum("_c").alias("_c"))
-        )
+    counts = spread(rows.groupBy(*inner, "_blk").agg(F.count("*").alias("_c")))
+    if nested:
+        counts = counts.groupBy(*group, "_blk").agg(F.sum("_c").alias("_c"))
     upto = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
     sized = counts.select(
         *group, "_blk", "_c",
@@ -69,8 +83,7 @@ def order_statistics(
     if small is not None:
         hits = F.broadcast(small)
         rows = rows.filter(F.col("_blk").isin(sorted({r["_blk"] for r in small.collect()})))
-    if members:
-        rows = rows.withColumn(members, F.explode(members))
+    rows = spread(rows)
     same = F.col("h._blk") == F.col("r._blk")
     for c in group:
         same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"r.{c}"))
@@ -107,13 +120,10 @@ def _pick(ranked: DataFrame, group: Sequence[str], ranks: Mapping[str, Rank]) ->
     )
 
 
-def _ranked(rows: DataFrame, group: Sequence[str], members: str | None, ranks: Mapping[str, Rank]) -> DataFrame:
-    """All rows fit one task: count equal values and rank them per group."""
-    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
-    if members:
-        counts = counts.withColumn(members, F.explode(members)).groupBy(*group, "_v").agg(F.sum("_c").alias("_c"))
+def _ranked(counts: DataFrame, group: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
+    """Few rows: rank the counted values of each group with plain windows."""
     whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = whole.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
     sized = counts.withColumns({"_cum": F.sum("_c").over(upto), "n": F.sum("_c").over(whole)})
     return _pick(sized.withColumn("_want", _wanted(ranks)), group, ranks)
 

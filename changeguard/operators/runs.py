@@ -23,12 +23,10 @@ def progress_curve(log: DataFrame, total: str | None = None, key: str = "migrati
     """Each batch with rows so far, percent of all rows, gap to the batch before
     in seconds and rows per second in that gap. ``total`` names a column with the
     planned rows; without it the rows of the log are the whole."""
+    whole = {} if total else {"_total": F.col("rows_affected").cast("long")}
     rows = scan(log, [key], order, running={"rows_so_far": F.col("rows_affected").cast("long")},
-                lag={"_before": F.col(order[0])})
-    if total is None:
-        sums = log.groupBy(key).agg(F.sum("rows_affected").cast("long").alias("_total"))
-        rows = rows.join(sums, key)
-        total = "_total"
+                lag={"_before": F.col(order[0])}, total=whole)
+    total = total or "_total"
     gap = (micros(order[0]) - micros("_before")) / 1e6
     return rows.withColumn("gap_s", gap).select(
         *log.columns, "rows_so_far",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changeguard.functions.columns import as_column, key_bucket, micros, ratio, slo_breach
 from changeguard.operators.bounded import merge_groups
-from changeguard.operators.rank import interpolated, nearest_rank, order_statistics
+from changeguard.operators.rank import Nested, interpolated, nearest_rank, order_statistics
 from changeguard.plans.plan import CANARY_STEPS, Slo
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -72,12 +72,11 @@ def lag_gate(df: DataFrame, slo: Slo, lag: str = "max_lag_ms") -> DataFrame:
     return df.withColumns({"start_blocked": x > limit, "step_action": step})
 
 
-def cohort_step(key: str, steps: Sequence[int], salt: str = "") -> Column:
-    """The first step whose cohort contains the key; NULL if none does. Cohorts
+def cohort_step(bucket: str | Column, steps: Sequence[int]) -> Column:
+    """The first step whose cohort contains the bucket; NULL if none does. Cohorts
     are nested: a key in the 5 % cohort is also in the 25 % one."""
-    b = key_bucket(key, salt)
-    ordered = sorted(set(steps))
-    return reduce(lambda tail, s: F.when(b < 100 * s, s).otherwise(tail), reversed(ordered), F.lit(None).cast("int"))
+    b = as_column(bucket)
+    return reduce(lambda tail, s: F.when(b < 100 * s, s).otherwise(tail), sorted(set(steps), reverse=True), F.lit(None).cast("int"))
 
 
 def canary_run(
@@ -96,22 +95,18 @@ def canary_run(
     without requests is ``no_data``, which holds the rollout.
     """
     ordered = sorted(set(steps))
-    rows = log.select(
-        cohort_step(key, ordered, salt).alias("_first"), F.col(latency).alias("_lat"),
-        F.coalesce(is_error, F.lit(False)).alias("_err"),
-    ).filter(F.col("_first").isNotNull())
-    members = reduce(
-        lambda tail, i: F.when(F.col("_first") == ordered[i], F.array(*[F.lit(s) for s in ordered[i:]])).otherwise(tail),
-        range(len(ordered)), F.array().cast("array<int>"),
-    )
-    rows = rows.withColumn("step", members)
+    # The hash is a column of its own, so that it is computed once per row.
+    hashed = log.select(key_bucket(key, salt).alias("_b"), F.col(latency).alias("_lat"), F.coalesce(is_error, F.lit(False)).alias("_err"))
+    if ordered[-1] < 100:
+        hashed = hashed.filter(F.col("_b") < 100 * ordered[-1])
+    rows = hashed.select(cohort_step("_b", ordered).alias("_first"), "_lat", "_err")
+    cohorts = Nested("_first", "step", lambda first: F.filter(F.array(*[F.lit(s) for s in ordered]), lambda s: s >= first))
     counts = (
-        rows.groupBy("step").agg(F.count("*").alias("n"), F.count_if("_err").alias("errors"))
-        .withColumn("step", F.explode("step"))
+        cohorts.spread(rows.groupBy("_first").agg(F.count("*").alias("n"), F.count_if("_err").alias("errors")))
         .groupBy("step").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     )
-    tails = order_statistics(rows, [], "_lat", {"p99_ms": nearest_rank(0.99)}, members="step").drop("n")
-    plan = log.sparkSession.createDataFrame([(s, True) for s in ordered], "step int, planned boolean")
+    tails = order_statistics(rows, [], "_lat", {"p99_ms": nearest_rank(0.99)}, nested=cohorts).drop("n")
+    plan = log.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in ordered])).alias("step"))
     seen = merge_groups(["step"], plan, counts, tails).withColumn("n", F.coalesce("n", F.lit(0)))
     seen = slo_gate(seen.withColumn("err_pct", F.col("errors") * 100.0 / F.col("n")), slo)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeguard.operators.ordered import block_column, choose_splits, rolling, scan
-from changeguard.operators.rank import interpolated, nearest_rank, order_statistics
+from changeguard.operators.rank import Nested, interpolated, nearest_rank, order_statistics
 from tests.conftest import as_set
 
 BIG = 1_000_000
@@ -14,6 +14,7 @@ def everything(df, by=("key",)):
     return scan(
         df, list(by), ["ts", "event_id"], number="n", lag={"before": F.col("value"), "rare_before": F.col("rare")},
         lead={"after": F.col("event_id")}, running={"total": (F.col("value") * 100).cast("long")},
+        total={"all": F.col("event_id"), "rares": F.when(F.col("rare") > 40, 1)},
         fill={"last_rare": F.col("rare")}, fill_next={"next_rare": F.col("rare")},
     )
 
@@ -102,3 +103,15 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert order_statistics(empty, ["k"], "v", {"p": nearest_rank(0.5)}).count() == 0
     assert scan(empty, [], ["v"], number="n").count() == 0
+
+
+@pytest.mark.parametrize("limit", [BIG, 50])
+def test_nested_groups(events, group_limit, limit):
+    """Even ids count for groups 1 and 2, odd ids for group 2 only."""
+    group_limit(limit)
+    df = events.withColumn("first", F.when(F.col("event_id") % 2 == 0, 1).otherwise(2))
+    widen = Nested("first", "g", lambda c: F.when(c == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
+    got = {r.g: (r.n, r.p) for r in order_statistics(df, [], "value", {"p": nearest_rank(0.9)}, nested=widen).collect()}
+    for g, part in ((1, "event_id % 2 = 0"), (2, "true")):
+        v = sorted(r.value for r in events.filter(part).collect())
+        assert got[g] == (len(v), v[int(0.9 * len(v))])
