@@ -62,7 +62,7 @@ def test_throttle_stream_equals_batch(spark, feed, finish):
 
 
 def test_rate_limit_stream_equals_batch(spark, feed, finish):
-    log = spark.range(600).select(F.col("id").alias("request_id"), (F.col("id") % 3).alias("client_id"), F.expr("timestamp_millis(id * 20)").alias("ts"))
+    log = spark.range(600).select(F.col("id").alias("request_id"), (F.col("id") % 3).alias("client_id"), F.expr("timestamp_millis(1700000000000 + id * 20)").alias("ts"))
     s = feed([log.filter("request_id < 300"), log.filter("request_id >= 300")], None)
     out = finish(stateful.rate_limit_stream(s)).select("client_id", "request_id", "allowed")
     assert as_set(out) == as_set(rate_limit(log).select(*out.columns))
