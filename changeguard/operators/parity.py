@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,41 @@ def sampled_parity(df: DataFrame, column: str, expr: str | Column, key: str = "i
     return counts.withColumn("parity", ratio("matches", "sampled", 1.0))
 
 
+def _per_column(counts: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Unpivot one row of ``field_i`` columns to one row per named column."""
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
+        for i, c in enumerate(names)
+    ]))
+    return counts.select(rows.alias("r")).select("r.*")
+
+
+def drift_columns(df: DataFrame, exprs: Mapping[str, str | Column]) -> DataFrame:
+    """The drift report of several columns in one pass, one row each."""
+    counts = df.agg(*[
+        a for i, (c, e) in enumerate(exprs.items()) for a in (
+            F.count("*").alias(f"total_{i}"), F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"),
+            F.count_if(differs(c, as_expr(e))).alias(f"drifted_{i}"),
+        )
+    ])
+    rows = _per_column(counts, list(exprs), ["total", "nulls", "drifted"])
+    return rows.withColumn("parity", ratio(F.col("total") - F.col("drifted"), "total", 1.0))
+
+
+def verify_columns(df: DataFrame, exprs: Mapping[str, str | Column], key: str = "id", rate: float = 1.0, salt: str = "") -> DataFrame:
+    """NULLs over all rows and parity on the sample, for several columns in one pass."""
+    inside = key_bucket(key, salt) < int(round(rate * 10_000)) if 0 < rate < 1 else F.lit(True)
+    rows = df.select(*exprs, *[(~differs(c, as_expr(e))).alias(f"_same_{i}") for i, (c, e) in enumerate(exprs.items())], inside.alias("_in"))
+    counts = rows.agg(*[
+        a for i, c in enumerate(exprs) for a in (
+            F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), F.count_if("_in").alias(f"sampled_{i}"),
+            F.count_if(F.col("_in") & F.col(f"_same_{i}")).alias(f"matches_{i}"),
+        )
+    ])
+    report = _per_column(counts, list(exprs), ["nulls", "sampled", "matches"])
+    return report.withColumn("parity", ratio("matches", "sampled", 1.0))
+
+
 def parity_gate(report: DataFrame, threshold: float = 0.999, min_parity: float = 0.0) -> DataFrame:
     """Adds ``passed`` and ``reason``: remaining NULLs fail first, then parity."""
     limit = max(threshold, min_parity)

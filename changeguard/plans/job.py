@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeguard.operators.backfill import fill_pending
-from changeguard.operators.bounded import merge_groups
 from changeguard.operators.lifecycle import current_state
-from changeguard.operators.parity import drift_scan, parity_gate, sampled_parity
+from changeguard.operators.parity import drift_columns, parity_gate, verify_columns
 from changeguard.operators.registry import service_readiness
 from changeguard.operators.schema_change import ChangeError, contract, expand, rollback, verify_rollback
 from changeguard.operators.slo import canary_run
@@ -97,15 +96,14 @@ class ChangeJob:
         return {"filled": list(self.plan.exprs)}
 
     def _verify(self) -> dict:
-        found = {}
-        for column, expr in self.plan.exprs.items():
-            report = sampled_parity(self._filled(), column, expr, self.key, self.plan.sample_rate)
-            nulls = self._filled().agg(F.count_if(F.col(column).isNull()).alias("nulls"))
-            row = parity_gate(merge_groups([], report, nulls), self.plan.min_parity).first()
+        if not self.plan.exprs:
+            return {"skipped": "nothing derived"}
+        report = verify_columns(self._filled(), self.plan.exprs, self.key, self.plan.sample_rate, self.plan.id)
+        rows = parity_gate(report, self.plan.min_parity).collect()  # one row per column
+        for row in rows:
             if not row["passed"]:
-                raise ChangeError(f"verify failed for {column}: {row['reason']}")
-            found[column] = row["parity"]
-        return {"parity": found}
+                raise ChangeError(f"verify failed for {row['column_name']}: {row['reason']}")
+        return {"parity": {r["column_name"]: r["parity"] for r in rows}}
 
     def _fail(self, why: str, note: dict) -> dict:
         if self.plan.on_failure == "rollback":
@@ -130,16 +128,18 @@ class ChangeJob:
             row = service_readiness(self.registry.withColumn("_all", F.lit(1)), "_all").first()
             if row and not row["all_ready"]:
                 return self._fail(f"{row['not_ready']} services not ready", {})
-        found = {}
-        for column, expr in self.plan.exprs.items():
-            row = parity_gate(drift_scan(self._filled(), column, expr), self.plan.min_parity).first()
+        if not self.plan.exprs:
+            return {"skipped": "nothing derived"}
+        rows = parity_gate(drift_columns(self._filled(), self.plan.exprs), self.plan.min_parity).collect()
+        for row in rows:
             if not row["passed"]:
-                return self._fail(f"{column}: {row['reason']}", {"cutover_parity": row["parity"]})
-            found[column] = row["parity"]
-        return {"cutover_parity": found}
+                return self._fail(f"{row['column_name']}: {row['reason']}", {"cutover_parity": row["parity"]})
+        return {"cutover_parity": {r["column_name"]: r["parity"] for r in rows}}
 
     def _contract(self) -> dict:
-        final = contract(self._filled(), self.plan.drop, self.plan.required)
+        # Derived columns were counted at the cutover; the write still refuses NULLs.
+        unchecked = [c for c in self.plan.required if c not in self.plan.exprs]
+        final = contract(contract(self._filled(), (), unchecked), self.plan.drop, self.plan.required, check=False)
         final.write.mode("overwrite").parquet(self.final_path)
         return {"dropped": list(self.plan.drop), "not_null": self.plan.required}
 

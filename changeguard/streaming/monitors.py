@@ -71,3 +71,10 @@ def drift_stream(
 def dedup_stream(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 minute") -> DataFrame:
     """The first of several submissions with the same key within the delay."""
     return timed(stream, ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def dropped_rows(query) -> int:
+    """Rows a running or finished query has dropped as too late, from its recent progress."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]
+    )

@@ -25,23 +25,29 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 def liveness_stream(stream: DataFrame, ts: str, by: str, secs: float = 30, delay: str = "0 seconds") -> DataFrame:
-    """One row each time a key has been silent for ``secs`` of event time:
-    key, last heartbeat, number of heartbeats."""
+    """One row each time a key has been silent for more than ``secs`` of event
+    time: key, last heartbeat before the silence, heartbeats since the silence
+    before. A silence is reported when the watermark passes it or, if sooner, by
+    the heartbeat that ends it, so micro-batches do not change the result."""
     schema = dict(stream.dtypes)
-    wait = int(secs * 1000)
+    wait = int(secs * 1_000_000)
 
     def step(key, batches, state: GroupState):
+        found = []
         if state.hasTimedOut:
-            last, beats = state.get
+            found.append(state.get)
             state.remove()
-            yield pd.DataFrame({by: [key[0]], "last_us": [last], "beats": [beats]})
-            return
-        last, beats = state.get if state.exists else (0, 0)
-        for part in batches:
-            last, beats = max(last, int(part["_us"].max())), beats + len(part)
-        state.update((last, beats))
-        due = last // 1000 + wait
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        else:
+            last, beats = state.get if state.exists else (None, 0)
+            for at in _rows(batches, ["_us"])["_us"].tolist():
+                if last is not None and at - last > wait:
+                    found.append((last, beats))
+                    beats = 0
+                last, beats = at if last is None else max(last, at), beats + 1
+            state.update((last, beats))
+            state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame({by: key[0], "last_us": [f[0] for f in found], "beats": [f[1] for f in found]})
 
     timed_rows = timed(stream, ts, delay).select(by, ts, F.unix_micros(ts).alias("_us"))
     return timed_rows.groupBy(by).applyInPandasWithState(

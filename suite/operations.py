@@ -14,7 +14,7 @@ from changeguard.operators.parity import drift_scan
 from changeguard.plans.lint import lint_plans
 from changeguard.plans.plan import FLOW
 from changeguard.session import scratch_dir
-from changeguard.sources.logs import append_all, audit_summary, read_audit
+from changeguard.sources.logs import append_all, append_log, audit_summary, read_audit, read_log
 from changeguard.sources.metrics_text import read_metric_samples
 from suite.base import check, latest, rounded
 
@@ -57,14 +57,13 @@ def state_intervals(i):
     return rounded(lc.state_intervals(i.state_log))
 
 
-@check("""SELECT b.migration_id, b.id, arg_max(e.to_state, e.id) AS state FROM
-    (SELECT l_orderkey AS migration_id, l_partkey * 100000 + l_suppkey AS id, l_linenumber, o_orderdate + to_minutes(l_linenumber * 7) AS at FROM lineitem JOIN orders ON o_orderkey = l_orderkey) b
-    LEFT JOIN state_log e ON e.migration_id = b.migration_id AND e.created_at <= b.at GROUP BY b.migration_id, b.id, b.l_linenumber, b.at""", "state_log")
+@check("""SELECT b.migration_id, b.id, e.to_state AS state FROM
+    (SELECT l_orderkey AS migration_id, l_partkey AS id, o_orderdate + to_minutes(l_linenumber * 7) AS at FROM lineitem JOIN orders ON o_orderkey = l_orderkey) b
+    ASOF LEFT JOIN state_log e ON e.migration_id = b.migration_id AND e.created_at <= b.at""", "state_log")
 def state_at_time(i):
     log = i.table("lineitem").join(i.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("l_orderkey").alias("migration_id"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id"), "l_linenumber",
-        F.expr("timestampadd(MINUTE, l_linenumber * 7, o_orderdate)").alias("at"),
-    ).dropDuplicates()
+        F.col("l_orderkey").alias("migration_id"), F.col("l_partkey").alias("id"),
+        F.expr("timestampadd(MINUTE, l_linenumber * 7, o_orderdate)").alias("at"))
     return lc.state_at(log, i.state_log, "at").select("migration_id", "id", "state")
 
 
@@ -411,3 +410,26 @@ def append_logs(i):
     batch = i.batch_log.select(F.lit("batch").alias("kind"), F.col("created_at").cast("timestamp").alias("created_at"), "stage")
     state = i.state_log.select(F.lit("state").alias("kind"), F.col("created_at").cast("timestamp").alias("created_at"))
     return append_all(batch, state).groupBy("kind").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"))
+
+
+@check("""SELECT migration_id::varchar AS migration_id, count(*) AS n, sum(rows_affected)::bigint AS row_total, max(throttle_ms)::int AS throttle_ms, count(*) FILTER (WHERE stage = 'click') AS clicks
+    FROM batch_log GROUP BY migration_id""", "batch_log")
+def append_backfill_log(i):
+    """Two appends to a partitioned progress log, read back."""
+    path = scratch_dir(i.spark, "backfill-log")
+    log = i.batch_log.withColumn("batch_number", F.col("stage").isin("click").cast("int"))
+    append_log(log.filter("batch_number = 1"), path, "backfill", "batch_number")
+    append_log(log.filter("batch_number = 0"), path, "backfill", "batch_number")
+    return read_log(i.spark, path, "backfill").groupBy("migration_id").agg(
+        F.count("*").alias("n"), F.sum("rows_affected").alias("row_total"), F.max("throttle_ms").alias("throttle_ms"),
+        F.sum("batch_number").alias("clicks"))
+
+
+@check("""WITH c AS (SELECT row_number() OVER (ORDER BY client_id) AS id, client_id, max(duration_ms) AS p99_ms, count(*) FILTER (WHERE status_code >= 500) AS errors FROM requests GROUP BY client_id)
+    SELECT p99_ms > 230 AS slo_breached, count(*) AS n, max(p99_ms) AS p99_ms, sum(errors)::double AS errors FROM c GROUP BY 1""", "requests")
+def append_canary_log(i):
+    path = scratch_dir(i.spark, "canary-log")
+    obs = i.requests.groupBy("client_id").agg(F.max("duration_ms").alias("p99_ms"), F.count_if(F.col("status_code") >= 500).alias("err_pct"))
+    append_log(obs.withColumns({"migration_id": F.col("client_id"), "slo_breached": F.col("p99_ms") > 230}), path, "canary")
+    return read_log(i.spark, path, "canary").groupBy("slo_breached").agg(
+        F.count("*").alias("n"), F.max("p99_ms").alias("p99_ms"), F.sum("err_pct").alias("errors"))

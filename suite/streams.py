@@ -58,8 +58,10 @@ def heartbeat_sessions(i):
     return finished(i, monitors.heartbeat_sessions(events_stream(i), "ts", ["user_id"], "10 hours", "10 minutes"), "sessions")
 
 
-@check(f"""SELECT user_id, max(ts) AS last_heartbeat, count(*) AS beats FROM events GROUP BY user_id
-    HAVING epoch_ms(max(ts)) + 36000000 < epoch_ms({LAST})""")
+@check(f"""SELECT user_id, max(ts) AS last_heartbeat, count(*) AS beats FROM
+    (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 10 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run
+     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, max(ts) OVER (PARTITION BY user_id) AS newest FROM events))
+    GROUP BY user_id, run, newest HAVING max(ts) < newest OR epoch_ms(max(ts)) + 36000000 < epoch_ms({LAST})""")
 def liveness_stream(i):
     return finished(i, stateful.liveness_stream(events_stream(i), "ts", "user_id", 36_000), "liveness")
 

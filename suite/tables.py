@@ -138,6 +138,23 @@ def sampled_parity(i):
     return rounded(parity.sampled_parity(i.drift_target, "shipping_class", SIZE_CLASS, "id", 0.25, "s1"))
 
 
+TWO = {"shipping_class": SIZE_CLASS, "legacy_shipping": "concat('legacy-tier-', cast(id % 3 AS string))"}
+
+
+@check(f"""SELECT 'shipping_class' AS column_name, total, nulls, drifted, round((total - drifted)::double / total, 6) AS parity FROM ({DRIFT})
+    UNION ALL SELECT 'legacy_shipping', count(*), 0, 0, 1.0::double FROM drift_target""", "drift_target")
+def drift_scan_of_columns(i):
+    return rounded(parity.drift_columns(i.drift_target, TWO))
+
+
+@check("""SELECT 'shipping_class' AS column_name, count(*) FILTER (WHERE shipping_class IS NULL) AS nulls, count(*) FILTER (WHERE s) AS sampled, count(*) FILTER (WHERE s AND NOT drifted) AS matches,
+      round(count(*) FILTER (WHERE s AND NOT drifted)::double / count(*) FILTER (WHERE s), 6) AS parity FROM r
+    UNION ALL SELECT 'legacy_shipping', 0, count(*) FILTER (WHERE s), count(*) FILTER (WHERE s), 1.0::double FROM r""".replace("FROM r", "FROM (SELECT *, ('0x' || substr(md5('s1' || cast(id AS varchar)), 1, 8))::bigint % 10000 < 2500 AS s FROM drift_rows)"),
+       "drift_target drift_rows")
+def verify_sampled_columns(i):
+    return rounded(parity.verify_columns(i.drift_target, TWO, "id", 0.25, "s1"))
+
+
 @check(f"""SELECT brand, total, nulls, drifted, round(parity, 6) AS parity, nulls = 0 AND parity >= 0.999 AS passed,
     CASE WHEN nulls > 0 THEN nulls || ' rows still NULL' WHEN parity < 0.999 THEN printf('parity %.5f < 0.99900', parity) END AS reason
     FROM (SELECT brand, count(*) AS total, count(*) FILTER (WHERE shipping_class IS NULL) AS nulls,
