@@ -20,7 +20,7 @@ from changeguard.functions.columns import micros
 from changeguard.functions.controllers import Bucket, Pacing
 from changeguard.operators.health import score_health
 from changeguard.operators.lifecycle import last_n
-from changeguard.operators.ordered import block_column, largest_group, splits_for
+from changeguard.operators.ordered import choose_cut
 from changeguard.plans.plan import ThrottleConfig
 from changeguard.session import group_row_limit
 
@@ -41,33 +41,36 @@ def ordered_fold(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [columns])
     # A run is held in Python memory, so its blocks are smaller than window blocks.
     limit = min(FOLD_ROWS, group_row_limit(df.sparkSession))
-    biggest, total = largest_group(df, by)
-    splits = splits_for(df, by, order, limit, biggest, total)
+    cut = choose_cut(df, by, order, limit)
 
     def run(rows: pd.DataFrame, state) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         return rows.assign(**replay(controller, rows[value].tolist(), state))
 
-    if not splits:
-        # Small keys share a call: a bucket of keys costs one Python call, not one per key.
-        buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / BUCKET_ROWS))
-        names = df.columns
-
-        def run_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows[names].sort_values([*by, *order], kind="stable", ignore_index=True)
-            key_of = rows.groupby(by, dropna=False, sort=False).ngroup().tolist()
-            values, made, start = rows[value].tolist(), {}, 0
-            for end in range(1, len(values) + 1):
-                if end == len(values) or key_of[end] != key_of[start]:
-                    for name, part in replay(controller, values[start:end], controller.start()).items():
-                        made.setdefault(name, []).extend(part)
-                    start = end
-            return rows.assign(**made)
-
-        shared = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    # Small keys share a call: a bucket of keys costs one Python call, not one per key.
+    buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / BUCKET_ROWS))
+    names = df.columns
+
+    def run_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[names].sort_values([*by, *order], kind="stable", ignore_index=True)
+        key_of = rows.groupby(by, dropna=False, sort=False).ngroup().tolist()
+        values, made, start = rows[value].tolist(), {}, 0
+        for end in range(1, len(values) + 1):
+            if end == len(values) or key_of[end] != key_of[start]:
+                for name, part in replay(controller, values[start:end], controller.start()).items():
+                    made.setdefault(name, []).extend(part)
+                start = end
+        return rows.assign(**made)
+
+    def in_buckets(part: DataFrame) -> DataFrame:
+        shared = part.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
         return shared.groupBy("_bucket").applyInPandas(run_bucket, schema)
 
-    rows = df.withColumn("_blk", block_column(splits))
+    if not cut:
+        return in_buckets(df)
+
+    tagged = cut.tag(df)
+    rows = tagged.filter("_hot")
     key_ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def summarise(run_rows: pd.DataFrame) -> pd.DataFrame:
@@ -85,13 +88,13 @@ def ordered_fold(
     effects = rows.select(*dict.fromkeys([*by, "_blk", *order, value])).groupBy(*by, "_blk").applyInPandas(
         summarise, f"{key_ddl}, _blk long, effect binary")
     starts = effects.groupBy(*by).applyInPandas(chain, f"{key_ddl}, _blk long, state binary")
-    names = df.columns
 
     def finish(run_rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         return run(run_rows[names], pickle.loads(start["state"].iloc[0]))
 
     keys = [*by, "_blk"]
-    return rows.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(finish, schema)
+    hot = rows.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(finish, schema)
+    return hot.unionByName(in_buckets(tagged.filter(~F.col("_hot")).select(*names)))
 
 
 def replay_pacing(pacing: Pacing, scores: list, s) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeguard.functions.columns import micros
-from changeguard.operators.ordered import choose_splits, scan
+from changeguard.operators.ordered import choose_cut, scan
 
 
 def _match(labels: Mapping[str, str]) -> Column:
@@ -75,10 +75,10 @@ def increase(samples: DataFrame, secs: float, by: Sequence[str], ts: str = "ts",
     """
     by, width = list(by), int(secs * 1_000_000)
     rows = samples.withColumn("_us", micros(ts))
-    splits = choose_splits(rows, by, ["_us", tie])
-    rows = scan(rows, by, ["_us", tie], lag={"_prev": F.col(value)}, splits=splits)
+    cut = choose_cut(rows, by, ["_us", tie])
+    rows = scan(rows, by, ["_us", tie], lag={"_prev": F.col(value)}, cut=cut)
     grown = F.when(F.col("_prev").isNull(), 0).when(F.col(value) < F.col("_prev"), F.col(value)).otherwise(F.col(value) - F.col("_prev"))
-    rows = scan(rows.withColumn("_grown", grown.cast(samples.schema[value].dataType)), by, ["_us", tie], running={"_cum": F.col("_grown")}, splits=splits)
+    rows = scan(rows.withColumn("_grown", grown.cast(samples.schema[value].dataType)), by, ["_us", tie], running={"_cum": F.col("_grown")}, cut=cut)
     names = samples.columns
     data = rows.select(*by, F.col("_us").alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), F.col("_cum").alias("_mark"))
     ask = rows.select(

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from changeguard.functions.columns import as_column
 from changeguard.operators.bounded import if_small
-from changeguard.operators.ordered import MAX_BLOCKS, block_column, find_splits
+from changeguard.operators.ordered import MAX_BLOCKS, add_block, find_splits, point_range
 from changeguard.session import group_row_limit
 
 Rank = Callable[[Column], Column]
+PLAIN_ROWS = 1_000_000
+MIN_BLOCKS = 64
+MAX_RANGES = 50
 
 
 @dataclass(frozen=True)
@@ -59,13 +62,14 @@ def order_statistics(
     spread = nested.spread if nested else lambda df: df
     rows = df.select(*inner, as_column(value).alias("_v")).filter(F.col("_v").isNotNull())
     total, limit = rows.count(), group_row_limit(df.sparkSession)
-    if total <= limit:
+    if total <= min(limit, PLAIN_ROWS):
         counts = spread(rows.groupBy(*inner, "_v").agg(F.count("*").alias("_c")))
         return _ranked(counts, group, ranks)
-    splits = find_splits(rows, ["_v"], min(MAX_BLOCKS, math.ceil(total / limit) * 2), total)
-    rows = rows.withColumn("_blk", block_column(splits))
+    n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, math.ceil(total / limit) * 2))
+    splits = find_splits(rows, ["_v"], n_blocks, total)
+    blocked = add_block(rows, splits)
 
-    counts = spread(rows.groupBy(*inner, "_blk").agg(F.count("*").alias("_c")))
+    counts = spread(blocked.groupBy(*inner, "_blk").agg(F.count("*").alias("_c")))
     if nested:
         counts = counts.groupBy(*group, "_blk").agg(F.sum("_c").alias("_c"))
     upto = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,8 +86,12 @@ def order_statistics(
     small = if_small(hits)
     if small is not None:
         hits = F.broadcast(small)
-        rows = rows.filter(F.col("_blk").isin(sorted({r["_blk"] for r in small.collect()})))
-    rows = spread(rows)
+        # As value ranges the filter reaches the file scan.
+        wanted_blocks = {r["_blk"] for r in small.collect()} if splits else set()
+        if len(wanted_blocks) <= MAX_RANGES:
+            rows = rows.filter(_in_ranges([point_range(splits[0], b) for b in sorted(wanted_blocks)])) if wanted_blocks else rows
+        blocked = add_block(rows, splits)
+    rows = spread(blocked)
     same = F.col("h._blk") == F.col("r._blk")
     for c in group:
         same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"r.{c}"))
@@ -100,6 +108,18 @@ def order_statistics(
     return _pick(ranked, group, ranks)
 
 
+def _in_ranges(ranges) -> Column:
+    hit = F.lit(False)
+    for low, high in ranges:
+        part = F.lit(True)
+        if low is not None:
+            part = part & (F.col("_v") >= F.lit(low))
+        if high is not None:
+            part = part & (F.col("_v") <= F.lit(high))
+        hit = hit | part
+    return hit
+
+
 def _wanted(ranks: Mapping[str, Rank]) -> Column:
     return F.array(*[
         F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("idx")) for name, rank in ranks.items()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from changeguard.functions.columns import age_seconds, as_column, micros, shorten
 from changeguard.operators.bounded import merge_groups
 from changeguard.operators.lifecycle import asof
-from changeguard.operators.ordered import choose_splits, scan
+from changeguard.operators.ordered import choose_cut, scan
 from changeguard.operators.rank import nearest_rank, order_statistics
 
 # Retries and their waits.
@@ -90,17 +90,17 @@ def retry_sequences(log: DataFrame, by: Sequence[str] = ("migration_id", "statem
     """Attempts of a statement until it succeeds: number, wait before it, the
     wait that exponential backoff asks for, and how the sequence ended."""
     order = ["started_at", "id"]
-    splits = choose_splits(log, by, order)
+    cut = choose_cut(log, by, order)
     rows = scan(
         log, by, order, number="_rn", lag={"_ok_before": F.col("success"), "_ended": F.col("completed_at")},
-        lead={"_next": F.col("id")}, splits=splits,
+        lead={"_next": F.col("id")}, cut=cut,
     )
     opens = (F.col("_rn") == 1) | F.coalesce(F.col("_ok_before"), F.lit(False))
     closes = F.col("success") | F.col("_next").isNull()
     rows = scan(
         rows.withColumns({"_opens": opens, "_closes": closes}), by, order,
         fill={"_start": F.when(F.col("_opens"), F.col("_rn"))},
-        fill_next={"final_success": F.when(F.col("_closes"), F.col("success"))}, splits=splits,
+        fill_next={"final_success": F.when(F.col("_closes"), F.col("success"))}, cut=cut,
     )
     attempt = F.col("_rn") - F.col("_start") + 1
     retry = attempt > 1

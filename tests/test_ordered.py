@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changeguard.operators.ordered import block_column, choose_splits, rolling, scan
+from changeguard.operators.ordered import choose_cut, rolling, scan
 from changeguard.operators.rank import Nested, interpolated, nearest_rank, order_statistics
 from tests.conftest import as_set
 
@@ -29,12 +29,24 @@ def test_split_groups_equal_plain_windows(events, group_limit, limit):
 
 def test_blocks_are_small_although_key_and_time_are_hot(events, group_limit):
     group_limit(100)
-    splits = choose_splits(events, ["key"], ["ts", "event_id"])
-    assert splits[0].hot, "the hot moment is found"
-    biggest = events.withColumn("b", block_column(splits)).groupBy("key", "b").count().agg(F.max("count")).first()[0]
+    cut = choose_cut(events, ["key"], ["ts", "event_id"])
+    assert [r.key for r in cut.hot.collect()] == [-1], "only the hot key is cut"
+    assert cut.splits[0].hot, "the hot moment is found"
+    biggest = cut.tag(events).groupBy("key", "_blk").count().agg(F.max("count")).first()[0]
     assert biggest <= 200
 
 
+def test_many_hot_keys_cut_all_groups(events, group_limit, monkeypatch):
+    import changeguard.operators.ordered as ordered
+
+    group_limit(BIG)
+    plain = as_set(everything(events))
+    group_limit(5)
+    monkeypatch.setattr(ordered, "if_small", lambda df: None)
+    assert choose_cut(events, ["key"], ["ts", "event_id"]).hot is None
+    assert as_set(everything(events)) == plain
+
+
 def test_whole_table_as_one_group_is_never_one_window_partition(events):
     out = scan(events, [], ["ts", "event_id"], number="n")
     assert out.agg(F.max("n"), F.countDistinct("n")).first()[:] == (1000, 1000)
