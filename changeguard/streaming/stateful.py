@@ -21,7 +21,9 @@ EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 
 def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     """The rows of one key in this micro-batch, in order."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
 def liveness_stream(stream: DataFrame, ts: str, by: str, secs: float = 30, delay: str = "0 seconds") -> DataFrame:
