@@ -10,6 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeguard.llm.common import prepare
 
@@ -94,7 +95,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
 
     schema = source.drop(body).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("token_ids", "array<int>")
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema)
 
 

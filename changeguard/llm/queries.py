@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, quality_rules, shards
+from changeguard.llm import bpe, near_dups, quality_rules, shards
 from changeguard.llm.oracles import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -28,7 +32,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_key(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_byte_bpe, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_minhash_near_dups, op8_byte_bpe, op10_jump_shards)}
 
 
 def load_all():

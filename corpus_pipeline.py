@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, quality_rules
+from changeguard.llm import bpe, near_dups, quality_rules
 from changeguard.llm.common import stored
 
 
@@ -14,13 +14,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dups.one_of_each(docs)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with their digests and counts."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, ids=True).drop("text")
 
 
-STAGES = [("quality_rules", quality), ("byte_bpe", encoding)]
+STAGES = [("quality_rules", quality), ("near_dups", near_duplicates), ("byte_bpe", encoding)]
 
 #: PII surrogates and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
