@@ -29,11 +29,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text", *more: str) -> Column:
         "\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in (doc_id, *more)), F.coalesce(F.col(text), F.lit("\x02")))))
 
 
+#: Spark setting: a query's shuffle files go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends here and survives lost executors."""
+    """Write to the shared folder and read back: the lineage ends here and survives lost executors.
+
+    The shuffle files behind it are of no more use and are given free.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

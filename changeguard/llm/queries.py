@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, near_dups, quality_rules, shards
+from changeguard.llm import bpe, near_dups, quality_rules, repeats, shards
 from changeguard.llm.oracles import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_key(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_minhash_near_dups, op8_byte_bpe, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op8_byte_bpe, op10_jump_shards)}
 
 
 def load_all():
