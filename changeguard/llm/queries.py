@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, near_dups, quality_rules, repeats, shards
+from changeguard.llm import bpe, contamination, near_dups, quality_model, quality_rules, repeats, shards
 from changeguard.llm.oracles import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -36,7 +44,8 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_key(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op8_byte_bpe, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (
+    op2_subword_quality, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op10_jump_shards)}
 
 
 def load_all():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, near_dups, quality_rules
+from changeguard.llm import bpe, contamination, near_dups, quality_rules
 from changeguard.llm.common import stored
 
 
@@ -19,13 +19,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dups.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return contamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with their digests and counts."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, ids=True).drop("text")
 
 
-STAGES = [("quality_rules", quality), ("near_dups", near_duplicates), ("byte_bpe", encoding)]
+STAGES = [("quality_rules", quality), ("near_dups", near_duplicates), ("decontamination", decontamination), ("byte_bpe", encoding)]
 
 #: PII surrogates and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
