@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // INDEX_BYTES))
     schema = source.select("__id").schema
-    for name, kind in zip(_NAMES[1:], ("long", "double", *["int"] * 4), strict=True):
+    for name, kind in zip(_NAMES[1:], ("long", "double", *["integer"] * 4), strict=True):
         schema = schema.add(name, kind)
     parts = []
     for n in range(blocks):  # each block holds about INDEX_BYTES of items, whatever the size of the benchmark
