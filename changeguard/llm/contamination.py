@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeguard.llm.common import prepare, row_key, stored
-from changeguard.llm.wordhash import LOWER, SHINGLE, shingle_hashes, word_hashes
+from changeguard.llm.wordhash import SHINGLE, shingle_hashes, word_hashes
 
 #: Share of an item's own BM25 score that a passage must reach.
 THRESHOLD = 0.6
@@ -47,6 +47,10 @@ def answer_start(text: str) -> int:
     return ends[-1] if ends else len(text)
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes([t.lower().encode() for t in texts], None, SEPARATORS)
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -74,13 +78,13 @@ class Index:
 def build_index(rows: list[tuple[int | None, str]]) -> Index:
     items, owner, segments = [], [], []
     for item_id, text in rows:
-        words, at = word_hashes([text.encode()], LOWER, SEPARATORS)
+        words, at = _words([text])
         if not len(words):
             continue
         n = int(at[1])
         size = min(SHINGLE, n)
         shingles, _ = shingle_hashes(words, at, size)
-        head = int(word_hashes([text[: answer_start(text)].encode()], LOWER, SEPARATORS)[1][1])
+        head = int(_words([text[: answer_start(text)]])[1][1])
         items.append(Item(item_id, shingles, max(0, min(len(shingles), head - size + 1)), size))
         for begin in range(0, n, STEP):
             owner.append(len(items) - 1)
@@ -169,8 +173,7 @@ def _search(shipped):
             ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for begin in range(0, len(bodies), _ROWS):
-                texts = [x or b"" for x in bodies[begin : begin + _ROWS]]
-                words, offsets = word_hashes(texts, LOWER, SEPARATORS)
+                words, offsets = _words([x or "" for x in bodies[begin : begin + _ROWS]])
                 held: dict[tuple[int, int], np.ndarray] = {}
                 for t, i, score in retrieve(index, words, offsets):
                     item = index.items[i]
@@ -200,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     prepare(spark)
-    source = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__body"))
+    source = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__body"))
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // INDEX_BYTES))
