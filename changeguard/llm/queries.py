@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, contamination, near_dups, quality_model, quality_rules, repeats, shards
+from changeguard.llm import bpe, contamination, near_dups, pii, quality_model, quality_rules, repeats, shards
 from changeguard.llm.oracles import ORACLES
-
-RANKS = "byte_bpe_multi_50k.tiktoken"
+from changeguard.llm.settings import PII_KEY, RANKS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +40,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_key(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_subword_quality, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op10_jump_shards)}
+    op2_subword_quality, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op9_pii_surrogates, op10_jump_shards,
+    pipeline)}
 
 
 def load_all():
     """(queries, oracle SQL) by name."""
-    return dict(QUERIES), {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return dict(QUERIES), dict(ORACLES)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changeguard.llm import bpe, contamination, near_dups, quality_rules
+from changeguard.llm import bpe, contamination, near_dups, pii, quality_rules
 from changeguard.llm.common import stored
+from changeguard.llm.settings import PII_KEY, RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +26,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return contamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced in the texts."""
+    done = pii.surrogates(docs, PII_KEY).select(*(f"`{c}`" for c in docs.columns))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with their digests and counts."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = public_tokenizers.path(RANKS)
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, ids=True).drop("text")
 
 
-STAGES = [("quality_rules", quality), ("near_dups", near_duplicates), ("decontamination", decontamination), ("byte_bpe", encoding)]
+STAGES = [("quality_rules", quality), ("near_dups", near_duplicates), ("decontamination", decontamination), ("pii_surrogates", private_data), ("byte_bpe", encoding)]
 
 #: PII surrogates and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
