@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeguard.llm import bpe, contamination, near_dups, pii, quality_model, quality_rules, repeats, shards
+from changeguard.llm import bpe, contamination, html_text, licenses, near_dups, pii, quality_model, quality_rules, repeats, shards
 from changeguard.llm.oracles import ORACLES
 from changeguard.llm.settings import PII_KEY, RANKS
 
@@ -15,10 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_subword_quality, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op9_pii_surrogates, op10_jump_shards,
+    op1_license_scan, op2_subword_quality, op3_html_wrappers, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op9_pii_surrogates, op10_jump_shards,
     pipeline)}
 
 
