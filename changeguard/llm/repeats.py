@@ -195,7 +195,8 @@ def _rest(batches):
 def repeated_spans(source: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """(key, a, b): byte ranges of the texts of ``source`` (key, body) that are covered by repeated strings."""
     suffixes = stored(source.mapInArrow(_suffixes(length, span), "key binary, core bigint, run binary, first int, last int, anchor int"), "suffixes")
-    shared = suffixes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # Written, so that the join has two shuffled sides and a hot core's suffixes can be split over tasks.
+    shared = stored(suffixes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "shared-cores")
     live = stored(suffixes.join(shared, "core", "left_semi"), "shared-suffixes")
     names = live.groupBy("core", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "anchor")).alias("one"))
     names = stored(names, "runs")
