@@ -99,7 +99,8 @@ def _postings(classes: DataFrame) -> DataFrame:
 def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame) -> DataFrame:
     """(hub, node, h, s, missing, d, matches, diff): every member of a posting list against the list's hub."""
     lists = posts.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("s"), "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    stars = posts.join(lists.select("token", F.col("hub.node").alias("hub")), "token").filter("node != hub").select("hub", "node").distinct()
+    lists = stored(lists.select("token", F.col("hub.node").alias("hub")), "hubs")  # written, so that the join can split a hot list
+    stars = posts.join(lists, "token").filter("node != hub").select("hub", "node").distinct()
     stars = stored(stars, "stars")
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
     texts = classes.select("node", F.col("key").alias("__key")).join(wanted, "node").join(docs, "__key").select("node", "__body")
