@@ -29,10 +29,21 @@ def age_seconds(ts: str | Column, as_of) -> Column:
     return (micros(moment(as_of)) - micros(ts)) / F.lit(1e6)
 
 
+def key_hash(key: str | Column, salt: str = "") -> Column:
+    """The first 32 bits of the md5 of the key text. A NULL key counts as empty
+    text, so every row has a hash."""
+    text = F.concat(F.lit(salt), F.coalesce(as_column(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def key_bucket(key: str | Column, salt: str = "", buckets: int = 10_000) -> Column:
-    """A repeatable bucket 0..buckets-1 from the md5 of the key text."""
-    text = F.concat(F.lit(salt), as_column(key).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
+    """A repeatable bucket 0..buckets-1 from the key's hash."""
+    return key_hash(key, salt) % buckets
+
+
+def in_sample(key: str | Column, rate: float, salt: str = "") -> Column:
+    """Whether a key is in the repeatable sample of this rate; outside (0, 1) all are."""
+    return key_hash(key, salt) < F.lit(round(rate * 2**32)) if 0 < rate < 1 else F.lit(True)
 
 
 def differs(a: str | Column, b: str | Column) -> Column:

@@ -1,4 +1,4 @@
-"""Checks of size before something is broadcast or collected into an array."""
+"""Checks of size before something is broadcast."""
 
 from __future__ import annotations
 
@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOCAL_ROWS = 20_000
-LIST_ROWS = 10_000
+LOCAL_BYTES = 16 << 20
 
 
 def if_small(df: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame | None:
-    """The frame as a local table, evaluated once, if it has at most ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
+    """The frame as a local table, evaluated once, if it has at most ``limit`` rows
+    and ``LOCAL_BYTES`` of text."""
+    rows, size = [], 0
+    for row in df.limit(limit + 1).toLocalIterator():
+        rows.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes, bytearray)))
+        if len(rows) > limit or size > LOCAL_BYTES:
+            return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
@@ -29,14 +33,3 @@ def merge_groups(by: Sequence[str], *frames: DataFrame) -> DataFrame:
     columns = [c for f in frames for c in f.columns if c not in by]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return both.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
-
-
-def bounded_list(df: DataFrame, by: Sequence[str], value: str, name: str, limit: int = LIST_ROWS) -> DataFrame:
-    """Sorted array of a column per group, NULL where the group has more than
-    ``limit`` rows; callers offer a row form for those."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    lists = (
-        df.join(sizes.filter(F.col("_n") <= limit).drop("_n"), list(by), "left_semi")
-        .groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
-    )
-    return sizes.drop("_n").join(lists, list(by), "left")

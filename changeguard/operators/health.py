@@ -40,9 +40,19 @@ def connection_usage(activity: DataFrame, max_conns: int, by: Sequence[str] = ()
     })
 
 
-def activity_breakdown(activity: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Connections per value of each dimension, one pass; NULL values are left out."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims]))
+def activity_breakdown(activity: DataFrame, dims: Sequence[str | Sequence[str]]) -> DataFrame:
+    """Connections per value of each dimension, one pass; NULL values are left out.
+
+    A dimension may be a set of columns: its name and values are joined by `` / ``,
+    a NULL within it shows as ``-``, and only rows with NULL in all of them are left out.
+    """
+    def pair(d):
+        if isinstance(d, str):
+            return F.lit(d), F.col(d).cast("string")
+        shown = F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in d])
+        return F.lit(" / ".join(d)), F.when(F.coalesce(*[F.col(c).cast("string") for c in d]).isNotNull(), shown)
+
+    pairs = F.explode(F.array(*[F.struct(n.alias("dimension"), v.alias("value")) for n, v in map(pair, dims)]))
     return (
         activity.select(pairs.alias("p")).select("p.*").filter(F.col("value").isNotNull())
         .groupBy("dimension", "value").agg(F.count("*").alias("n"))
@@ -95,28 +105,31 @@ def long_running(activity: DataFrame, as_of, secs: float, start: str = "query_st
 def lock_blocking(locks: DataFrame, activity: DataFrame) -> DataFrame:
     """Who waits for a lock that others hold or want: one row per waiting request
     with the number of other requests on the same object and one other pid
-    (the lowest, or the highest if the waiting process itself is the lowest).
+    among those with a row in ``activity`` (the lowest, or the highest if the
+    waiting process itself is the lowest; NULL if none has one).
 
     Counting per object keeps the size linear when one object has a third of all
     requests; ``blocking_pairs`` lists the pairs of one waiting process.
     """
     per_pid = locks.groupBy(*LOCK_OBJECT, "pid").agg(F.count("*").alias("_mine"))
-    objects = per_pid.groupBy(*LOCK_OBJECT).agg(
-        F.sum("_mine").alias("_all"), F.min("pid").alias("_low"), F.max("pid").alias("_high"),
+    seen = activity.select("pid").distinct().withColumn("_seen", F.lit(True))
+    known = F.when(F.col("_seen"), F.col("pid"))
+    objects = per_pid.join(seen, "pid", "left").groupBy(*LOCK_OBJECT).agg(
+        F.sum("_mine").alias("_all"), F.min(known).alias("_low"), F.max(known).alias("_high"),
     )
     waiting = locks.filter(~F.col("granted")).select(*LOCK_OBJECT, "pid")
     waiting = _null_safe(waiting, objects, LOCK_OBJECT)
     waiting = _null_safe(waiting, per_pid, [*LOCK_OBJECT, "pid"])
     others = F.col("_all") - F.col("_mine")
-    other = F.when(F.col("_low") != F.col("pid"), F.col("_low")).otherwise(F.col("_high"))
+    other = F.when(F.col("_low") != F.col("pid"), F.col("_low")).when(F.col("_high") != F.col("pid"), F.col("_high"))
     rows = waiting.filter(others > 0).select(
         F.col("pid").alias("blocked_pid"), others.alias("blocking_requests"), other.alias("blocking_pid"),
         "locktype", "relation",
     )
     a = activity.select("pid", "query")
     return (
-        rows.join(a.toDF("blocked_pid", "blocked_query"), "blocked_pid")
-        .join(a.toDF("blocking_pid", "blocking_query"), "blocking_pid")
+        rows.join(a.toDF("blocked_pid", "blocked_query"), "blocked_pid", "left")
+        .join(a.toDF("blocking_pid", "blocking_query"), "blocking_pid", "left")
     )
 
 

@@ -84,18 +84,21 @@ def asof(
     left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, take: dict[str, str],
     left_tie: str, right_tie: str,
 ) -> DataFrame:
-    """Each left row with columns of the latest right row at or before its time."""
+    """Each left row with columns of the latest right row at or before its time.
+
+    Ties keep their own types. A NULL key matches nothing.
+    """
     names = left.columns
-    marks = right.select(
-        F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(right_tie).cast("long").alias("_tie"),
+    marks = right.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(right_tie).alias("_right_tie"),
         F.struct(*[F.col(src).alias(new) for new, src in take.items()]).alias("_mark"),
     )
     rows = left.select(
         F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-        F.col(left_tie).cast("long").alias("_tie"), F.struct(*names).alias("_row"),
+        F.col(left_tie).alias("_left_tie"), F.struct(*names).alias("_row"),
     )
     line = rows.unionByName(marks, allowMissingColumns=True)
-    filled = scan(line, ["_k"], ["_t", "_side", "_tie"], fill={"_last": F.col("_mark")})
+    filled = scan(line, ["_k"], ["_t", "_side", "_right_tie", "_left_tie"], fill={"_last": F.col("_mark")})
     return filled.filter(F.col("_side") == 1).select("_row.*", *[F.col(f"_last.{n}").alias(n) for n in take])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeguard.functions.columns import as_expr, differs, key_bucket, ratio
+from changeguard.functions.columns import as_expr, differs, in_sample, ratio
 
 
 def drift_scan(df: DataFrame, column: str, expr: str | Column, by: Sequence[str] = ()) -> DataFrame:
@@ -22,9 +22,7 @@ def drift_scan(df: DataFrame, column: str, expr: str | Column, by: Sequence[str]
 
 def sampled_parity(df: DataFrame, column: str, expr: str | Column, key: str = "id", rate: float = 1.0, salt: str = "") -> DataFrame:
     """Parity on a repeatable sample by key hash; a rate outside (0, 1] means all rows."""
-    rows = df
-    if 0 < rate < 1:
-        rows = df.filter(key_bucket(key, salt) < int(round(rate * 10_000)))
+    rows = df.filter(in_sample(key, rate, salt))
     counts = rows.agg(
         F.count_if(~differs(column, as_expr(expr))).alias("matches"), F.count("*").alias("sampled")
     )
@@ -53,24 +51,27 @@ def drift_columns(df: DataFrame, exprs: Mapping[str, str | Column]) -> DataFrame
 
 
 def verify_columns(df: DataFrame, exprs: Mapping[str, str | Column], key: str = "id", rate: float = 1.0, salt: str = "") -> DataFrame:
-    """NULLs over all rows and parity on the sample, for several columns in one pass."""
-    inside = key_bucket(key, salt) < int(round(rate * 10_000)) if 0 < rate < 1 else F.lit(True)
+    """Rows and NULLs over all rows and parity on the sample, for several columns in one pass."""
+    inside = in_sample(key, rate, salt)
     rows = df.select(*exprs, *[(~differs(c, as_expr(e))).alias(f"_same_{i}") for i, (c, e) in enumerate(exprs.items())], inside.alias("_in"))
     counts = rows.agg(*[
         a for i, c in enumerate(exprs) for a in (
-            F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), F.count_if("_in").alias(f"sampled_{i}"),
+            F.count("*").alias(f"total_{i}"), F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), F.count_if("_in").alias(f"sampled_{i}"),
             F.count_if(F.col("_in") & F.col(f"_same_{i}")).alias(f"matches_{i}"),
         )
     ])
-    report = _per_column(counts, list(exprs), ["nulls", "sampled", "matches"])
+    report = _per_column(counts, list(exprs), ["total", "nulls", "sampled", "matches"])
     return report.withColumn("parity", ratio("matches", "sampled", 1.0))
 
 
 def parity_gate(report: DataFrame, threshold: float = 0.999, min_parity: float = 0.0) -> DataFrame:
-    """Adds ``passed`` and ``reason``: remaining NULLs fail first, then parity."""
+    """Adds ``passed`` and ``reason``: remaining NULLs fail first, then parity. A
+    sample without a row says nothing about a table that has some, and fails."""
     limit = max(threshold, min_parity)
     by_nulls, by_parity = F.col("nulls") > 0, F.col("parity") < limit
+    unseen = (F.col("sampled") == 0) & (F.col("total") > 0) if "sampled" in report.columns else F.lit(False)
     reason = F.when(by_nulls, F.concat(F.col("nulls").cast("string"), F.lit(" rows still NULL"))).when(
         by_parity, F.format_string(f"parity %.5f < {limit:.5f}", F.col("parity"))
     )
-    return report.withColumns({"passed": ~(by_nulls | by_parity), "reason": reason})
+    reason = F.coalesce(reason, F.when(unseen, F.format_string("none of %d rows sampled", F.col("total")) if "sampled" in report.columns else None))
+    return report.withColumns({"passed": ~(by_nulls | by_parity | unseen), "reason": reason})

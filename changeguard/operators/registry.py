@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeguard.functions.columns import age_seconds
-from changeguard.operators.bounded import LIST_ROWS, bounded_list
+from changeguard.operators.ordered import scan
+
+LIST_ROWS = 10_000
+
+
+def chunked_list(df: DataFrame, by: Sequence[str], value: str, name: str, limit: int = LIST_ROWS) -> DataFrame:
+    """All values of each group in sorted arrays of at most ``limit``: one row per
+    group and ``chunk``, counted from 0, so that no value is lost and no array grows
+    with its group."""
+    numbered = scan(df.select(*by, F.col(value).alias("_v")), by, ["_v"], number="_n")
+    return numbered.groupBy(*by, F.floor((F.col("_n") - 1) / limit).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list("_v")).alias(name))
 
 
 def registry_from_heartbeats(beats: DataFrame) -> DataFrame:
@@ -35,27 +45,28 @@ def dead_services(reg: DataFrame, as_of, secs: float) -> DataFrame:
 
 
 def liveness(reg: DataFrame, as_of, secs: float, by: str = "migration_id", list_limit: int = LIST_ROWS) -> DataFrame:
-    """Per change: services, dead ones, their sorted names, alive.
+    """Per change: services, dead ones, alive, and the sorted names of the dead.
 
-    Names are NULL beyond ``list_limit`` dead services; ``dead_services`` has
-    them as rows.
+    A change has one row per ``list_limit`` dead services, numbered by ``chunk``;
+    the counts are those of the whole change in each.
     """
     late = age_seconds("last_heartbeat", as_of) > secs
     counts = reg.groupBy(by).agg(F.count("*").alias("services"), F.count_if(late).alias("dead"))
-    names = bounded_list(dead_services(reg, as_of, secs), [by], "service_name", "dead_services", list_limit)
+    names = chunked_list(dead_services(reg, as_of, secs), [by], "service_name", "dead_services", list_limit)
     none = F.array().cast("array<string>")
     return counts.join(names, by, "left").select(
-        by, "services", "dead", (F.col("dead") == 0).alias("alive"),
-        F.when(F.col("dead") == 0, none).otherwise(F.col("dead_services")).alias("dead_services"),
+        by, F.coalesce("chunk", F.lit(0)).alias("chunk"), "services", "dead", (F.col("dead") == 0).alias("alive"),
+        F.coalesce("dead_services", none).alias("dead_services"),
     )
 
 
 def service_versions(reg: DataFrame, by: str = "migration_id", list_limit: int = LIST_ROWS) -> DataFrame:
-    """Map service -> version per change; NULL beyond ``list_limit`` services,
-    where ``versions_in_use`` and the registry itself have the rows."""
-    pairs = reg.select(by, F.struct("service_name", "schema_version").alias("_e"))
-    lists = bounded_list(pairs, [by], "_e", "_l", list_limit)
-    return lists.select(by, F.map_from_entries("_l").alias("versions"))
+    """Map service -> version per change, one row per ``list_limit`` services in
+    the order of their names, numbered by ``chunk``."""
+    numbered = scan(reg.select(by, "service_name", "schema_version"), [by], ["service_name"], number="_n")
+    chunk = F.floor((F.col("_n") - 1) / list_limit).cast("int").alias("chunk")
+    pairs = numbered.groupBy(by, chunk).agg(F.collect_list(F.struct("service_name", "schema_version")).alias("_l"))
+    return pairs.select(by, "chunk", F.map_from_entries("_l").alias("versions"))
 
 
 def versions_in_use(reg: DataFrame, by: str = "migration_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,15 @@ def _filler(dtype: T.DataType):
         return F.lit(dt.date(1970, 1, 1))
     if isinstance(dtype, T.TimestampType):
         return F.lit(dt.datetime(1970, 1, 1))
-    if isinstance(dtype, T.NumericType) and not isinstance(dtype, T.DecimalType):
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    if isinstance(dtype, T.DecimalType):  # a literal of just this precision and scale; a cast would be nullable
+        return F.lit(Decimal((0, (9,) * dtype.precision, -dtype.scale)))
+    if isinstance(dtype, T.NumericType):
         return F.lit(0).cast(dtype)
-    return None
+    if isinstance(dtype, T.BinaryType):
+        return F.lit(bytearray())
+    raise ChangeError(f"NOT NULL is not supported for columns of type {dtype.simpleString()}")
 
 
 def contract(df: DataFrame, drop: Sequence[str] = (), not_null: Sequence[str] = (), check: bool = True) -> DataFrame:
@@ -67,8 +74,7 @@ def contract(df: DataFrame, drop: Sequence[str] = (), not_null: Sequence[str] =
     for c in not_null:
         dtype = df.schema[c].dataType
         stop = F.raise_error(F.lit(f"NULL in column {c}")).cast(dtype)
-        fill = _filler(dtype)
-        strict[c] = F.coalesce(F.col(c), stop) if fill is None else F.coalesce(F.col(c), stop, fill)
+        strict[c] = F.coalesce(F.col(c), stop, _filler(dtype))
     return out.withColumns(strict) if strict else out
 
 

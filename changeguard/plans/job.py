@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from changeguard.functions.columns import key_hash
 from changeguard.operators.backfill import fill_pending
 from changeguard.operators.lifecycle import current_state
 from changeguard.operators.parity import drift_columns, parity_gate, verify_columns
 from changeguard.operators.registry import service_readiness
 from changeguard.operators.schema_change import ChangeError, contract, expand, rollback, verify_rollback
-from changeguard.operators.slo import canary_run
+from changeguard.operators.slo import canary_run, lag_gate
 from changeguard.plans.plan import FLOW, ROLLED_BACK, ROLLING_BACK, TERMINAL, Plan
-from changeguard.sources.logs import append_events, read_log
+from changeguard.sources.logs import append_events, append_log, read_log
+
+#: Rows one range of a backfill is meant to have; each range is written and logged on its own.
+RANGE_ROWS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -38,16 +45,25 @@ class ChangeResult:
 
 class ChangeJob:
     """Runs one plan on one table. ``workdir`` is a shared folder and belongs to
-    this run: the event log, the filled table and the final table."""
+    this run: the event, batch and canary logs, the filled ranges and the final table.
+
+    ``lag`` has ``max_lag_ms`` rows as of now; ``as_of`` is the time of the log
+    entries, the current time if it is not given.
+    """
 
-    def __init__(self, df: DataFrame, plan: Plan, requests: RequestLog | None, workdir: str, key: str = "id", registry: DataFrame | None = None):
-        self.df, self.plan, self.requests, self.key, self.registry = df, plan, requests, key, registry
+    def __init__(self, df: DataFrame, plan: Plan, requests: RequestLog | None, workdir: str, key: str = "id", registry: DataFrame | None = None,
+                 lag: DataFrame | None = None, as_of: dt.datetime | None = None, range_rows: int = RANGE_ROWS):
+        self.df, self.plan, self.requests, self.key, self.registry, self.lag = df, plan, requests, key, registry, lag
         self.spark = df.sparkSession
+        self.as_of, self.range_rows = as_of, range_rows
         self.events_path, self.filled_path, self.final_path = (f"{workdir}/{n}" for n in ("events", "filled", "final"))
+        self.backfill_path, self.canary_path = f"{workdir}/backfill-log", f"{workdir}/canary-log"
+        have = {c.lower() for c in df.columns}
+        self.added = [s for s in plan.add if s.name.lower() not in have]
 
     def run(self, max_steps: int | None = None) -> ChangeResult:
-        """Advance to a final state, or by ``max_steps``."""
-        state, seq = self._where()
+        """Advance to a final state, or by ``max_steps``; a range of the backfill is a step."""
+        state, seq, self.noted = self._where()
         steps = {
             "Pending": lambda: {}, "Expanding": self._expand, "Backfilling": self._backfill, "Verifying": self._verify,
             "Canary": self._canary, "Cutover": self._cutover, "Contracting": self._contract, ROLLING_BACK: self._rollback,
@@ -61,39 +77,94 @@ class ChangeJob:
             state, done = after, done + 1
         return ChangeResult(state, self._table(state), read_log(self.spark, self.events_path, "state"))
 
-    def _where(self) -> tuple[str, int]:
+    def _where(self) -> tuple[str, int, dict]:
+        """(state, number of the last event, what the last event notes)."""
         try:
             log = read_log(self.spark, self.events_path, "state")
-            row = log.agg(F.max_by("to_state", "id").alias("s"), F.max("id").alias("n")).first()
-        except AnalysisException:  # no log yet
+            row = log.agg(F.max_by("to_state", "id").alias("s"), F.max("id").alias("n"), F.max_by("detail", "id").alias("d")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # a log that cannot be read is no new start
+                raise
             row = None
-        return (row["s"], row["n"]) if row and row["s"] else ("Pending", 0)
+        return (row["s"], row["n"], json.loads(row["d"] or "{}")) if row and row["s"] else ("Pending", 0, {})
+
+    def _now(self) -> Column:
+        return F.current_timestamp() if self.as_of is None else F.lit(self.as_of).cast("timestamp")
 
     def _log(self, seq: int, before: str, after: str, note: dict) -> None:
         row = self.spark.createDataFrame(
             [(seq, self.plan.id, before, after, json.dumps(note))],
             "id long, migration_id string, from_state string, to_state string, detail string",
-        ).withColumn("created_at", F.current_timestamp())
+        ).withColumn("created_at", self._now())
         append_events(row.coalesce(1), self.events_path)
+        self.noted = note
 
     def _table(self, state: str) -> DataFrame:
         if state == "Done":
             return self.spark.read.parquet(self.final_path)
         if state == ROLLED_BACK:
-            return rollback(self.df, self.plan.add)
+            return rollback(self.df, self.added)
         return self.df
 
+    def _range_path(self, n: int) -> str:
+        return f"{self.filled_path}/range-{n:06d}"
+
     def _filled(self) -> DataFrame:
-        return self.spark.read.parquet(self.filled_path)
+        wide = expand(self.df, self.plan.add)  # the schema: a range may be empty
+        return self.spark.read.schema(wide.schema).parquet(f"{self.filled_path}/range-*")
 
     def _expand(self) -> dict:
-        return {"columns": [c.name for c in self.plan.add]}
+        return {"columns": [c.name for c in self.added]}
+
+    def _ranges(self) -> dict:
+        """How the backfill is cut: upper bounds of key ranges, or the number of hash ranges if keys are no numbers."""
+        rows = self.df.count()
+        n = max(1, math.ceil(rows / max(self.range_rows, self.plan.batch_size)))
+        if n == 1:
+            return {"bounds": [], "hashed": 0}
+        if isinstance(self.df.schema[self.key].dataType, T.IntegralType):
+            at = self.df.agg(F.percentile_approx(self.key, [i / n for i in range(1, n)], 10_000)).first()[0]
+            return {"bounds": sorted(set(at or [])), "hashed": 0}
+        return {"bounds": [], "hashed": n}
+
+    def _in_range(self, cut: dict, n: int) -> Column:
+        """Whether a key is in the n-th range; the first also has NULL keys."""
+        if cut["hashed"]:
+            width = 2**32 / cut["hashed"]
+            return key_hash(self.key).between(math.ceil((n - 1) * width), math.ceil(n * width) - 1)
+        bounds, k = cut["bounds"], F.col(self.key)
+        low = k > bounds[n - 2] if n > 1 else F.lit(True)
+        high = k <= bounds[n - 1] if n <= len(bounds) else F.lit(True)
+        return (low & high) | k.isNull() if n == 1 else low & high
 
     def _backfill(self) -> dict:
+        """Fill and write the next range; its event is the checkpoint that a later run goes on from."""
+        before = self.noted if "batch_num" in self.noted else {"batch_num": 0, "rows_done": 0, "last_id": None, **self._ranges()}
+        n, ranges = before["batch_num"] + 1, before["hashed"] or len(before["bounds"]) + 1
         wide = expand(self.df, self.plan.add)
         filled = fill_pending(wide, self.plan.exprs) if self.plan.exprs else wide
-        filled.write.mode("overwrite").parquet(self.filled_path)
-        return {"filled": list(self.plan.exprs)}
+        filled.filter(self._in_range(before, n)).write.mode("overwrite").parquet(self._range_path(n))
+        done = self.spark.read.schema(filled.schema).parquet(self._range_path(n)).agg(F.count("*").alias("rows"), F.max(self.key).alias("last")).first()
+        if not self._logged(self.backfill_path, "backfill", F.col("batch_number") == n):
+            self._note(self.backfill_path, "backfill", [(n, done["rows"], self.plan.throttle_ms)], "batch_number int, rows_affected int, throttle_ms int", "created_at")
+        last = before["last_id"] if before["hashed"] or done["last"] is None else done["last"]
+        point = {"batch_num": n, "rows_done": before["rows_done"] + done["rows"], "last_id": last}
+        if n < ranges:
+            return {**point, "bounds": before["bounds"], "hashed": before["hashed"], "next": "Backfilling"}
+        return {**{k: v for k, v in point.items() if k != "batch_num"}, "batches": n, "filled": list(self.plan.exprs)}
+
+    def _logged(self, path: str, kind: str, which: Column) -> bool:
+        """Whether an interrupted step has written its log row already."""
+        try:
+            return not read_log(self.spark, path, kind).filter((F.col("migration_id") == self.plan.id) & which).isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
+    def _note(self, path: str, kind: str, rows: list[tuple], schema: str, at: str) -> None:
+        frame = self.spark.createDataFrame(rows, schema).withColumns({"migration_id": F.lit(self.plan.id), at: self._now()})
+        append_log(frame.coalesce(1), path, kind)
 
     def _verify(self) -> dict:
         if not self.plan.exprs:
@@ -111,11 +182,17 @@ class ChangeJob:
         raise ChangeError(why)
 
     def _canary(self) -> dict:
+        lag = self._lag()
+        if lag and lag["start_blocked"]:
+            raise ChangeError(f"replication lag too high before canary: {lag['max_lag_ms']:.0f}ms (max: {self.plan.slo.max_p99_latency_ms}ms)")
         if self.requests is None:
             return {"skipped": "no request log"}
         r = self.requests
         run = canary_run(r.df, r.key, r.latency, r.is_error, self.plan.slo, self.plan.steps, self.plan.on_failure, self.plan.id)
         rows = run.orderBy("step").collect()  # one row per step
+        seen = [(x["step"], x["traffic_pct"], None if x["p99_ms"] is None else float(x["p99_ms"]), x["err_pct"], x["slo_breached"]) for x in rows if x["outcome"] in ("healthy", "breach")]
+        if seen and not self._logged(self.canary_path, "canary", F.col("step") == seen[-1][0]):
+            self._note(self.canary_path, "canary", seen, "step int, traffic_pct int, p99_ms double, err_pct double, slo_breached boolean", "observed_at")
         for row in rows:
             if row["outcome"] == "breach":
                 return self._fail(f"breach at {row['step']}%: {row['reason']}", {"canary_pct": row["step"]})
@@ -123,9 +200,16 @@ class ChangeJob:
                 raise ChangeError(f"no requests at {row['step']}%")
         return {"canary_pct": 100}
 
+    def _lag(self):
+        """The gate on the largest lag; None without lag rows or a latency limit."""
+        if self.lag is None or not self.plan.slo.max_p99_latency_ms:
+            return None
+        return lag_gate(self.lag.agg(F.max("max_lag_ms").alias("max_lag_ms")), self.plan.slo).first()
+
     def _cutover(self) -> dict:
         if self.registry is not None:
-            row = service_readiness(self.registry.withColumn("_all", F.lit(1)), "_all").first()
+            mine = self.registry.filter(F.col("migration_id").cast("string") == self.plan.id)
+            row = service_readiness(mine.withColumn("_all", F.lit(1)), "_all").first()
             if row and not row["all_ready"]:
                 return self._fail(f"{row['not_ready']} services not ready", {})
         if not self.plan.exprs:
@@ -144,18 +228,21 @@ class ChangeJob:
         return {"dropped": list(self.plan.drop), "not_null": self.plan.required}
 
     def _rollback(self) -> dict:
-        left = verify_rollback(rollback(self.df, self.plan.add), [c.name for c in self.plan.add])
+        names = [c.name for c in self.added]  # a column that was there before the change stays
+        left = verify_rollback(rollback(self.df, self.added), names)
         if left:
             raise ChangeError(f"still there after rollback: {', '.join(left)}")
-        return {"removed": [c.name for c in self.plan.add]}
+        return {"removed": names}
 
 
-def run_change(df: DataFrame, plan: Plan, requests: RequestLog | None, workdir: str, key: str = "id", registry: DataFrame | None = None, max_steps: int | None = None) -> ChangeResult:
+def run_change(df: DataFrame, plan: Plan, requests: RequestLog | None, workdir: str, key: str = "id", registry: DataFrame | None = None, max_steps: int | None = None,
+               lag: DataFrame | None = None, as_of: dt.datetime | None = None, range_rows: int = RANGE_ROWS) -> ChangeResult:
     """Expand, backfill, verify, canary, cutover, contract; or roll back.
 
-    Every step ends with an appended event; calling it again goes on from there.
+    Every step ends with an appended event; calling it again goes on from there,
+    within a backfill from its last range.
     """
-    return ChangeJob(df, plan, requests, workdir, key, registry).run(max_steps)
+    return ChangeJob(df, plan, requests, workdir, key, registry, lag, as_of, range_rows).run(max_steps)
 
 
 def change_state(result: ChangeResult) -> DataFrame:

@@ -110,31 +110,38 @@ def rate_limit_stream(
 def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds") -> DataFrame:
     """Current state per change. A row per change and micro-batch with its newest
     state, and a row with ``stuck`` set when an unfinished change, not Pending,
-    has held its state for ``secs``."""
+    has held its state for ``secs``.
+
+    The newest event is the one with the largest (created_at, id) of all
+    micro-batches so far: events that come late do not turn a state back.
+    """
     wait = int(secs * 1000)
-    key_type = dict(events.dtypes)["migration_id"]
+    key_type, id_type = (dict(events.dtypes)[c] for c in ("migration_id", "id"))
 
-    def row(key, name, since, stuck):
-        return pd.DataFrame({"migration_id": [key[0]], "state": [name], "since_us": [since], "stuck": [stuck]})
+    def row(key, name, since, newest, stuck):
+        return pd.DataFrame({"migration_id": [key[0]], "state": [name], "since_us": [since], "newest_us": [newest], "stuck": [stuck]})
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
-            name, since = state.get
-            state.update((name, since))
-            yield row(key, name, since, True)
+            name, since, newest, newest_id = state.get
+            state.update((name, since, newest, newest_id))
+            yield row(key, name, since, newest, True)
             return
-        name, since = state.get if state.exists else (None, 0)
-        for to_state, at in _rows(batches, ["_us", "id"])[["to_state", "_us"]].itertuples(index=False):
+        name, since, newest, newest_id = state.get if state.exists else (None, 0, None, None)
+        for to_state, at, event in _rows(batches, ["_us", "id"])[["to_state", "_us", "id"]].itertuples(index=False):
+            if newest is not None and (at, event) <= (newest, newest_id):
+                continue
             if to_state != name:
                 name, since = to_state, int(at)
-        state.update((name, since))
+            newest, newest_id = int(at), event.item() if hasattr(event, "item") else event
+        state.update((name, since, newest, newest_id))
         if name not in (*TERMINAL, "Pending"):
             state.setTimeoutTimestamp(max(since // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield row(key, name, since, False)
+        yield row(key, name, since, newest, False)
 
     rows = timed(events, "created_at", delay).select(
         "migration_id", "id", "to_state", "created_at", F.unix_micros("created_at").alias("_us"))
     return rows.groupBy("migration_id").applyInPandasWithState(
-        step, f"migration_id {key_type}, state string, since_us long, stuck boolean",
-        "state string, since_us long", "append", EVENT_TIME,
-    ).select("migration_id", "state", F.timestamp_micros("since_us").alias("since"), "stuck")
+        step, f"migration_id {key_type}, state string, since_us long, newest_us long, stuck boolean",
+        f"state string, since_us long, newest_us long, newest_id {id_type}", "append", EVENT_TIME,
+    ).select("migration_id", "state", F.timestamp_micros("since_us").alias("since"), F.timestamp_micros("newest_us").alias("newest_at"), "stuck")

@@ -42,9 +42,14 @@ def p95_trailing_window(i):
     return rounded(slo.p_cont(slo.trailing(log, "ts", latest(log, "ts"), 5 * 86400), "duration_ms", 0.95, [], "p95"))
 
 
-@check()
+@check("SELECT route, count(duration_ms) AS n, true AS near FROM requests GROUP BY route", "requests")
 def p99_sketch(i):
-    return slo.p_approx(i.requests, "duration_ms", 0.99, ["route"], "p99")
+    """No engine has the same sketch: its rank must be within 1/accuracy of the wanted one."""
+    found = slo.p_approx(i.requests, "duration_ms", 0.99, ["route"], "p99")
+    ranks = i.requests.join(found, "route").groupBy("route", "n").agg(
+        F.count_if(F.col("duration_ms") < F.col("p99")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("p99")).alias("upto"))
+    off = F.col("n") / 10_000 + 1
+    return ranks.select("route", "n", ((F.col("below") <= 0.99 * F.col("n") + off) & (F.col("upto") >= 0.99 * F.col("n") - off)).alias("near"))
 
 
 @check("""SELECT client_id, count(*) FILTER (WHERE status_code >= 500) AS errors, count(*) AS total,
@@ -66,8 +71,8 @@ def slo_gate(i):
     return rounded(slo.slo_gate(obs, GATE))
 
 
-def _canary_sql(max_p99, max_err, fail):
-    bucket = "('0x' || substr(md5('v1' || cast(client_id AS varchar)), 1, 8))::bigint % 10000"
+def _canary_sql(max_p99, max_err, fail, client="client_id"):
+    bucket = f"('0x' || substr(md5('v1' || coalesce(cast({client} AS varchar), '')), 1, 8))::bigint % 10000"
     return f"""WITH r AS (SELECT step, duration_ms, status_code >= 500 AS err,
           row_number() OVER (PARTITION BY step ORDER BY duration_ms) AS rn, count(*) OVER (PARTITION BY step) AS c
         FROM requests, (SELECT unnest([1, 5, 25, 100]) AS step) WHERE {bucket} < 100 * step),
@@ -98,6 +103,14 @@ def canary_run(i):
     return _counted(slo.canary_run(i.requests, "client_id", "duration_ms", is_error(), limits, salt="v1"))
 
 
+@check(_canary_sql(300, 30.0, "rollback", "CASE WHEN client_id % 3 > 0 THEN client_id END"), "requests")
+def canary_run_null_clients(i):
+    """A third of the clients is unknown; their requests are judged as well."""
+    limits = Slo(max_p99_latency_ms=300, max_error_rate_pct=30.0)
+    log = i.requests.withColumn("client_id", F.expr("CASE WHEN client_id % 3 > 0 THEN client_id END"))
+    return _counted(slo.canary_run(log, "client_id", "duration_ms", is_error(), limits, salt="v1"))
+
+
 @check(_canary_sql(100, 30.0, "pause"), "requests")
 def canary_run_breach(i):
     limits = Slo(max_p99_latency_ms=100, max_error_rate_pct=30.0)
@@ -124,9 +137,10 @@ def connection_usage(i):
 
 @check("""SELECT 'state' AS dimension, state AS value, count(*) AS n FROM activity GROUP BY state
     UNION ALL SELECT 'application_name', application_name, count(*) FROM activity GROUP BY application_name
-    UNION ALL SELECT 'wait_event_type', wait_event_type, count(*) FROM activity WHERE wait_event_type IS NOT NULL GROUP BY wait_event_type""", "activity")
+    UNION ALL SELECT 'wait_event_type', wait_event_type, count(*) FROM activity WHERE wait_event_type IS NOT NULL GROUP BY wait_event_type
+    UNION ALL SELECT 'wait_event_type / state', coalesce(wait_event_type, '-') || ' / ' || state, count(*) FROM activity GROUP BY wait_event_type, state""", "activity")
 def activity_breakdown(i):
-    return health.activity_breakdown(i.activity, ["state", "application_name", "wait_event_type"])
+    return health.activity_breakdown(i.activity, ["state", "application_name", "wait_event_type", ["wait_event_type", "state"]])
 
 
 WAITING = "state = 'active' AND wait_event_type = 'Lock' AND query NOT LIKE '%query 13%'"
@@ -180,6 +194,18 @@ def lock_blocking(i):
     return health.lock_blocking(i.locks, i.lock_activity).withColumn("relation", F.col("relation").cast("string"))
 
 
+@check(f"""SELECT x.pid AS blocked_pid, x.blocking_requests, x.blocking_pid, x.locktype, x.relation::varchar AS relation, p.query AS blocked_query, q.query AS blocking_query FROM
+    (SELECT w.rid, w.pid, w.locktype, w.relation, count(*) AS blocking_requests,
+        CASE WHEN w.pid = least(min(b.pid) FILTER (WHERE b.pid % 3 > 0), CASE WHEN w.pid % 3 > 0 THEN w.pid END)
+             THEN max(b.pid) FILTER (WHERE b.pid % 3 > 0) ELSE min(b.pid) FILTER (WHERE b.pid % 3 > 0) END AS blocking_pid
+     FROM (SELECT *, row_number() OVER () AS rid FROM locks) w JOIN locks b ON {SAME_LOCK} AND b.pid <> w.pid
+     WHERE NOT w.granted GROUP BY w.rid, w.pid, w.locktype, w.relation) x
+    LEFT JOIN (SELECT * FROM lock_activity WHERE pid % 3 > 0) p ON p.pid = x.pid LEFT JOIN lock_activity q ON q.pid = x.blocking_pid""", "locks lock_activity")
+def lock_blocking_partial_activity(i):
+    """A third of the processes has no activity row; no blocked request gets lost."""
+    return health.lock_blocking(i.locks, i.lock_activity.filter("pid % 3 > 0")).withColumn("relation", F.col("relation").cast("string"))
+
+
 @check(f"""SELECT w.pid AS blocked_pid, b.pid AS blocking_pid, w.locktype, w.relation::varchar AS relation, p.query AS blocked_query, q.query AS blocking_query
     FROM locks w JOIN locks b ON {SAME_LOCK} AND b.pid <> w.pid JOIN lock_activity p ON p.pid = w.pid JOIN lock_activity q ON q.pid = b.pid
     WHERE NOT w.granted AND w.pid = 8""", "locks lock_activity")

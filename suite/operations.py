@@ -169,11 +169,14 @@ def service_readiness(i):
 LATE = "epoch_us((SELECT max(recorded_at) FROM heartbeats)) - epoch_us(last_heartbeat) > 36000::bigint * 1000000"
 
 
-@check(f"""SELECT migration_id, count(*) AS services, count(*) FILTER (WHERE {LATE}) AS dead, count(*) FILTER (WHERE {LATE}) = 0 AS alive,
-    coalesce(array_to_string(list(service_name ORDER BY service_name) FILTER (WHERE {LATE}), ','), '') AS dead_services FROM registry GROUP BY migration_id""", "heartbeats registry")
+@check(f"""SELECT c.migration_id, coalesce(chunk, 0)::int AS chunk, services, dead, dead = 0 AS alive, coalesce(names, '') AS dead_services FROM
+    (SELECT migration_id, count(*) AS services, count(*) FILTER (WHERE {LATE}) AS dead FROM registry GROUP BY migration_id) c LEFT JOIN
+    (SELECT migration_id, (rn - 1) // 3 AS chunk, string_agg(service_name, ',' ORDER BY service_name) AS names FROM
+      (SELECT *, row_number() OVER (PARTITION BY migration_id ORDER BY service_name) AS rn FROM registry WHERE {LATE}) GROUP BY ALL) n USING (migration_id)""", "heartbeats registry")
 def service_liveness(i):
+    """Names in chunks of three."""
     reg = i.registry
-    return rg.liveness(reg, latest(i.heartbeats, "recorded_at"), 36000).withColumn("dead_services", F.array_join("dead_services", ","))
+    return rg.liveness(reg, latest(i.heartbeats, "recorded_at"), 36000, list_limit=3).withColumn("dead_services", F.array_join("dead_services", ","))
 
 
 @check(f"SELECT migration_id, service_name, last_heartbeat FROM registry WHERE {LATE}", "heartbeats registry")
@@ -181,11 +184,13 @@ def dead_services(i):
     return rg.dead_services(i.registry, latest(i.heartbeats, "recorded_at"), 36000).select("migration_id", "service_name", "last_heartbeat")
 
 
-@check("SELECT migration_id, string_agg(service_name || '=' || schema_version, ',' ORDER BY service_name) AS versions FROM registry GROUP BY migration_id", "heartbeats registry")
+@check("""SELECT migration_id, ((rn - 1) // 7)::int AS chunk, string_agg(service_name || '=' || schema_version, ',' ORDER BY service_name) AS versions FROM
+    (SELECT *, row_number() OVER (PARTITION BY migration_id ORDER BY service_name) AS rn FROM registry) GROUP BY ALL""", "heartbeats registry")
 def service_versions(i):
+    """Maps of seven services."""
     by_name = F.array_sort(F.map_keys("versions"))
     text = F.array_join(F.transform(by_name, lambda k: F.concat_ws("=", k, F.element_at("versions", k).cast("string"))), ",")
-    return rg.service_versions(i.registry).select("migration_id", text.alias("versions"))
+    return rg.service_versions(i.registry, list_limit=7).select("migration_id", "chunk", text.alias("versions"))
 
 
 @check("SELECT migration_id, schema_version, count(*) AS services FROM registry GROUP BY ALL", "heartbeats registry")

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeguard.operators.registry import registry_from_heartbeats
+from changeguard.operators.schema_change import ChangeError
 from changeguard.plans.job import RequestLog, run_change
 from changeguard.plans.plan import ColumnSpec, Plan, Slo
 from changeguard.session import scratch_dir
-from changeguard.sources.logs import stream_log
+from changeguard.sources.logs import read_log, stream_log
 from changeguard.streaming import monitors, stateful
 from changeguard.streaming.backfill import backfill_stream, run_available
-from suite.base import check, rounded
+from suite.base import SIZE_CLASS, check, rounded
 from suite.objectives import PACE, _with_walk
 from suite.tables import BAND, TIER
 
@@ -101,7 +102,18 @@ def state_stream(i):
     path = scratch_dir(i.spark, "state-log")
     log = i.state_log
     log.write.parquet(path)
-    return finished(i, stateful.state_stream(stream_log(i.spark, path, log.schema)), "state")
+    return finished(i, stateful.state_stream(stream_log(i.spark, path, log.schema)), "state").drop("newest_at")
+
+
+@check("SELECT migration_id, state FROM current_state", "state_log current_state")
+def state_stream_out_of_order(i):
+    """One file per micro-batch, each with events of all times: late events never turn a state back."""
+    path = scratch_dir(i.spark, "state-log")
+    log = i.state_log
+    log.repartitionByRange(5, F.xxhash64("id")).write.parquet(path)
+    seen = stateful.state_stream(stream_log(i.spark, path, log.schema, files_per_trigger=1), delay="36500 days")
+    rows = finished(i, seen, "state").filter("not stuck")
+    return rows.groupBy("migration_id").agg(F.max_by("state", "newest_at").alias("state"))
 
 
 FLAG = "CASE WHEN value < 50 THEN 'low' ELSE 'high' END"
@@ -128,12 +140,10 @@ def _target(df):
 
 
 def _backfill(i, folder):
-    orders = i.table("orders")
-    src, out = scratch_dir(i.spark, "orders"), scratch_dir(i.spark, folder)
-    orders.repartition(4, "o_orderkey").write.parquet(src)
+    out = scratch_dir(i.spark, folder)
     log = backfill_stream(
-        i.spark, src, out, scratch_dir(i.spark, f"{folder}-checkpoint"), {"tier": TIER, "band": BAND}, orders.schema,
-        files_per_trigger=2, prepare=_target)
+        i.spark, i.dir, out, scratch_dir(i.spark, f"{folder}-checkpoint"), {"tier": TIER, "band": BAND}, i.table("orders").schema,
+        glob="orders.parquet", prepare=_target)
     return out, log
 
 
@@ -150,7 +160,7 @@ def backfill_stream_progress(i):
     return log.agg(*[F.sum(c).alias(c) for c in ("rows", "filled", "still_null")])
 
 
-PLAN = dict(id="size-tier", version=1, table="backfill_target", drop=("status",),
+PLAN = dict(id="3", version=1, table="backfill_target", drop=("status",),
             add=(ColumnSpec("tier", "string", TIER), ColumnSpec("band", "string", BAND)))
 
 
@@ -167,11 +177,66 @@ def change_job_done(i):
     return out.table
 
 
-@check("SELECT id, amount, status FROM backfill_fresh", "backfill_fresh")
+def _events(*moves):
+    return " UNION ALL ".join(f"SELECT {n}::bigint AS id, '{a}' AS from_state, '{b}' AS to_state" for n, (a, b) in enumerate(zip(moves, moves[1:], strict=False), 1))
+
+
+P99_SQL = """SELECT max(CASE WHEN rn - 1 = least(floor(0.99::double * n)::bigint, n - 1) THEN duration_ms END) FROM
+    (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) AS rn, count(*) OVER () AS n FROM requests
+     WHERE ('0x' || substr(md5('3' || cast(client_id AS varchar)), 1, 8))::bigint % 10000 < 2500)"""
+
+
+@check(f"""SELECT e.*, CASE WHEN to_state = 'RollingBack' THEN 'breach at 25%: p99 ' || round_even(({P99_SQL}), 0)::bigint || 'ms > 50ms' END AS reason,
+    (SELECT count(*) FROM backfill_fresh WHERE tier IS NOT NULL) AS tiers_kept FROM
+    ({_events('Pending', 'Expanding', 'Backfilling', 'Verifying', 'Canary', 'RollingBack', 'RolledBack')}) e""", "backfill_fresh requests")
 def change_job_rolled_back(i):
+    """The canary breaches; the columns that were there before the change keep their values."""
     plan = Plan(**PLAN, slo=Slo(max_p99_latency_ms=50), steps=(25, 100))
     out = run_change(i.backfill_fresh, plan, _requests(i), scratch_dir(i.spark, "change"))
-    return out.table
+    kept = out.table.filter("tier is not null").count()
+    return out.events.select("id", "from_state", "to_state", F.get_json_object("detail", "$.reason").alias("reason"), F.lit(kept).cast("long").alias("tiers_kept"))
+
+
+@check("""SELECT 4::bigint AS ranges, count(*) AS rows, 'Done' AS state, 0::bigint AS nulls, 3::bigint AS checkpoints, 2::bigint AS done_at_stop FROM backfill_fresh""", "backfill_fresh")
+def change_job_resumed(i):
+    """Stopped within the backfill and finished later; finished ranges are not done again."""
+    plan, target, path = Plan(**PLAN, batch_size=1), i.backfill_fresh, scratch_dir(i.spark, "change")
+    range_rows = -(-target.count() // 4)
+    run_change(target, plan, None, path, max_steps=4, range_rows=range_rows)
+    stopped = read_log(i.spark, f"{path}/backfill-log", "backfill").count()
+    out = run_change(target, plan, None, path, range_rows=range_rows)
+    nulls = out.table.filter("tier is null or band is null").count()
+    points = out.events.filter("from_state = to_state").count()
+    log = read_log(i.spark, f"{path}/backfill-log", "backfill")
+    return log.agg(F.count_distinct("batch_number").alias("ranges"), F.sum("rows_affected").alias("rows")).select(
+        "*", F.lit(out.state).alias("state"), *[F.lit(x).cast("long").alias(n) for n, x in (("nulls", nulls), ("checkpoints", points), ("done_at_stop", stopped))])
+
+
+EXAMPLE = {
+    "id": "part-size-class", "version": 42, "table": "part", "strategy": "expand-contract",
+    "expand": ["ALTER TABLE part ADD COLUMN IF NOT EXISTS size_class text", "CREATE INDEX CONCURRENTLY IF NOT EXISTS idx_size ON part (size_class)"],
+    "backfill": {"column": "size_class", "batch_size": 5000, "throttle_ms": 20, "source_expr": SIZE_CLASS},
+    "verify": {"mode": "shadow-read", "parity_threshold": 0.999, "sample_rate": 0.05},
+    "contract": ["ALTER TABLE part DROP COLUMN IF EXISTS legacy_shipping"], "rollback": ["ALTER TABLE part DROP COLUMN IF EXISTS size_class"],
+}
+
+
+@check(f"SELECT id, weight, brand, shipping_class, {SIZE_CLASS} AS size_class FROM drift_target", "drift_target")
+def change_job_example_plan(i):
+    """A plan document with raw statements: the contract drops the legacy column."""
+    return run_change(i.drift_target, Plan.from_dict(EXAMPLE), None, scratch_dir(i.spark, "change")).table
+
+
+@check(f"""SELECT e.*, (SELECT max(lag_ms) FROM replicas) > 50 AS blocked FROM ({_events('Pending', 'Expanding', 'Backfilling', 'Verifying', 'Canary')}) e""", "replicas")
+def change_job_lag_blocked(i):
+    """Replication lag above the latency limit: the canary does not start, and the change waits there."""
+    plan, path = Plan(**PLAN, slo=Slo(max_p99_latency_ms=50)), scratch_dir(i.spark, "change")
+    try:
+        run_change(i.backfill_fresh, plan, _requests(i), path, lag=i.replicas.select(F.col("lag_ms").alias("max_lag_ms")))
+        blocked = False
+    except ChangeError as e:
+        blocked = "replication lag" in str(e)
+    return read_log(i.spark, f"{path}/events", "state").select("id", "from_state", "to_state", F.lit(blocked).alias("blocked"))
 
 
 @check("""SELECT * FROM (SELECT 1::bigint AS id, 'Pending' AS from_state, 'Expanding' AS to_state, count(*) AS target_rows FROM backfill_fresh

@@ -133,11 +133,30 @@ def drift_scan_by_group(i):
 
 @check("""SELECT count(*) FILTER (WHERE NOT drifted) AS matches, count(*) AS sampled,
     round(count(*) FILTER (WHERE NOT drifted)::double / count(*), 6) AS parity FROM drift_rows
-    WHERE ('0x' || substr(md5('s1' || cast(id AS varchar)), 1, 8))::bigint % 10000 < 2500""", "drift_target drift_rows")
+    WHERE ('0x' || substr(md5('s1' || coalesce(cast(id AS varchar), '')), 1, 8))::bigint < 1073741824""", "drift_target drift_rows")
 def sampled_parity(i):
     return rounded(parity.sampled_parity(i.drift_target, "shipping_class", SIZE_CLASS, "id", 0.25, "s1"))
 
 
+@check("""SELECT count(*) FILTER (WHERE NOT drifted) AS matches, count(*) AS sampled,
+    CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE NOT drifted)::double / count(*), 6) ELSE 1 END AS parity FROM
+    (SELECT shipping_class IS DISTINCT FROM (CASE WHEN weight < 10 THEN 'light' WHEN weight < 30 THEN 'standard' ELSE 'freight' END) AS drifted,
+      ('0x' || substr(md5('s1' || coalesce(CASE WHEN id % 5 > 0 THEN cast(id AS varchar) END, '')), 1, 8))::bigint AS h FROM drift_target)
+    WHERE h < 343597""", "drift_target")
+def sampled_parity_small_rate(i):
+    """A rate of 0.00008, and a fifth of the keys NULL."""
+    keyed = i.drift_target.withColumn("id", F.expr("CASE WHEN id % 5 > 0 THEN id END"))
+    return rounded(parity.sampled_parity(keyed, "shipping_class", SIZE_CLASS, "id", 0.00008, "s1"))
+
+
+@check("""SELECT 'shipping_class' AS column_name, count(*) AS total, 0::bigint AS sampled, false AS passed, 'none of ' || count(*) || ' rows sampled' AS reason FROM drift_target""", "drift_target")
+def parity_gate_of_nothing(i):
+    """A sample without a row must not pass."""
+    filled = i.drift_target.withColumn("shipping_class", F.expr(SIZE_CLASS))
+    report = parity.verify_columns(filled, {"shipping_class": SIZE_CLASS}, "id", 1e-12, "s1")
+    return parity.parity_gate(report).select("column_name", "total", "sampled", "passed", "reason")
+
+
 TWO = {"shipping_class": SIZE_CLASS, "legacy_shipping": "concat('legacy-tier-', cast(id % 3 AS string))"}
 
 
@@ -147,9 +166,9 @@ def drift_scan_of_columns(i):
     return rounded(parity.drift_columns(i.drift_target, TWO))
 
 
-@check("""SELECT 'shipping_class' AS column_name, count(*) FILTER (WHERE shipping_class IS NULL) AS nulls, count(*) FILTER (WHERE s) AS sampled, count(*) FILTER (WHERE s AND NOT drifted) AS matches,
+@check("""SELECT 'shipping_class' AS column_name, count(*) AS total, count(*) FILTER (WHERE shipping_class IS NULL) AS nulls, count(*) FILTER (WHERE s) AS sampled, count(*) FILTER (WHERE s AND NOT drifted) AS matches,
       round(count(*) FILTER (WHERE s AND NOT drifted)::double / count(*) FILTER (WHERE s), 6) AS parity FROM r
-    UNION ALL SELECT 'legacy_shipping', 0, count(*) FILTER (WHERE s), count(*) FILTER (WHERE s), 1.0::double FROM r""".replace("FROM r", "FROM (SELECT *, ('0x' || substr(md5('s1' || cast(id AS varchar)), 1, 8))::bigint % 10000 < 2500 AS s FROM drift_rows)"),
+    UNION ALL SELECT 'legacy_shipping', count(*), 0, count(*) FILTER (WHERE s), count(*) FILTER (WHERE s), 1.0::double FROM r""".replace("FROM r", "FROM (SELECT *, ('0x' || substr(md5('s1' || coalesce(cast(id AS varchar), '')), 1, 8))::bigint < 1073741824 AS s FROM drift_rows)"),
        "drift_target drift_rows")
 def verify_sampled_columns(i):
     return rounded(parity.verify_columns(i.drift_target, TWO, "id", 0.25, "s1"))
@@ -229,9 +248,14 @@ def table_checksum_md5(i):
     return a.unionByName(reconcile.table_checksum(i.orders_dst, SUMMED, "md5").select(F.lit("dst").alias("side"), "*"))
 
 
-@check()
+@check("""SELECT count(*) AS row_count, true AS same_in_other_order, (SELECT count(*) FROM orders_dst) AS copy_rows, false AS same_as_copy FROM orders""", "orders_dst")
 def table_checksum_crc32(i):
-    return reconcile.table_checksum(i.table("orders"), SUMMED, "crc32")
+    """The other engine has no CRC32: the sums must agree in any order and differ from the damaged copy."""
+    a, b, c = (reconcile.table_checksum(df, SUMMED, "crc32") for df in (
+        i.table("orders"), i.table("orders").repartition(7, "o_orderdate").sortWithinPartitions(F.desc("o_totalprice")), i.orders_dst))
+    sums = a.select("row_count", F.col("checksum").alias("a"), F.lit(1).alias("k")).join(b.select(F.col("checksum").alias("b"), F.lit(1).alias("k")), "k")
+    sums = sums.join(c.select(F.col("row_count").alias("copy_rows"), F.col("checksum").alias("c"), F.lit(1).alias("k")), "k")
+    return sums.select("row_count", (F.col("a") == F.col("b")).alias("same_in_other_order"), "copy_rows", (F.col("a") == F.col("c")).alias("same_as_copy"))
 
 
 @check(f"""WITH s AS ({_sum_sql('orders')}), d AS ({_sum_sql('orders_dst')}),

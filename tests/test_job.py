@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from changeguard.operators.schema_change import ChangeError
 from changeguard.plans.job import RequestLog, run_change
-from changeguard.plans.plan import ColumnSpec, Plan, Slo
+from changeguard.plans.plan import ColumnSpec, Plan, PlanError, Slo
 
 EXPR = "CASE WHEN weight < 10 THEN 'light' ELSE 'heavy' END"
 
@@ -66,8 +66,8 @@ def test_rollback_resumes(spark, items, tmp_path):
 
 def test_cutover_refuses_drift(spark, items, tmp_path):
     run_change(items, plan(), log(spark), str(tmp_path), max_steps=5)
-    broken = spark.read.parquet(f"{tmp_path}/filled").withColumn("class", F.lit(None).cast("string")).collect()
-    spark.createDataFrame(broken, "id long, weight long, legacy string, class string").write.mode("overwrite").parquet(f"{tmp_path}/filled")
+    broken = spark.read.parquet(f"{tmp_path}/filled/range-000001").withColumn("class", F.lit(None).cast("string")).collect()
+    spark.createDataFrame(broken, "id long, weight long, legacy string, class string").write.mode("overwrite").parquet(f"{tmp_path}/filled/range-000001")
     r = run_change(items, plan(), log(spark), str(tmp_path))
     assert r.state == "RolledBack" and "legacy" in r.table.columns
     assert "NULL" in r.events.filter("to_state = 'RollingBack'").first().detail
@@ -84,3 +84,60 @@ def test_verify_refuses_nulls(spark, items, tmp_path):
     holes = plan(add=(ColumnSpec("class", "string", "CASE WHEN weight < 10 THEN 'light' END"),))
     with pytest.raises(ChangeError, match="100 rows still NULL"):
         run_change(items, holes, log(spark), str(tmp_path))
+
+
+def test_backfill_goes_on_from_its_last_range(spark, items, tmp_path):
+    small = dict(range_rows=50)
+    p = plan(batch_size=1)
+    run_change(items, p, log(spark), str(tmp_path), max_steps=4, **small)
+    first = {f: f.stat().st_mtime_ns for f in tmp_path.glob("filled/*/*.parquet")}
+    r = run_change(items, p, log(spark), str(tmp_path), **small)
+    assert r.state == "Done" and r.table.count() == 200 and r.table.filter(f"class <> {EXPR}").count() == 0
+    assert len(list(tmp_path.glob("filled/*"))) == 4 and all(f.stat().st_mtime_ns == t for f, t in first.items())
+    assert states(r).count("Backfilling") == 4
+    notes = [e.detail for e in r.events.filter("to_state = 'Backfilling' and from_state = 'Backfilling'").orderBy("id").collect()]
+    assert '"batch_num": 3' in notes[-1] and '"rows_done": 150' in notes[-1]
+    canary = spark.read.parquet(str(tmp_path / "canary-log"))
+    assert [x.step for x in canary.orderBy("step").collect()] == [1, 5, 25, 100]
+
+
+def test_backfill_of_text_keys(spark, items, tmp_path):
+    texts = items.withColumn("id", F.concat(F.lit("k"), "id")).union(items.selectExpr("cast(null as string)", "weight", "legacy").limit(1))
+    r = run_change(texts, plan(batch_size=1), log(spark), str(tmp_path), range_rows=60)
+    assert r.state == "Done" and r.table.count() == 201
+
+
+def test_columns_that_were_there_survive_a_rollback(spark, items, tmp_path):
+    r = run_change(items.withColumn("class", F.expr(EXPR)), plan(), log(spark, 101.0), str(tmp_path))
+    assert r.state == "RolledBack" and r.table.filter(f"class = {EXPR}").count() == 200
+
+
+def test_services_of_other_changes_do_not_block(spark, items, tmp_path):
+    reg = spark.createDataFrame([("p1", "a", True), ("p2", "b", False)], "migration_id string, service_name string, compatible boolean")
+    assert run_change(items, plan(), log(spark), str(tmp_path), registry=reg).state == "Done"
+
+
+def test_lag_holds_the_canary(spark, items, tmp_path):
+    lag = lambda ms: spark.createDataFrame([(ms,)], "max_lag_ms double")
+    with pytest.raises(ChangeError, match="replication lag"):
+        run_change(items, plan(), log(spark), str(tmp_path), lag=lag(51.0))
+    assert run_change(items, plan(), log(spark), str(tmp_path), lag=lag(50.0)).state == "Done"
+
+
+def test_an_unreadable_log_is_no_new_start(spark, items, tmp_path):
+    run_change(items, plan(), log(spark), str(tmp_path), max_steps=2)
+    for f in (tmp_path / "events").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet|magic|footer"):
+        run_change(items, plan(), log(spark), str(tmp_path))
+
+
+def test_raw_statements():
+    doc = {"id": "a", "version": 1, "table": "t", "expand": ["alter table public.t add column if not exists n numeric(10, 2) not null, add column b timestamptz;", "create index i on t (n)"],
+           "contract": ['ALTER TABLE "t" DROP COLUMN IF EXISTS old CASCADE']}
+    p = Plan.from_dict(doc)
+    assert [(c.name, c.type, c.nullable) for c in p.add] == [("n", "decimal(10, 2)", False), ("b", "timestamp", True)] and p.drop == ("old",)
+    for bad in ({"contract": ["DELETE FROM t"]}, {"expand": ["ALTER TABLE t RENAME TO u"]}, {"contract": ["ALTER TABLE other DROP COLUMN x"]},
+                {"expand": ["ALTER TABLE t DROP COLUMN x"]}, {"rollback": ["ALTER TABLE t DROP COLUMN x"]}, {"expand": ["ALTER TABLE t ADD COLUMN x point"]}):
+        with pytest.raises(PlanError):
+            Plan.from_dict({**doc, **bad})

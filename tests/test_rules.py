@@ -224,7 +224,8 @@ def test_readiness_and_versions(spark):
     reg = spark.createDataFrame([("m", "a", 1, True), ("m", "b", 2, False), ("n", "a", 1, True)], "migration_id string, service_name string, schema_version int, compatible boolean")
     assert {r.migration_id: r.all_ready for r in registry.service_readiness(reg).collect()} == {"m": False, "n": True}
     assert {r.migration_id: r.versions for r in registry.service_versions(reg).collect()} == {"m": {"a": 1, "b": 2}, "n": {"a": 1}}
-    assert {r.migration_id: r.versions for r in registry.service_versions(reg, list_limit=1).collect()} == {"m": None, "n": {"a": 1}}
+    assert {r.migration_id: r.versions for r in registry.service_versions(reg, list_limit=1).filter("chunk = 0").collect()} == {"m": {"a": 1}, "n": {"a": 1}}
+    assert registry.service_versions(reg, list_limit=1).filter("chunk = 1").first().versions == {"b": 2}
 
 
 def test_liveness_lists(spark):
@@ -234,8 +235,8 @@ def test_liveness_lists(spark):
     as_of = F.lit(base + dt.timedelta(seconds=60))
     got = {r.migration_id: (r.dead, r.alive, r.dead_services) for r in registry.liveness(reg, as_of, 30).collect()}
     assert got == {"m": (2, False, ["a", "b"]), "n": (0, True, [])}
-    cut = {r.migration_id: r.dead_services for r in registry.liveness(reg, as_of, 30, list_limit=1).collect()}
-    assert cut == {"m": None, "n": []} and registry.dead_services(reg, as_of, 30).count() == 2
+    cut = {(r.migration_id, r.chunk): r.dead_services for r in registry.liveness(reg, as_of, 30, list_limit=1).collect()}
+    assert cut == {("m", 0): ["a"], ("m", 1): ["b"], ("n", 0): []} and registry.dead_services(reg, as_of, 30).count() == 2
 
 
 def test_success_rate_without_finished_changes(spark):
@@ -298,3 +299,41 @@ drop_columns: [legacy]
 slo: {max_p99_latency_ms: 50, max_error_rate_pct: 1.0, min_parity: 0.9999}
 """)
     assert plan.required == ["size_class"] and plan.min_parity == 0.9999 and plan.drop == ("legacy",)
+
+
+def test_not_null_of_every_type(spark):
+    df = spark.sql("select cast(1.5 as decimal(12,2)) a, cast(0.5 as decimal(2,2)) b, timestamp_ntz'2024-01-01 00:00:00' c, x'01' d, true e, date'2024-01-01' f union all select null, null, null, null, null, null")
+    full = df.filter("a is not null")
+    out = schema_change.contract(full, (), df.columns)
+    assert not any(f.nullable for f in out.schema) and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in full.collect()]
+    with pytest.raises(schema_change.ChangeError, match="not supported"):
+        schema_change.contract(spark.sql("select array(1) a"), (), ["a"])
+
+
+def test_lock_representative_has_activity(spark):
+    ddl = "locktype string, database long, relation long, page long, tuple long, virtualxid string, transactionid long, classid long, objid long, objsubid long, pid long, granted boolean"
+    locks = spark.createDataFrame([("r", 1, 7, None, None, None, None, None, None, None, p, p == 1) for p in (1, 5, 9)], ddl)
+    act = spark.createDataFrame([(5, "q5"), (9, "q9")], "pid long, query string")
+    got = {r.blocked_pid: (r.blocking_requests, r.blocking_pid, r.blocking_query) for r in health.lock_blocking(locks, act).collect()}
+    assert got == {5: (2, 9, "q9"), 9: (2, 5, "q5")}
+    none = health.lock_blocking(locks, act.filter("pid = 5")).collect()
+    assert {(r.blocked_pid, r.blocking_pid, r.blocked_query) for r in none} == {(5, None, "q5"), (9, 5, None)}
+
+
+def test_as_of_join_with_text_ids_and_null_keys(spark):
+    t = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    events = spark.createDataFrame([("m", "e-b", "Canary", t(5)), ("m", "e-a", "Backfilling", t(5)), ("m", "e-c", "Pending", t(1)), (None, "e-d", "Done", t(1))],
+                                   "migration_id string, id string, to_state string, created_at timestamp")
+    log = spark.createDataFrame([("m", "x", t(5)), ("m", "y", t(3)), (None, "z", t(9)), ("m", "w", t(0))], "migration_id string, id string, at timestamp")
+    assert {r.id: r.state for r in lifecycle.state_at(log, events, "at").collect()} == {"x": "Canary", "y": "Pending", "z": None, "w": None}
+
+
+def test_order_of_reports(spark):
+    t = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    rows = [(f"m{i}", "Canary", t(i * 7 % 20), i % 4 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "migration_id string, state string, updated_at timestamp, terminal boolean").repartition(5)
+    newest = [r.updated_at for r in lifecycle.recent(df, "updated_at", "migration_id").collect()]
+    assert newest == sorted(newest, reverse=True)
+    waiting = [(r.updated_at, r.migration_id) for r in lifecycle.resumable(df).collect()]
+    assert waiting == sorted(waiting) and len(waiting) == 15
