@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changeguard.functions.columns import age_seconds, micros
 from changeguard.operators.lifecycle import current_state
+from changeguard.operators.metrics import increase
 from changeguard.plans.plan import PARITY_THRESHOLD, ROLLED_BACK
 
 # How long a condition must hold, in seconds.
@@ -43,6 +44,16 @@ def rolled_back(events: DataFrame, as_of: Column, secs: float = ROLLBACK_WINDOW_
     return seen.select(*_alert("rolled_back", "critical", F.col("migration_id"), F.col("at"), F.col("n")))
 
 
+def counted_rollbacks(counters: DataFrame, as_of: Column, secs: float = ROLLBACK_WINDOW_S, tie: str = "id") -> DataFrame:
+    """Rollback counters (``series``, ``ts``, ``value``) that grew within the last
+    ``secs``. Resets count as growth from zero; a change that an operator ended
+    without the counter raises nothing."""
+    age = age_seconds("ts", as_of)
+    grown = increase(counters.filter((age >= 0) & (age <= secs)), secs, ["series"], tie=tie)
+    last = grown.groupBy("series").agg(F.max("ts").alias("at"), F.max_by("increase", F.struct("ts", tie)).alias("n"))
+    return last.filter(F.col("n") > 0).select(*_alert("rolled_back", "critical", F.col("series"), F.col("at"), F.col("n")))
+
+
 def low_parity(samples: DataFrame, as_of: Column, secs: float = PARITY_S, limit: float = PARITY_THRESHOLD) -> DataFrame:
     """Series (``series``, ``ts``, ``value``) below the limit for at least ``secs`` without a break."""
     last_good = samples.groupBy("series").agg(F.max(F.when(F.col("value") >= limit, F.col("ts"))).alias("_good"))
@@ -61,9 +72,11 @@ def silent(samples: DataFrame, as_of: Column, secs: float = SILENT_S) -> DataFra
                 F.floor((micros(as_of) - micros("last")) / 1e6).cast("long")))
 
 
-def alerts(events: DataFrame, samples: DataFrame, as_of: Column, parity_limit: float = PARITY_THRESHOLD) -> DataFrame:
-    """All rules at one moment, one row per alert."""
+def alerts(events: DataFrame, samples: DataFrame, as_of: Column, parity_limit: float = PARITY_THRESHOLD, counters: DataFrame | None = None) -> DataFrame:
+    """All rules at one moment, one row per alert. Rollbacks are read from their
+    counter if it is given, else from the events."""
+    undone = rolled_back(events, as_of) if counters is None else counted_rollbacks(counters, as_of)
     rules = [
-        stuck(events, as_of), rolled_back(events, as_of), low_parity(samples, as_of, limit=parity_limit), silent(samples, as_of),
+        stuck(events, as_of), undone, low_parity(samples, as_of, limit=parity_limit), silent(samples, as_of),
     ]
     return reduce(DataFrame.unionByName, rules)

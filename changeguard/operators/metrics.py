@@ -43,7 +43,9 @@ ROLLBACKS = "migrate_rollbacks_total"
 
 
 def migration_metrics(samples: DataFrame) -> DataFrame:
-    """One row per (migration_id, plan_id): latest gauges, percent filled, active state."""
+    """One row per (migration_id, plan_id): latest gauges, percent filled, active
+    state, and the rollbacks of the whole plan."""
+    undone = samples.filter(F.col("name") == ROLLBACKS).groupBy(F.col("labels")["plan_id"].alias("plan_id")).agg(F.sum("value").alias("rollbacks"))
     rows = samples.withColumns({
         "migration_id": F.col("labels")["migration_id"], "plan_id": F.col("labels")["plan_id"],
     }).filter(F.col("migration_id").isNotNull())
@@ -56,7 +58,7 @@ def migration_metrics(samples: DataFrame) -> DataFrame:
         *[last(m).alias(c) for c, m in GAUGES.items()], F.coalesce(active, F.lit("")).alias("state"),
     )
     pct = F.when(F.col("backfill_total") > 0, F.col("backfill_done") / F.col("backfill_total") * 100).otherwise(0.0)
-    return wide.withColumn("backfill_pct", pct)
+    return wide.withColumn("backfill_pct", pct).join(undone, "plan_id", "left").withColumn("rollbacks", F.coalesce("rollbacks", F.lit(0.0)))
 
 
 def transition_counts(samples: DataFrame) -> DataFrame:

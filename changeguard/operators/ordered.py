@@ -30,7 +30,11 @@ MIN_GLOBAL_BLOCKS = 8
 
 @dataclass(frozen=True)
 class Splits:
-    """Split points of one order column; ``hot`` are values that fill whole blocks."""
+    """Split points of one order column; ``hot`` are values that fill whole blocks.
+
+    Rows with a hot value or NULL are split again by the next order column, if
+    there are splits of one.
+    """
 
     column: str
     points: tuple
@@ -43,11 +47,11 @@ def _splittable(dtype: T.DataType) -> bool:
 
 
 def _sampled_quantiles(df: DataFrame, column: str, n: int, total: int) -> list:
-    """Quantiles of a column without numeric order, from a bounded sample."""
+    """Quantiles of a column without numeric order (text, binary, boolean), from a bounded sample."""
     want = 32 * n
     fraction = min(1.0, want / max(total, 1))
     rows = df.select(column).filter(F.col(column).isNotNull()).sample(fraction, seed=7).limit(2 * want)
-    values = sorted(r[0] for r in rows.collect())
+    values = sorted(bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in rows.collect())
     return [values[len(values) * i // n] for i in range(1, n)] if values else []
 
 
@@ -64,30 +68,29 @@ def find_splits(df: DataFrame, order: Sequence[str], n: int, total: int) -> list
     fractions = [i / n for i in range(1, n)]
     share = max(SAMPLE_ROWS, 500 * n) / max(total, 1)
     sampled = df.sample(share, seed=11) if share < 0.5 else df
-    row = sampled.agg(*[
-        F.percentile_approx(F.col(c), fractions, 10 * n).alias(c) for c in usable
-    ]).first() if usable else {}
+    row = sampled.agg(
+        F.count("*").alias("_rows"), *[F.count(c).alias(f"_known_{c}") for c in order],
+        *[F.percentile_approx(F.col(c), fractions, 10 * n).alias(c) for c in usable]).first()
     found = []
     for c in order:
         if c in usable:
             values = list(row[c] or [])
-        elif isinstance(types[c], T.StringType):
+        elif isinstance(types[c], (T.StringType, T.BinaryType, T.BooleanType)):
             values = _sampled_quantiles(df, c, n, total)
         else:
             break
-        if not values:
-            break
         counts = Counter(values)
         points = sorted(counts)
         hot = tuple(p for p in points if counts[p] > 1)
         found.append(Splits(c, tuple(points), hot, types[c]))
-        if not hot:
+        # Values or NULLs that fill a block are cut by the next column; so is a column of NULLs.
+        if not hot and (row["_rows"] - row[f"_known_{c}"]) * n <= row["_rows"]:
             break
-    return found
+    return found if any(s.points for s in found) else []
 
 
 def _literals(values: Sequence, dtype: T.DataType) -> Column:
-    return F.array(*[F.lit(v).cast(dtype) for v in values])
+    return F.array(*[F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(dtype) for v in values])
 
 
 def add_block(df: DataFrame, splits: Sequence[Splits], name: str = "_blk") -> DataFrame:
@@ -100,7 +103,12 @@ def add_block(df: DataFrame, splits: Sequence[Splits], name: str = "_blk") -> Da
     block, within = F.lit(0).cast("long"), F.lit(True)
     temps = []
     for level, s in enumerate(splits):
-        below, table, value = f"_below{level}", _literals(s.points, s.dtype), F.col(s.column)
+        value = F.col(s.column)
+        if not s.points:  # only NULLs were seen; any value sorts behind them
+            block = block * 4 + F.when(within & value.isNotNull(), 1).otherwise(F.when(within, -1).otherwise(0))
+            within = within & value.isNull()
+            continue
+        below, table = f"_below{level}", _literals(s.points, s.dtype)
         temps.append(below)
         df = df.withColumn(below, F.lit(0))
         for bit in reversed(range(len(s.points).bit_length())):
@@ -108,9 +116,9 @@ def add_block(df: DataFrame, splits: Sequence[Splits], name: str = "_blk") -> Da
             more = F.get(table, F.col(below) + (stride - 1)) < value
             df = df.withColumn(below, F.when(more, F.col(below) + stride).otherwise(F.col(below)))
         at_hot = F.coalesce(F.array_contains(_literals(s.hot, s.dtype), value), F.lit(False)) if s.hot else F.lit(False)
-        step = 2 * F.col(below) + at_hot.cast("int")
-        block = block * (2 * len(s.points) + 2) + F.when(within, step).otherwise(0)
-        within = within & at_hot
+        step = F.when(value.isNull(), -1).otherwise(2 * F.col(below) + at_hot.cast("int"))
+        block = block * (2 * len(s.points) + 4) + F.when(within, step).otherwise(0)
+        within = within & (at_hot | value.isNull())
     return df.withColumn(name, block).drop(*temps)
 
 

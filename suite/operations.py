@@ -300,15 +300,18 @@ def metric_latest_filtered(i):
 
 
 @check("""SELECT migration_id, plan_id, total AS backfill_total, done AS backfill_done, 0.0::double AS parity, 0.0::double AS canary_pct, 0.0::double AS cutover_parity,
-    CASE WHEN total > 0 THEN round(done / total * 100, 6) ELSE 0 END::double AS backfill_pct, state FROM (
+    CASE WHEN total > 0 THEN round(done / total * 100, 6) ELSE 0 END::double AS backfill_pct, state,
+    round(coalesce(rollbacks, 0), 6)::double AS rollbacks FROM (
     SELECT user_id::varchar AS migration_id, 'p' || (user_id % 7) AS plan_id,
       coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'view'), 0)::double AS total,
       coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'click'), 0)::double AS done,
-      coalesce(arg_min('s' || (event_id % 3), event_id) FILTER (WHERE event_type = 'signup'), '') AS state FROM events GROUP BY user_id)""")
+      coalesce(arg_min('s' || (event_id % 3), event_id) FILTER (WHERE event_type = 'signup'), '') AS state FROM events GROUP BY user_id)
+    LEFT JOIN (SELECT 'p' || (user_id % 7) AS plan_id, sum(value) AS rollbacks FROM events WHERE event_type = 'error' GROUP BY 1) USING (plan_id)""")
 def migration_metrics(i):
     ev = i.table("events")
     name = F.when(F.col("event_type") == "view", mt.GAUGES["backfill_total"]).when(
-        F.col("event_type") == "click", mt.GAUGES["backfill_done"]).when(F.col("event_type") == "signup", mt.STATE_METRIC).otherwise("other")
+        F.col("event_type") == "click", mt.GAUGES["backfill_done"]).when(F.col("event_type") == "signup", mt.STATE_METRIC).when(
+        F.col("event_type") == "error", mt.ROLLBACKS).otherwise("other")
     labels = F.create_map(
         F.lit("migration_id"), F.col("user_id").cast("string"), F.lit("plan_id"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")),
         F.lit("state"), F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")))
@@ -337,6 +340,15 @@ def counter_rate(i):
     return rounded(mt.rate(i.counters, 172_800, ["series"]).select("series", "id", "rate"))
 
 
+@check("""WITH near AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, id) AS prev FROM counters WHERE ts >= (SELECT max(ts) FROM counters) - INTERVAL 2 DAY)
+    SELECT 'rolled_back' AS rule, 'critical' AS severity, series::varchar AS subject, max(ts) AS since,
+      sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)::bigint::varchar AS detail
+    FROM near GROUP BY series HAVING sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) > 0""", "counters")
+def rollback_counter_alerts(i):
+    counters = i.counters.withColumn("ts", F.col("ts").cast("timestamp"))
+    return al.counted_rollbacks(counters, latest(counters, "ts"), 172_800)
+
+
 @check("""WITH clock AS (SELECT max(ts) AS now FROM parity_samples), ev AS (
       SELECT e.* REPLACE ((SELECT now FROM clock) - ((SELECT max(created_at) FROM state_log) - created_at) AS created_at) FROM state_log e),
     cur AS (SELECT migration_id, arg_max(to_state, id) AS state, max(created_at) AS entered FROM ev WHERE from_state IS DISTINCT FROM to_state GROUP BY migration_id),

@@ -127,3 +127,17 @@ def test_nested_groups(events, group_limit, limit):
     for g, part in ((1, "event_id % 2 = 0"), (2, "true")):
         v = sorted(r.value for r in events.filter(part).collect())
         assert got[g] == (len(v), v[int(0.9 * len(v))])
+
+
+@pytest.mark.parametrize("first", ["flag", "blob", "empty", "rare"])
+def test_first_order_column_of_any_kind_is_cut(spark, events, group_limit, first):
+    """A boolean, binary, all-NULL or mostly NULL column first: still blocks, and the same numbers."""
+    df = events.select("event_id", (F.col("event_id") % 3 == 0).alias("flag"), F.unhex(F.hex(F.col("event_id") % 5)).alias("blob"),
+                       F.lit(None).cast("double").alias("empty"), "rare")
+    group_limit(100)
+    got = scan(df, [], [first, "event_id"], number="n", running={"s": F.col("event_id")})
+    cut = choose_cut(df, [], [first, "event_id"])
+    assert cut is not None and cut.tag(df).groupBy("_blk").count().agg(F.max("count")).first()[0] <= 400
+    want = sorted(((r[first] is not None, bytes(r[first]) if isinstance(r[first], bytearray) else r[first] or 0, r.event_id) for r in df.collect()), key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
+    order = [r.event_id for r in got.orderBy("n").collect()]
+    assert order == [w[2] for w in want]
