@@ -7,6 +7,7 @@ summarised in parallel and chained afterwards.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +31,25 @@ class PaceState:
 
 
 class StepMap:
-    """A monotone integer function on [lo, hi] as constant pieces."""
+    """A monotone integer function on [lo, hi] as constant pieces.
+
+    What is passed between tasks are the differences of neighbouring pieces,
+    compressed: they repeat, so even a map that leaves all values apart is small.
+    """
 
     def __init__(self, lo: int, hi: int):
         self.cuts = np.arange(lo, hi + 1)
         self.values = self.cuts.copy()
 
+    def __getstate__(self):
+        packed = [(int(x[0]), zlib.compress(np.diff(x).astype(np.int32).tobytes())) for x in (self.cuts, self.values)]
+        return {"packed": packed}
+
+    def __setstate__(self, state):
+        self.cuts, self.values = (
+            first + np.concatenate(([0], np.cumsum(np.frombuffer(zlib.decompress(rest), dtype=np.int32), dtype=np.int64)))
+            for first, rest in state["packed"])
+
     def then(self, f) -> None:
         v = f(self.values)
         keep = np.ones(len(v), dtype=bool)

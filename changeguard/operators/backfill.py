@@ -82,6 +82,27 @@ def backfill_status(df: DataFrame, column: str, key: str = "id", after=None, don
     )
 
 
+#: What checkpoint documents hold; anything else in them is ignored.
+CHECKPOINT = "last_id bigint, rows_done bigint, batch_num int, canary_pct int, slo_breach string, cutover_parity double"
+
+
+def read_checkpoints(events: DataFrame, detail: str = "detail") -> DataFrame:
+    """Per change the newest value of each field of its checkpoint documents
+    (``id`` orders the events). A document that is no JSON has no fields."""
+    docs = events.withColumn("_d", F.from_json(detail, CHECKPOINT))
+    names = [part.split()[0] for part in CHECKPOINT.split(", ")]
+    return docs.groupBy("migration_id").agg(*[
+        F.max_by(F.col(f"_d.{n}"), F.when(F.col(f"_d.{n}").isNotNull(), F.col("id"))).alias(n) for n in names])
+
+
+def status_from_checkpoints(df: DataFrame, column: str, events: DataFrame, migration_id: str, key: str = "id") -> DataFrame:
+    """``backfill_status`` of one change from where its newest checkpoint says it is."""
+    point = read_checkpoints(events.filter(F.col("migration_id").cast("string") == migration_id)).first()
+    if point is None:
+        return backfill_status(df, column, key)
+    return backfill_status(df, column, key, point["last_id"], point["rows_done"])
+
+
 def shard_ranges(n: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
     """(shard, first key, last key); the last shard takes the rest."""
     width = max((hi - lo + 1) // n, 1)

@@ -47,8 +47,8 @@ def ordered_fold(
         rows = rows.sort_values(order, kind="stable")
         return rows.assign(**replay(controller, rows[value].tolist(), state))
 
-    # Small keys share a call: a bucket of keys costs one Python call, not one per key.
-    buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / BUCKET_ROWS))
+    # Small keys share a call: a bucket of keys costs one Python call, not one per key. Keys that would fill a
+    # bucket alone have one of their own.
     names = df.columns
 
     def run_bucket(rows: pd.DataFrame) -> pd.DataFrame:
@@ -63,8 +63,15 @@ def ordered_fold(
         return rows.assign(**made)
 
     def in_buckets(part: DataFrame) -> DataFrame:
-        shared = part.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
-        return shared.groupBy("_bucket").applyInPandas(run_bucket, schema)
+        sizes = part.groupBy(*by).agg(F.count("*").alias("_n"))
+        large = F.col("_n") > BUCKET_ROWS
+        row = sizes.agg(F.sum("_n").alias("rows"), F.collect_list(F.when(large, F.xxhash64(*by))).alias("large")).first()
+        buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((row["rows"] or 0) / BUCKET_ROWS))
+        hashed = F.xxhash64(*by)
+        # At most rows / BUCKET_ROWS large keys; their hash names their bucket, the others share the numbers from 0.
+        own = F.array_contains(F.array(*[F.lit(x) for x in row["large"]]), hashed) if row["large"] else F.lit(False)
+        shared = part.withColumn("_bucket", F.pmod(hashed, F.lit(buckets))).withColumn("_own", F.when(own, hashed))
+        return shared.groupBy("_bucket", "_own").applyInPandas(run_bucket, schema)
 
     if not cut:
         return in_buckets(df)

@@ -285,6 +285,27 @@ def backfill_status(i):
     return rounded(bf.backfill_status(i.backfill_target, "tier"))
 
 
+CHECKPOINTS = """SELECT o_orderkey AS id, o_custkey % 50 AS migration_id,
+    CASE WHEN o_orderkey % 3 = 0 THEN concat('{{"last_id": ', cast(o_orderkey AS string), ', "rows_done": ', cast(o_orderkey * 2 AS string), ', "batch_num": ', cast(o_orderkey % 100 AS string), '}}')
+         WHEN o_orderkey % 3 = 1 THEN concat('{{"canary_pct": ', cast(o_orderkey % 101 AS string), ', "slo_breach": "p99 ', cast(o_orderkey % 7 AS string), 'ms"}}') ELSE 'no json' END AS detail
+    FROM {orders}"""
+
+
+@check("""SELECT migration_id, max(id) FILTER (WHERE id % 3 = 0) AS last_id, max(id) FILTER (WHERE id % 3 = 0) * 2 AS rows_done, (max(id) FILTER (WHERE id % 3 = 0) % 100)::int AS batch_num,
+    (max(id) FILTER (WHERE id % 3 = 1) % 101)::int AS canary_pct, 'p99 ' || (max(id) FILTER (WHERE id % 3 = 1) % 7) || 'ms' AS slo_breach, NULL::double AS cutover_parity
+    FROM (SELECT o_orderkey AS id, o_custkey % 50 AS migration_id FROM orders) GROUP BY migration_id""")
+def read_checkpoints(i):
+    return bf.read_checkpoints(i.spark.sql(CHECKPOINTS, orders=i.table("orders")))
+
+
+@check("""WITH p AS (SELECT max(o_orderkey) AS id FROM orders WHERE o_custkey % 50 = 7 AND o_orderkey % 3 = 0)
+    SELECT remaining, done, remaining + done AS total, round(done * 100.0 / (remaining + done), 6)::double AS pct
+    FROM (SELECT (SELECT count(*) FROM backfill_target, p WHERE tier IS NULL AND backfill_target.id > p.id) AS remaining, id * 2 AS done FROM p)""", "backfill_target")
+def backfill_status_from_checkpoints(i):
+    events = i.spark.sql(CHECKPOINTS, orders=i.table("orders"))
+    return rounded(bf.status_from_checkpoints(i.backfill_target, "tier", events, "7"))
+
+
 @check("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def batch_membership(i):
     ids = i.table("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))

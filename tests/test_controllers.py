@@ -129,3 +129,18 @@ def test_null_key_and_order_of_equal_times(spark):
         "request_id", "client_id", F.timestamp_seconds("t").alias("ts"))
     got = rate_limit(log, burst=2).orderBy("request_id").collect()
     assert [r.allowed for r in got] == [True, True, False]
+
+
+def test_effect_of_a_quiet_run_is_small():
+    import pickle
+
+    from changeguard.functions.controllers import Pacing
+    from changeguard.plans.plan import ThrottleConfig
+
+    pacing = Pacing(ThrottleConfig(trip_below=0.3))
+    for scores in ([0.6] * 1000, [0.9] * 3, [0.4, 0.6] * 5):
+        effect = pacing.summarise(scores)
+        packed = pickle.dumps(effect)
+        assert len(packed) < 10_000 or scores[0] != 0.6
+        state, other = pacing.start(), pacing.start()
+        assert pacing.jump(state, effect) == pacing.jump(other, pickle.loads(packed))
