@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
+def _times(batches: Iterator[pd.DataFrame]) -> list[int]:
+    """The sorted times of one key in this micro-batch; only they are held."""
+    times = np.concatenate([b["_us"].to_numpy(dtype=np.int64) for b in batches])
+    times.sort()
+    return times.tolist()
+
+
 def liveness_stream(stream: DataFrame, ts: str, by: str, secs: float = 30, delay: str = "0 seconds") -> DataFrame:
     """One row each time a key has been silent for more than ``secs`` of event
     time: key, last heartbeat before the silence, heartbeats since the silence
@@ -41,7 +49,7 @@ def liveness_stream(stream: DataFrame, ts: str, by: str, secs: float = 30, delay
             state.remove()
         else:
             last, beats = state.get if state.exists else (None, 0)
-            for at in _rows(batches, ["_us"])["_us"].tolist():
+            for at in _times(batches):
                 if last is not None and at - last > wait:
                     found.append((last, beats))
                     beats = 0
@@ -113,7 +121,8 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
     has held its state for ``secs``.
 
     The newest event is the one with the largest (created_at, id) of all
-    micro-batches so far: events that come late do not turn a state back.
+    micro-batches so far: events that come late do not turn a state back. A
+    finished change is forgotten once the watermark has passed its last event.
     """
     wait = int(secs * 1000)
     key_type, id_type = (dict(events.dtypes)[c] for c in ("migration_id", "id"))
@@ -124,6 +133,9 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             name, since, newest, newest_id = state.get
+            if name in TERMINAL:
+                state.remove()
+                return
             state.update((name, since, newest, newest_id))
             yield row(key, name, since, newest, True)
             return
@@ -135,7 +147,9 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
                 name, since = to_state, int(at)
             newest, newest_id = int(at), event.item() if hasattr(event, "item") else event
         state.update((name, since, newest, newest_id))
-        if name not in (*TERMINAL, "Pending"):
+        if name in TERMINAL:
+            state.setTimeoutTimestamp(max(newest // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif name != "Pending":
             state.setTimeoutTimestamp(max(since // 1000 + wait, state.getCurrentWatermarkMs() + 1))
         yield row(key, name, since, newest, False)
 

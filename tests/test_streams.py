@@ -88,7 +88,7 @@ def test_liveness_stream_reports_each_silence_once(spark, feed, finish):
 def test_state_stream_flags_stuck(spark, feed, finish):
     ddl = "id long, migration_id string, to_state string, created_at timestamp"
     s = feed([[(1, "m", "Canary", at(0)), (2, "n", "Done", at(0))], [(3, "m", "Canary", at(300))], [(4, "x", "Pending", at(700))]], ddl)
-    got = as_set(finish(stateful.state_stream(s, 600)))
+    got = as_set(finish(stateful.state_stream(s, 600)).drop("newest_at"))
     assert ("m", "Canary", at(0), True) in got and not any(r[3] for r in got if r[0] != "m")
 
 
