@@ -96,23 +96,26 @@ def _postings(classes: DataFrame) -> DataFrame:
     return ranked.filter(F.col("place") <= F.col("shared") - MATCHES + 1).select("node", "token", "shared")
 
 
-def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame) -> DataFrame:
-    """(hub, node, h, s, missing, d, matches, diff): every member of a posting list against the list's hub."""
+def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: bool) -> DataFrame:
+    """(hub, node, h, s, missing, d, matches, diff): every member of a posting list against the list's hub.
+
+    ``repeated`` tells that rows repeat id and text; only one of them gives its class its set.
+    """
     lists = posts.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("s"), "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     lists = stored(lists.select("token", F.col("hub.node").alias("hub")), "hubs")  # written, so that the join can split a hot list
     stars = posts.join(lists, "token").filter("node != hub").select("hub", "node").distinct()
     stars = stored(stars, "stars")
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
     texts = classes.select("node", F.col("key").alias("__key")).join(wanted, "node").join(docs, "__key").select("node", "__body")
-    sets = stored(texts.mapInArrow(_whole_sets, "node long, tokens array<bigint>, members array<bigint>"), "sets")
+    sets = texts.mapInArrow(_whole_sets, "node long, tokens array<bigint>, members array<bigint>")
+    sets = stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
     hubs = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"), F.col("members").alias("hub_members"))
     both = stars.join(sets, "node").join(hubs, "hub").select(
         "hub", "node", F.size("hub_members").cast("long").alias("h"), F.size("members").cast("long").alias("s"),
         F.array_except("hub_members", "members").alias("gone"), F.array_except("members", "hub_members").alias("new"),
         F.size(F.array_intersect("tokens", "hub_tokens")).alias("matches"))
     out = both.select("hub", "node", "h", "s", F.size("gone").cast("long").alias("missing"), "matches", F.concat("gone", "new").alias("diff"))
-    # Repeated rows of a document were joined more than once.
-    return stored(out.dropDuplicates(["hub", "node"]).withColumn("d", F.size("diff").cast("long")), "compared")
+    return stored(out.withColumn("d", F.size("diff").cast("long")), "compared")
 
 
 def _is_link(common, sizes):
@@ -147,6 +150,11 @@ def _links_past_hub(compared: DataFrame) -> DataFrame:
     return sized.filter(_is_link(common_members, F.col("s1") + F.col("s2"))).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
+def _repeated(profiles: DataFrame) -> DataFrame:
+    """Keys of rows with words that repeat id and text."""
+    return profiles.filter("__class is not null").groupBy("__key").count().filter("count > 1").select("__key")
+
+
 def _grouped(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(documents with __key, __id, n_shingles, __class; classes with __class, label, best)."""
     spark = df.sparkSession
@@ -158,7 +166,7 @@ def _grouped(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
         F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best"),
         F.any_value("__tokens").alias("tokens")).select(F.monotonically_increasing_id().alias("node"), "__class", "best", F.col("best.key").alias("key"), "tokens")
     classes = stored(classes, "classes")
-    compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes), "postings"))
+    compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes), "postings"), not _repeated(profiles).isEmpty())
     near = compared.filter((F.col("matches") >= MATCHES) & _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s")))
     links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(_links_past_hub(compared))
     labels = components(links)
@@ -184,7 +192,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """The columns of ``df``: one row of each component, that of the smallest id. Texts without words all stay."""
     profiles, groups = _grouped(df, doc_id, text)
     chosen = profiles.filter("__class is null").select("__key").union(groups.select(F.col("__best.key").alias("__key")).distinct())
-    copies = profiles.filter("__class is not null").groupBy("__key").count().filter("count > 1").select("__key")
+    copies = _repeated(profiles)
     kept = df.withColumn("__key", row_key(doc_id, text)).join(chosen.distinct(), "__key", "left_semi")
     if not copies.isEmpty():  # rows that repeat id and text: one of them stays
         copies = stored(copies, "copies")

@@ -164,6 +164,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in near_dups.one_of_each(docs).collect()} == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_many_repeated_rows_are_compared_once(spark):
+    """Two near copies, each some hundred times with the same id: one comparison, no product of the repeats."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:99], "end"])]
+    docs = spark.createDataFrame([(i % 2, texts[i % 2]) for i in range(600)] + [(5, "something else altogether than that")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dups.near_duplicates(docs).collect())
+    assert got == {(0, 0, True): 300, (1, 0, False): 300, (5, 5, True): 1}
+    assert sorted(r.doc_id for r in near_dups.one_of_each(docs).collect()) == [0, 5]
+
+
 def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda: rng.choice(["the", "of", "and", "to", f"x{rng.randrange(900)}"])
