@@ -17,6 +17,10 @@ from changeguard.llm.common import prepare, stored
 
 #: Re-keyed entities up to this many (about 100 bytes each) are broadcast; more are joined to their documents.
 BROADCAST_ENTITIES = 50_000
+#: From this attempt on surrogates get longer (addresses: come from wider ranges), as their own space may be full.
+WIDE = 4
+#: No entity comes this far: its surrogate would have 128 more characters than the entity itself.
+LAST = WIDE + 8
 
 # Given names by gender and script, and titles that tell a gender.
 NAMES = {
@@ -34,6 +38,9 @@ SURNAMES = {
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f",
           "Monsieur": "m", "Madame": "f", "Mme": "f", "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f"}
 
+#: What stands for a secret of signs only, which are those that may be in one.
+SIGNS = "!#$%&()*+-./:<=>?@[]^_{|}~"
+
 _WORD = r"[^\W\d_]"
 #: Each kind of entity and its pattern; the first that matches at a place counts.
 KINDS: dict[str, str] = {
@@ -121,6 +128,8 @@ def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
         return m.start(), end, kind, " ".join(_person(value)[1]).casefold()
     if kind in ("card", "phone", "ssn", "iban"):
         return m.start(), end, kind, re.sub(r"[^0-9A-Z+]", "", value)
+    if kind == "secret" and len(set(value)) == 1 and not _drawn(value[0]):
+        return None  # a mask, as in password=****
     return m.start(), end, kind, value.casefold() if kind == "email" else value
 
 
@@ -138,10 +147,17 @@ def _stream(key: bytes, *parts: str) -> Callable[[int], int]:
     return draw
 
 
+def _drawn(c: str) -> bool:
+    """Whether ``_like`` gives other characters for this one."""
+    return c.isalpha() or c.isdecimal()
+
+
 def _like(c: str, draw: Callable[[int], int], hexadecimal: bool = False) -> str:
     """A character of the same class: digit, or letter of the same case and script."""
     if "0" <= c <= "9":
         return "0123456789"[draw(10)]
+    if c.isdecimal():
+        return chr(ord(c) - unicodedata.decimal(c) + draw(10))
     if not c.isalpha():
         return c
     if c.isascii():
@@ -153,37 +169,52 @@ def _like(c: str, draw: Callable[[int], int], hexadecimal: bool = False) -> str:
     if first is None:  # accented Latin letters and other scripts: a neighbour in the same block that is a letter of that case
         block = [chr(x) for x in range(ord(c) & ~0x1F, (ord(c) | 0x1F) + 1)]
         pool = [x for x in block if x.isalpha() and x.isupper() == c.isupper() and unicodedata.name(x, "").split(" ")[0] == script]
+        if len(pool) == 1:  # as for ß, which has no neighbour of its kind
+            return _like("A" if c.isupper() else "a", draw)
         return pool[draw(len(pool))]
     x = chr(ord(first) + draw(17))
     return x.upper() if c.isupper() else x
 
 
+def _more(like: str, draw: Callable[[int], int], attempt: int) -> str:
+    """What makes a surrogate longer: nothing before ``WIDE``, then 1, 2, 4, ... characters."""
+    return "".join(_like(like, draw) for _ in range(1 << attempt - WIDE)) if attempt >= WIDE else ""
+
+
 def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
-    """The canonical form of the replacement: of the same kind and length, decided by key, entity and attempt."""
+    """The canonical form of the replacement, decided by key, entity and attempt: of the same kind, and before
+    ``WIDE`` of the same length."""
     draw = _stream(key, kind, canonical, str(attempt))
     if kind == "name":
         return canonical  # names are drawn with the mention's gender and script
-    if kind == "ip":
+    if kind == "ip":  # private addresses, then reserved ones, then those of IPv6 for documentation
+        if attempt > WIDE:
+            return "2001:db8:" + ":".join(f"{draw(1 << 16):x}" for _ in range(6))
+        if attempt == WIDE:
+            return f"{240 + draw(15)}." + ".".join(str(draw(256)) for _ in range(3))
         return "10." + ".".join(str(draw(256)) for _ in range(3))
     if kind == "email":
         local, _, host = canonical.partition("@")
         labels = host.split(".")
-        return "".join(_like(c, draw) for c in local) + "@" + ".".join("".join(_like(c, draw) for c in x) for x in labels[:-1]) + "." + labels[-1]
+        return "".join(_like(c, draw) for c in local) + _more("a", draw, attempt) + "@" + ".".join("".join(_like(c, draw) for c in x) for x in labels[:-1]) + "." + labels[-1]
     if kind == "phone":
         keep = 2 if canonical.startswith("+") else 0
-        return canonical[:keep] + "".join(_like(c, draw) for c in canonical[keep:])
+        return canonical[:keep] + "".join(_like(c, draw) for c in canonical[keep:]) + _more("0", draw, attempt)
     if kind == "card":
-        body = canonical[0] + "".join(_like(c, draw) for c in canonical[1:-1])
+        body = canonical[0] + "".join(_like(c, draw) for c in canonical[1:-1]) + _more("0", draw, attempt)
         check = next(d for d in "0123456789" if _luhn(body + d)) if _luhn(canonical) else _like(canonical[-1], draw)
         return body + check
     if kind == "iban":
-        body = "".join(_like(c, draw) for c in canonical[4:])
+        body = "".join(_like(c, draw) for c in canonical[4:]) + _more("0", draw, attempt)
         number = "".join(str(int(c, 36)) for c in body + canonical[:2] + "00")
         return canonical[:2] + f"{98 - int(number) % 97:02d}" + body
     if kind == "secret" and canonical.startswith("AKIA"):
-        return "AKIA" + "".join(_like(c, draw) for c in canonical[4:])
+        return "AKIA" + "".join(_like(c, draw) for c in canonical[4:]) + _more("A", draw, attempt)
+    if not any(map(_drawn, canonical)):
+        return "".join(SIGNS[draw(len(SIGNS))] for _ in canonical) + _more("a", draw, attempt)
     hexadecimal = kind == "secret" and re.fullmatch("[0-9a-fA-F]+", canonical) is not None
-    return "".join(_like(c, draw, hexadecimal) for c in canonical)
+    new = "".join(_like(c, draw, hexadecimal) for c in canonical)
+    return new + _more("a" if any(c.isalpha() for c in canonical) and not hexadecimal else "0", draw, attempt)
 
 
 def _script(text: str) -> str:
@@ -196,7 +227,7 @@ def named(canonical: str, gender: str, script: str, key: bytes, attempt: int) ->
     pool, family = NAMES[gender, script], SURNAMES[script]
     parts = canonical.split(" ")
     given = [pool[draw(len(pool))]] if len(parts) > 1 else []
-    tail = "".join(_like(c, draw) for c in parts[-1][: 2 + attempt])  # names on the lists alone would soon repeat
+    tail = "".join(_like(c, draw) for c in parts[-1][: 2 + attempt]) + _more("а" if script == "cyrillic" else "a", draw, attempt)  # names on the lists alone would soon repeat
     return [*given, family[draw(len(family))] + tail.lower()]
 
 
@@ -210,7 +241,7 @@ def shaped(kind: str, mention: str, canonical: str, new: str, key: bytes, attemp
         return "".join(b.upper() if a.isupper() else b for a, b in zip(mention, new, strict=True)) if len(mention) == len(new) else new
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(new)
-        return "".join(next(signs) if c == "+" or (c.isascii() and c.isalnum()) else c for c in mention)
+        return "".join([*(next(signs) if c == "+" or (c.isascii() and c.isalnum()) else c for c in mention), *signs])
     return new
 
 
@@ -253,12 +284,12 @@ def attempts(texts: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of the entities that must be keyed again so that all surrogates stay apart.
 
     A surrogate must not be an entity of the corpus, nor that of another entity. Of entities that meet, the smallest
-    stays and the others take the next attempt, until none meet: rounds over ever fewer rows.
+    stays and the others take the next attempt, until none meet: rounds over ever fewer rows, ``LAST`` at most.
     """
     found = stored(texts.mapInArrow(_found, "kind string, entity string").distinct().withColumn("attempt", F.lit(0)), "entities")
     named_schema = "kind string, entity string, attempt int, new string"
     settled = stored(found.mapInArrow(_named(key), named_schema), "surrogates")
-    while True:
+    for _ in range(LAST):
         real = found.select("kind", F.col("entity").alias("new")).withColumn("__real", F.lit(True))
         first = settled.groupBy("kind", "new").agg(F.count("*").alias("__n"), F.min(F.struct("attempt", "entity")).alias("__first")).filter("__n > 1")
         meets = settled.join(real, ["kind", "new"], "left").join(first, ["kind", "new"], "left").withColumn(
@@ -268,6 +299,7 @@ def attempts(texts: DataFrame, key: bytes) -> DataFrame:
             return settled.filter("attempt > 0").select("kind", "entity", "attempt")
         renamed = again.mapInArrow(_named(key), named_schema)
         settled = stored(settled.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(renamed), "surrogates")
+    raise RuntimeError(f"surrogates still meet after {LAST} attempts")
 
 
 def _replaced(batch, bodies, keys: bytes, table: Callable[[int], dict]):

@@ -329,3 +329,21 @@ def test_surrogates_stay_apart(spark, monkeypatch):
     assert len(set(mails)) == len(set(calls)) == 900 and not set(mails) & {t.split(" or ")[1] for t in texts}
     monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)  # by join
     assert {r.doc_id: r.text for r in pii.surrogates(docs, "k").collect()} == plain
+
+
+def test_surrogates_without_room(spark):
+    """Masks, secrets of signs or of one letter that has no neighbour, and a kind whose space is full."""
+    texts = ["password=**** secret=---- api_key=....", "password=#!#!", "password=ßßßß", "mail ___@__.example"]
+    texts += [" ".join(f"password={n:04d}" for n in range(k, k + 500)) for k in range(0, 10_000, 500)]
+    rows = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert rows[0].text == texts[0] and rows[0].n_entities == 0
+    assert len(rows[1].text) == len(texts[1]) and rows[1].text != texts[1] and re.fullmatch("password=[a-z]{4}", rows[2].text) and "___@" not in rows[3].text
+    new = [x for i in range(4, len(texts)) for x in re.findall(r"password=(\d+)", rows[i].text)]
+    assert len(set(new)) == 10_000 and not any(len(x) == 4 for x in new)
+
+
+def test_addresses_past_the_private_ones():
+    assert pii.surrogate("ip", "1.2.3.4", b"k").startswith("10.")
+    assert int(pii.surrogate("ip", "1.2.3.4", b"k", pii.WIDE).split(".")[0]) >= 240
+    assert pii.surrogate("ip", "1.2.3.4", b"k", pii.WIDE + 1).startswith("2001:db8:")
+    assert pii.shaped("phone", "(212) 555-1234", "2125551234", pii.surrogate("phone", "2125551234", b"k", pii.WIDE + 1), b"k", pii.WIDE + 1)[:1] == "("
