@@ -186,7 +186,7 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
     ``WIDE`` of the same length."""
     draw = _stream(key, kind, canonical, str(attempt))
     if kind == "name":
-        return canonical  # names are drawn with the mention's gender and script
+        return canonical  # names are drawn with the person's gender and script
     if kind == "ip":  # private addresses, then reserved ones, then those of IPv6 for documentation
         if attempt > WIDE:
             return "2001:db8:" + ":".join(f"{draw(1 << 16):x}" for _ in range(6))
@@ -231,11 +231,16 @@ def named(canonical: str, gender: str, script: str, key: bytes, attempt: int) ->
     return [*given, family[draw(len(family))] + tail.lower()]
 
 
-def shaped(kind: str, mention: str, canonical: str, new: str, key: bytes, attempt: int) -> str:
-    """The surrogate in the format of a mention: its punctuation, spacing and case."""
+def _title_gender(mention: str) -> str:
+    return TITLES[_person(mention)[0].strip(" .")]
+
+
+def shaped(kind: str, mention: str, canonical: str, new: str, key: bytes, attempt: int, gender: str | None = None) -> str:
+    """The surrogate in the format of a mention: its punctuation, spacing and case. A person whose mentions differ in
+    gender has one given."""
     if kind == "name":
         title, names, between = _person(mention)
-        parts = named(canonical, TITLES[title.strip(" .")], _script(mention), key, attempt)
+        parts = named(canonical, gender or _title_gender(mention), _script(canonical), key, attempt)
         return title + "".join(a + b for a, b in zip(parts, [*between, ""], strict=True))
     if kind == "email":
         return "".join(b.upper() if a.isupper() else b for a, b in zip(mention, new, strict=True)) if len(mention) == len(new) else new
@@ -245,19 +250,19 @@ def shaped(kind: str, mention: str, canonical: str, new: str, key: bytes, attemp
     return new
 
 
-def same_form(kind: str, canonical: str, key: bytes, attempt: int) -> str:
-    """What must differ between entities of a kind: the surrogate, for persons without gender and script."""
+def same_form(kind: str, canonical: str, key: bytes, attempt: int, gender: str) -> str:
+    """What must differ between entities of a kind: the surrogate, for persons the name that is written."""
     if kind != "name":
         return surrogate(kind, canonical, key, attempt)
-    return " ".join(named(canonical, "n", _script(canonical), key, attempt)).casefold()
+    return " ".join(named(canonical, gender, _script(canonical), key, attempt)).casefold()
 
 
 def replace(text: str, key: bytes, attempts: dict) -> tuple[str, list[tuple[str, int, int]]]:
     """(new text, (kind, start, length) of every replacement in the old one)."""
     parts, spans, at = [], [], 0
     for start, end, kind, canonical in entities(text):
-        attempt = attempts.get((kind, canonical), 0)
-        parts += [text[at:start], shaped(kind, text[start:end], canonical, surrogate(kind, canonical, key, attempt), key, attempt)]
+        attempt, gender = attempts.get((kind, canonical), (0, None))
+        parts += [text[at:start], shaped(kind, text[start:end], canonical, surrogate(kind, canonical, key, attempt), key, attempt, gender)]
         spans.append((kind, start, end - start))
         at = end
     return "".join([*parts, text[at:]]), spans
@@ -265,38 +270,45 @@ def replace(text: str, key: bytes, attempts: dict) -> tuple[str, list[tuple[str,
 
 def _found(batches):
     for batch in batches:
-        seen = {(kind, canonical) for t in batch.column(0).to_pylist() for _, _, kind, canonical in entities(t or "")}
+        seen = {(kind, canonical, _title_gender(t[a:b]) if kind == "name" else "n")
+                for t in batch.column(0).to_pylist() for a, b, kind, canonical in entities(t or "")}
         rows = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["kind", "entity"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "gender"])
 
 
 def _named(key: bytes):
     def run(batches):
         for batch in batches:
-            kind, entity, attempt = (c.to_pylist() for c in batch.columns)
-            new = [same_form(*x[:2], key, x[2]) for x in zip(kind, entity, attempt, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "attempt", "new"])
+            kind, entity, gender, _, attempt = (c.to_pylist() for c in batch.columns)
+            new = [same_form(k, e, key, n, g) for k, e, g, n in zip(kind, entity, gender, attempt, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "gender", "mixed", "attempt", "new"])
 
     return run
 
 
 def attempts(texts: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, attempt) of the entities that must be keyed again so that all surrogates stay apart.
+    """(kind, entity, attempt, gender) of the entities that must be keyed again so that all surrogates stay apart, and
+    of the persons whose titles differ in gender: one that tells it counts over those that do not, and if titles of
+    both are found, or none tells it, a given name of either is taken.
 
     A surrogate must not be an entity of the corpus, nor that of another entity. Of entities that meet, the smallest
     stays and the others take the next attempt, until none meet: rounds over ever fewer rows, ``LAST`` at most.
     """
-    found = stored(texts.mapInArrow(_found, "kind string, entity string").distinct().withColumn("attempt", F.lit(0)), "entities")
-    named_schema = "kind string, entity string, attempt int, new string"
+    mentions = texts.mapInArrow(_found, "kind string, entity string, gender string").groupBy("kind", "entity").agg(
+        *(F.bool_or(F.col("gender") == g).alias(g) for g in "fmn"))
+    found = stored(mentions.select(
+        "kind", "entity", F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n").alias("gender"),
+        (F.col("entity").contains(" ") & (F.col("f").cast("int") + F.col("m").cast("int") + F.col("n").cast("int") > 1)).alias("mixed"), F.lit(0).alias("attempt")), "entities")
+    named_schema = "kind string, entity string, gender string, mixed boolean, attempt int, new string"
     settled = stored(found.mapInArrow(_named(key), named_schema), "surrogates")
     for _ in range(LAST):
         real = found.select("kind", F.col("entity").alias("new")).withColumn("__real", F.lit(True))
         first = settled.groupBy("kind", "new").agg(F.count("*").alias("__n"), F.min(F.struct("attempt", "entity")).alias("__first")).filter("__n > 1")
         meets = settled.join(real, ["kind", "new"], "left").join(first, ["kind", "new"], "left").withColumn(
             "__again", F.coalesce(F.col("__real"), F.lit(False)) | F.coalesce(F.col("__first.entity") != F.col("entity"), F.lit(False)))
-        again = stored(meets.filter("__again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), "again")
+        again = stored(meets.filter("__again").select("kind", "entity", "gender", "mixed", (F.col("attempt") + 1).alias("attempt")), "again")
         if again.isEmpty():
-            return settled.filter("attempt > 0").select("kind", "entity", "attempt")
+            return settled.filter("attempt > 0 or mixed").select("kind", "entity", "attempt", "gender")
         renamed = again.mapInArrow(_named(key), named_schema)
         settled = stored(settled.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(renamed), "surrogates")
     raise RuntimeError(f"surrogates still meet after {LAST} attempts")
@@ -327,17 +339,17 @@ def surrogates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     again = stored(attempts(df.select(F.col(text).alias("t")), secret), "attempts")
     place = kept.index(text)
     if again.count() <= BROADCAST_ENTITIES:
-        shipped = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
+        shipped = spark.sparkContext.broadcast({(r["kind"], r["entity"]): (r["attempt"], r["gender"]) for r in again.collect()})
         own, joined = (lambda batch: lambda n: shipped.value), source
     else:  # each document gets the attempts of its own entities
         keyed = source.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
         held = keyed.select("__key", F.col(text).alias("t")).mapInArrow(_held, "__key binary, kind string, entity string").distinct()
-        per = held.join(again, ["kind", "entity"]).groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__again"))
+        per = held.join(again, ["kind", "entity"]).groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("__again"))
         joined = keyed.join(per, "__key", "left").select(*(F.col(f"`{c}`") for c in kept), "__again")
 
         def own(batch):
             lists = batch.column(len(kept)).to_pylist()
-            return lambda n: {(r["kind"], r["entity"]): r["attempt"] for r in lists[n] or []}
+            return lambda n: {(r["kind"], r["entity"]): (r["attempt"], r["gender"]) for r in lists[n] or []}
 
     def run(batches):
         for batch in batches:

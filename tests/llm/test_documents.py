@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -347,3 +348,19 @@ def test_addresses_past_the_private_ones():
     assert int(pii.surrogate("ip", "1.2.3.4", b"k", pii.WIDE).split(".")[0]) >= 240
     assert pii.surrogate("ip", "1.2.3.4", b"k", pii.WIDE + 1).startswith("2001:db8:")
     assert pii.shaped("phone", "(212) 555-1234", "2125551234", pii.surrogate("phone", "2125551234", b"k", pii.WIDE + 1), b"k", pii.WIDE + 1)[:1] == "("
+
+
+def test_one_name_for_each_person(spark, monkeypatch):
+    """Many persons with one short family name: names that are written differ, and titles do not change them."""
+    given = ["".join(x) for x in itertools.product("ABCDEFGH", "aeiou", "lmnr", "aeiou")]
+    texts = [f"Mrs. {n} Ng" for n in given] + ["Dr. Anna Smith", "Ms. Anna Smith", "Dr. Kim Lee, Mr. Kim Lee, Mrs. Kim Lee", "Госпожа Berg or Frau Berg"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.surrogates(docs, "k").collect()}
+    names = [new[i].removeprefix("Mrs. ") for i in range(len(given))]
+    assert len(set(names)) == len(given) and not set(names) & {f"{n} Ng" for n in given}
+    dr, ms, three, two = (new[i] for i in range(len(given), len(texts)))
+    assert dr.removeprefix("Dr. ") == ms.removeprefix("Ms. ") and ms.split(" ")[1] in pii.NAMES["f", "latin"]
+    assert len({x.split(" ", 1)[1] for x in three.split(", ")}) == 1 and three.split(" ")[1] in pii.NAMES["n", "latin"]
+    assert two.split(" ")[1] == two.split(" ")[4]
+    monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)  # by join
+    assert {r.doc_id: r.text for r in pii.surrogates(docs, "k").collect()} == new
