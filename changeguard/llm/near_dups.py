@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an inverted join over signature coordinates, confirmed on whole shingle sets.
 
 1. Every text becomes its set of 5-word shingles; equal sets are one class, so exact copies are never paired.
-2. A class is posted under each (coordinate, value) of its signature. Two classes with at least ``MATCHES`` equal
-   coordinates share one within their rarest ``COORDINATES - MATCHES + 1`` (prefix), and values that nobody else
+2. A class is posted under each (coordinate, value) of its signature. Two classes with at least ``m`` equal
+   coordinates (``matches_for``) share one within their rarest ``COORDINATES - m + 1`` (prefix), and values that nobody else
    has need no posting (skip), so frequent values of shared passages drop out.
 3. In each posting list all members are compared with one hub, the least altered one, never all with all. The
    comparison keeps the differences from the hub. Two members of which at least one is no neighbour of the hub
@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +28,10 @@ from changeguard.llm.components import components
 from changeguard.llm.wordhash import mixed, shingle_hashes, word_hashes
 
 COORDINATES = 32
-#: Equal coordinates that a pair must have. A pair of similarity 0.85 has fewer with a probability below 1e-6.
-MATCHES = 17
+#: Percent that two sets share of their union, by the contract of op6.
 SIMILARITY = 85
+#: Chance with which a pair of just this similarity may have too few equal coordinates to be found.
+MISSED = 1e-5
 
 _RNG = np.random.default_rng(811)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,6 +40,17 @@ _MARKS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 _ROWS = 256
 
 
+def matches_for(similarity: int) -> int:
+    """Equal coordinates to ask for, as many as a pair of this similarity lacks with a chance below ``MISSED``.
+
+    That is 17 of 32 at 85 % (chance 3.5e-6) and 15 at 80 % (6.6e-6).
+    """
+    p, chance, m = similarity / 100, 0.0, 0
+    while (chance := chance + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) < MISSED:
+        m += 1
+    return m
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -85,15 +99,15 @@ def _whole_sets(batches):
                 names=["node", "tokens", "members"])
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, similarity: int) -> DataFrame:
     """(node, token, shared): the prefix postings of every class; ``shared`` counts its values that others have."""
     posts = classes.select("node", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     own = W.partitionBy("node")
     ranked = posts.join(common, "token").select(
         "node", "token", F.row_number().over(own.orderBy("n", "token")).alias("place"), F.count("*").over(own).alias("shared"))
-    # The rarest COORDINATES - MATCHES + 1 are the unshared values first, then these.
-    return ranked.filter(F.col("place") <= F.col("shared") - MATCHES + 1).select("node", "token", "shared")
+    # The rarest COORDINATES - m + 1 are the unshared values first, then these.
+    return ranked.filter(F.col("place") <= F.col("shared") - matches_for(similarity) + 1).select("node", "token", "shared")
 
 
 def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: bool) -> DataFrame:
@@ -118,20 +132,20 @@ def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: b
     return stored(out.withColumn("d", F.size("diff").cast("long")), "compared")
 
 
-def _is_link(common, sizes):
-    return (100 + SIMILARITY) * common >= SIMILARITY * sizes
+def _is_link(common, sizes, similarity):
+    return (100 + similarity) * common >= similarity * sizes
 
 
-def _links_past_hub(compared: DataFrame) -> DataFrame:
+def _links_past_hub(compared: DataFrame, similarity: int) -> DataFrame:
     """(a, b): similar members of one hub's lists, at least one of them not similar to the hub.
 
     With h the hub's size, s a member's, m what it lacks of the hub, and v the shared differences of two members,
     their intersection is h - m1 - m2 + v. So similarity asks for v >= (w1 + w2 - (100 + S) h) / (100 + S) with
     w = S s + (100 + S) m. Members similar to the hub need no pair among themselves.
     """
-    whole = 100 + SIMILARITY
-    weighed = compared.withColumn("w", SIMILARITY * F.col("s") + whole * F.col("missing")).withColumn(
-        "linked", _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s")))
+    whole = 100 + similarity
+    weighed = compared.withColumn("w", similarity * F.col("s") + whole * F.col("missing")).withColumn(
+        "linked", _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
     items = weighed.select("hub", "node", "h", "w", "d", "linked", F.explode("diff").alias("item"))
     common = items.groupBy("hub", "item").agg(F.count("*").alias("n"), F.bool_and("linked").alias("quiet")).filter("n > 1 and not quiet")
     own = W.partitionBy("hub", "node")
@@ -147,7 +161,7 @@ def _links_past_hub(compared: DataFrame) -> DataFrame:
     side = lambda n: compared.select("hub", "h", F.col("node").alias(f"node{n}"), F.col("s").alias(f"s{n}"), F.col("missing").alias(f"m{n}"), F.col("diff").alias(f"diff{n}"))
     sized = pairs.join(side(1), ["hub", "node1"]).join(side(2).drop("h"), ["hub", "node2"])
     common_members = F.col("h") - F.col("m1") - F.col("m2") + F.size(F.array_intersect("diff1", "diff2"))
-    return sized.filter(_is_link(common_members, F.col("s1") + F.col("s2"))).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    return sized.filter(_is_link(common_members, F.col("s1") + F.col("s2"), similarity)).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
 def _repeated(profiles: DataFrame) -> DataFrame:
@@ -155,7 +169,7 @@ def _repeated(profiles: DataFrame) -> DataFrame:
     return profiles.filter("__class is not null").groupBy("__key").count().filter("count > 1").select("__key")
 
 
-def _grouped(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(df: DataFrame, doc_id: str, text: str, similarity: int) -> tuple[DataFrame, DataFrame]:
     """(documents with __key, __id, n_shingles, __class; classes with __class, label, best)."""
     spark = df.sparkSession
     prepare(spark)
@@ -166,31 +180,31 @@ def _grouped(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
         F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best"),
         F.any_value("__tokens").alias("tokens")).select(F.monotonically_increasing_id().alias("node"), "__class", "best", F.col("best.key").alias("key"), "tokens")
     classes = stored(classes, "classes")
-    compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes), "postings"), not _repeated(profiles).isEmpty())
-    near = compared.filter((F.col("matches") >= MATCHES) & _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s")))
-    links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(_links_past_hub(compared))
+    compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes, similarity), "postings"), not _repeated(profiles).isEmpty())
+    near = compared.filter((F.col("matches") >= matches_for(similarity)) & _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
+    links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(_links_past_hub(compared, similarity))
     labels = components(links)
     grouped = classes.select("node", "__class", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = grouped.groupBy("label").agg(F.min("best").alias("__best"))
     return profiles.drop("__tokens"), grouped.select("__class", "label").join(best, "label")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: the id, ``n_shingles``, ``component_id`` (smallest id it reaches) and ``kept``.
 
     Texts without words are NULL, empty or white space; they have no shingle, are linked with nothing and kept. Rows
     that repeat are in one component, each of them kept if its id is the smallest. A NULL id is larger than any; a
     component of NULL ids only has a NULL component_id and is kept. No rows give no rows.
     """
-    profiles, groups = _grouped(df, doc_id, text)
+    profiles, groups = _grouped(df, doc_id, text, similarity)
     out = profiles.join(groups.select("__class", F.col("__best.id").alias("__component"), F.lit(True).alias("__in")), "__class", "left")
     component = F.when(F.col("__in"), F.col("__component")).otherwise(F.col("__id"))
     return out.select(F.col("__id").alias(doc_id), "n_shingles", component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The columns of ``df``: one row of each component, that of the smallest id. Texts without words all stay."""
-    profiles, groups = _grouped(df, doc_id, text)
+    profiles, groups = _grouped(df, doc_id, text, similarity)
     chosen = profiles.filter("__class is null").select("__key").union(groups.select(F.col("__best.key").alias("__key")).distinct())
     copies = _repeated(profiles)
     kept = df.withColumn("__key", row_key(doc_id, text)).join(chosen.distinct(), "__key", "left_semi")

@@ -11,6 +11,10 @@ from changeguard.llm.common import stored
 from changeguard.llm.settings import PII_KEY, RANKS
 
 
+#: Percent of shared shingles from which two texts are near copies.
+NEAR = 85
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts; failed and depleted documents go."""
     return quality_rules.clean(docs)
@@ -18,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, similarity=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

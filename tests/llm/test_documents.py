@@ -364,3 +364,13 @@ def test_one_name_for_each_person(spark, monkeypatch):
     assert two.split(" ")[1] == two.split(" ")[4]
     monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)  # by join
     assert {r.doc_id: r.text for r in pii.surrogates(docs, "k").collect()} == new
+
+
+def test_similarity_is_a_parameter(spark):
+    """A pair at 0.82 is one at 80 % and two at the 85 % of op6."""
+    base = [f"w{i}" for i in range(204)]
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join([*base[:100], *"abcdefghijklmnop", *base[116:]]))], "doc_id long, text string")
+    a, b = (shingle_set(r.text) for r in docs.collect())
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    assert [r.doc_id for r in near_dups.one_of_each(docs, similarity=80).collect()] == [0] and near_dups.one_of_each(docs).count() == 2
+    assert [near_dups.matches_for(x) for x in (85, 80)] == [17, 15]
