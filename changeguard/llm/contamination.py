@@ -26,6 +26,8 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 #: Share of an item's own score that its non-essential terms may have.
 SILENT = 0.3
+#: Words from which a question alone, without its answer, is a leak.
+TELLING = 8
 K1, B = 1.2, 0.75
 #: Words of an item that are searched as one; passages step by as many and are twice as long.
 STEP = 64
@@ -57,6 +59,8 @@ class Item:
     shingles: np.ndarray
     question: int  # so many shingles end before the answer
     size: int  # words of a shingle
+    words: np.ndarray
+    head: int  # words of the question
 
 
 @dataclass
@@ -75,8 +79,26 @@ class Index:
     segment_weights: list[np.ndarray]
 
 
-def build_index(rows: list[tuple[int | None, str]]) -> Index:
-    items, owner, segments = [], [], []
+@dataclass
+class Spread:
+    """What the weights need of all items: segments that hold each term (sorted), segments, their mean length."""
+
+    terms: np.ndarray
+    counts: np.ndarray
+    segments: int
+    mean: float
+
+
+def _segments(words: np.ndarray) -> list[np.ndarray]:
+    return [words[begin : begin + STEP] for begin in range(0, len(words), STEP)]
+
+
+def build_index(rows: list[tuple[int | None, str]], parts: bool = False, weighed: Spread | None = None) -> Index:
+    """The index of some items, weighed by the ``Spread`` of all items (None: these are all).
+
+    With ``parts`` questions are segments of their own beside those of the whole items.
+    """
+    items, owner, segments, whole = [], [], [], []
     for item_id, text in rows:
         words, at = _words([text])
         if not len(words):
@@ -85,17 +107,23 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
         size = min(SHINGLE, n)
         shingles, _ = shingle_hashes(words, at, size)
         head = int(_words([text[: answer_start(text)]])[1][1])
-        items.append(Item(item_id, shingles, max(0, min(len(shingles), head - size + 1)), size))
-        for begin in range(0, n, STEP):
-            owner.append(len(items) - 1)
-            segments.append(words[begin : begin + STEP])
+        items.append(Item(item_id, shingles, max(0, min(len(shingles), head - size + 1)), size, words, head))
+        for part, is_whole in ((words, True), *([(words[:head], False)] if parts and head < n else [])):
+            for segment in _segments(part):
+                owner.append(len(items) - 1)
+                segments.append(segment)
+                whole.append(is_whole)
     if not segments:
         empty = np.zeros(0)
         return Index([], empty.astype(int), empty.astype(np.uint64), empty.astype(bool), np.zeros(1, int), empty.astype(int), empty, empty, [], [])
     counted = [np.unique(s, return_counts=True) for s in segments]
     terms, spread = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
-    idf = np.log1p((len(segments) - spread + 0.5) / (spread + 0.5))
-    mean = np.mean([len(s) for s in segments])
+    if weighed is None:
+        own = [s for s, w in zip(segments, whole, strict=True) if w]
+        weighed = Spread(*np.unique(np.concatenate([np.unique(s) for s in own]), return_counts=True), len(own), np.mean([len(s) for s in own]))
+    held = weighed.counts[np.searchsorted(weighed.terms, terms)]
+    idf = np.log1p((weighed.segments - held + 0.5) / (held + 0.5))
+    mean = weighed.mean
     ids, weights = [], []
     for (t, tf), s in zip(counted, segments, strict=True):
         i = np.searchsorted(terms, t)
@@ -166,7 +194,34 @@ def retrieve(index: Index, words: np.ndarray, offsets: np.ndarray) -> list[tuple
     return [(*k, v) for k, v in sorted(best.items())]
 
 
-def _search(shipped):
+def _in_order(part: np.ndarray, own: np.ndarray) -> bool:
+    """Whether a place of a document has the part's words in order, but for a share of 1 - ``OVERLAP`` of edits."""
+    place = np.arange(len(own) + 1)
+    row = np.zeros(len(own) + 1, dtype=np.int64)  # edits from the words so far to what ends at each place
+    for n, word in enumerate(part, 1):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (own != word))
+        new[0] = n
+        row = np.minimum.accumulate(new - place) + place
+    return bool(row.min() <= (1 - OVERLAP) * len(part) + 1e-9)
+
+
+def _holds(part: np.ndarray, own: np.ndarray) -> bool:
+    """Whether a document holds a question or an answer: by its own shingles, up to ``STEP`` words in order too."""
+    size = min(SHINGLE, len(part))
+    if len(own) < size:
+        return False
+    there = np.isin(shingle_hashes(part, np.array([0, len(part)]), size)[0], shingle_hashes(own, np.array([0, len(own)]), size)[0])
+    return bool(there.sum() >= OVERLAP * len(there) - 1e-9) or (len(part) <= STEP and _in_order(part, own))
+
+
+def _holds_parts(item: Item, own: np.ndarray) -> bool:
+    """Question and answer, each by its own limit; the question alone if it is long enough to be no chance."""
+    question, answer = item.words[: item.head], item.words[item.head :]
+    return len(question) > 0 and _holds(question, own) and (len(question) >= TELLING or (len(answer) > 0 and _holds(answer, own)))
+
+
+def _search(shipped, parts: bool):
     def run(batches):
         index = shipped.value
         for batch in batches:
@@ -177,11 +232,11 @@ def _search(shipped):
                 held: dict[tuple[int, int], np.ndarray] = {}
                 for t, i, score in retrieve(index, words, offsets):
                     item = index.items[i]
+                    own = words[offsets[t] : offsets[t + 1]]
                     if (t, item.size) not in held:
-                        own = words[offsets[t] : offsets[t + 1]]
                         held[t, item.size] = shingle_hashes(own, np.array([0, len(own)]), item.size)[0]
                     there = np.isin(item.shingles, held[t, item.size])
-                    if there.sum() >= OVERLAP * len(there) - 1e-9:
+                    if there.sum() >= OVERLAP * len(there) - 1e-9 or (parts and _holds_parts(item, own)):
                         out.append((ids[begin + t], item.item_id, score, int(there[: item.question].sum()), item.question,
                                     int(there[item.question :].sum()), len(there) - item.question))
             kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), *[pa.int32()] * 4)
@@ -193,11 +248,35 @@ def _search(shipped):
 _NAMES = ["__id", "item_id", "score", "question_shared", "question_shingles", "answer_shared", "answer_shingles"]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _spread_of(batches):
+    for batch in batches:
+        found = [(int(t), 1, len(s)) if n == 0 else (int(t), 1, 0)
+                 for x in batch.column(0).to_pylist() for s in _segments(_words([x])[0]) for n, t in enumerate(np.unique(s).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=["term", "n", "size"])
+
+
+def _spread(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """(segments that hold each term; segments; their mean length) over all items."""
+    posts = stored(items.select("text").mapInArrow(_spread_of, "term long, n long, size long"), "item-terms")
+    total = posts.filter("size > 0").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    return stored(posts.groupBy("term").agg(F.sum("n").alias("n")), "item-spread"), total["n"], total["mean"] or 0.0
+
+
+def _spread_for(own: DataFrame, spread: tuple[DataFrame, int, float]) -> Spread:
+    """The spread of the terms of one block."""
+    terms = own.select("text").mapInArrow(_spread_of, "term long, n long, size long").select("term").distinct()
+    rows = spread[0].join(terms, "term", "left_semi").collect()
+    hashes = np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return Spread(hashes[order], np.array([r["n"] for r in rows], dtype=np.int64)[order], *spread[1:])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: bool = False) -> DataFrame:
     """(id, item_id) of every document that holds a test item, with the shingles of question and answer that it holds.
 
     A document holds an item if at least ``OVERLAP`` of the item's shingles, question and answer together, are in it;
-    an item of fewer than five words is one shingle. ``score`` is the best passage's share of the item's own BM25
+    an item of fewer than five words is one shingle. With ``parts`` it also holds an item if it holds question and answer
+    each by its own limit, wherever they are, or a question of ``TELLING`` words or more alone. ``score`` is the best passage's share of the item's own BM25
     score. NULL texts and items without words hold and match nothing; repeated documents give repeated rows, repeated
     items one row each; empty tables give no rows.
     """
@@ -210,19 +289,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     schema = source.select("__id").schema
     for name, kind in zip(_NAMES[1:], ("long", "double", *["integer"] * 4), strict=True):
         schema = schema.add(name, kind)
-    parts = []
+    spread = _spread(items) if blocks > 1 else None
+    found = []
     for n in range(blocks):  # each block holds about INDEX_BYTES of items, whatever the size of the benchmark
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else items
-        index = build_index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        parts.append(source.mapInArrow(_search(spark.sparkContext.broadcast(index)), schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        index = build_index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])),
+                            parts, _spread_for(own, spread) if spread else None)
+        found.append(source.mapInArrow(_search(spark.sparkContext.broadcast(index), parts), schema))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out.select(F.col("__id").alias(doc_id), *_NAMES[1:])
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: bool = False) -> DataFrame:
     """The columns and rows of ``docs`` that hold no test item."""
     keyed = docs.withColumn("__key", row_key(doc_id, text))
-    found = stored(contaminated(keyed.select("__key", F.col(text).alias("__text")), benchmark, "__key", "__text").select("__key").distinct(), "contaminated")
+    found = stored(contaminated(keyed.select("__key", F.col(text).alias("__text")), benchmark, "__key", "__text", parts).select("__key").distinct(), "contaminated")
     return keyed.join(found, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

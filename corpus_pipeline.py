@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    return contamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a test item, or its question and answer apart, go."""
+    return contamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), parts=True)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

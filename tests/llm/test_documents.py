@@ -374,3 +374,21 @@ def test_similarity_is_a_parameter(spark):
     assert 0.8 <= len(a & b) / len(a | b) < 0.85
     assert [r.doc_id for r in near_dups.one_of_each(docs, similarity=80).collect()] == [0] and near_dups.one_of_each(docs).count() == 2
     assert [near_dups.matches_for(x) for x in (85, 80)] == [17, 15]
+
+
+def test_question_and_answer_apart(spark, monkeypatch):
+    question, answer = "Which river did the old surveyors follow to reach the northern salt lakes?", "They followed the Orlo river."
+    changed = question.replace("old", "young")
+    fill = " ".join(f"f{i}" for i in range(80))
+    texts = [f"{fill} {question} Answer: so it is told: {answer} {fill}", f"{fill} {changed} {answer} {fill}", f"{fill} {question} {fill}", f"{fill} {answer} {fill}",
+             fill, " ".join(reversed(question.split())), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame([(1, f"{question} {answer}"), (2, "Is it so? Yes."), *((n, f"Other item {n} about f{n}? It is x{n}.") for n in range(3, 30))], "item_id long, text string")
+    scores = []
+    for size in (4 << 20, 300):  # one index and several weigh alike
+        monkeypatch.setattr(contamination, "INDEX_BYTES", size)
+        got = contamination.contaminated(docs, tests, parts=True).filter("item_id = 1").collect()
+        assert {r.doc_id for r in got} == {0, 1, 2}
+        scores.append({r.doc_id: round(r.score, 9) for r in got})
+    assert scores[0] == scores[1]
+    assert not contamination.contaminated(docs, tests).filter("item_id = 1 and doc_id in (0, 2)").count()
