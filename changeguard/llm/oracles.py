@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from changeguard.llm.contamination import OVERLAP
 from changeguard.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
+from changeguard.llm.line_dedup import LEAST_DOCS, LEAST_KEY
 from changeguard.llm.quality_rules import HOST_SHARE, LEFT_SHARE, MIN_DOCS, MIN_WORDS
 
 #: Documents with a row number, as ids and texts may repeat.
@@ -119,6 +120,45 @@ k0 AS (SELECT doc_id, h, octet_length(body) + 1 AS size,
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(b AS INT) AS shard,
        row_number() OVER (PARTITION BY b ORDER BY h, crc, size) - 1 AS slot, CAST(CASE WHEN j = 8 THEN 8 ELSE b END AS INT) AS grown_shard FROM k8"""
 
+_TRIE = rf"""
+WITH tab AS (SELECT {_TABLE} AS tab),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                 lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY own, pos) AS turns FROM r GROUP BY conv_id),
+q AS (SELECT conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN s USING (conv_id)),
+m AS (SELECT conv_id, d, turns[1 : d] AS prefix, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM q)),
+n AS (SELECT d, prefix, min(conv_id) AS least, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM m GROUP BY d, prefix),
+up AS (SELECT n.d, n.prefix, n.least, k, n_convs, unnest(range(0, n.d + 1)) AS a FROM n LEFT JOIN (SELECT prefix[1 : d - 1] AS prefix, d - 1 AS d, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL) USING (d, prefix)),
+sums AS (SELECT a AS d, prefix[1 : a] AS prefix, CAST(count_if(k IS NULL) AS BIGINT) AS n_leaves,
+                sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END) AS saved FROM up GROUP BY ALL),
+kids AS (SELECT least, d, prefix, coalesce(k, 0) AS k FROM up WHERE a = d)
+SELECT n.least AS conv_id, n.d AS depth, p.least AS parent_conv_id, n.n_convs, kids.k AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN sums USING (d, prefix) JOIN kids USING (d, prefix) LEFT JOIN n AS p ON p.d = n.d - 1 AND p.prefix = n.prefix[1 : n.d - 1]"""
+
+_HARD = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, list_sum(list_transform(list_zip(a.x, o.x), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v AS a JOIN v AS o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+_LINES = rf"""
+WITH {_DOCS},
+s AS (SELECT rid, doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, e' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM s),
+c AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= {LEAST_KEY} GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+g AS (SELECT k.*, first IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY rid, doc_id"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _LICENSES,
     "op4_repeated_strings": _REPEATS,
@@ -126,4 +166,7 @@ ORACLES: dict[str, str] = {
     "op6_minhash_near_dups": _NEAR,
     "op7_bm25_decontamination": _ITEMS,
     "op10_jump_shards": _SHARDS,
+    "op11_conversation_trie": _TRIE,
+    "op12_hard_negatives": _HARD,
+    "op13_line_dedup": _LINES,
 }

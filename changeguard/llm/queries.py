@@ -5,8 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changeguard.llm import bpe, contamination, html_text, licenses, near_dups, pii, quality_model, quality_rules, repeats, shards
+from changeguard.llm import bpe, contamination, hard_negatives, html_text, licenses, line_dedup, near_dups, pii, prefix_trie, quality_model, quality_rules, repeats, shards
 from changeguard.llm.oracles import ORACLES
 from changeguard.llm.settings import PII_KEY, RANKS
 
@@ -57,13 +58,26 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_key(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_subword_quality, op3_html_wrappers, op4_repeated_strings, op5_quality_rules, op6_minhash_near_dups, op7_bm25_decontamination, op8_byte_bpe, op9_pii_surrogates, op10_jump_shards,
-    pipeline)}
+    op11_conversation_trie, op12_hard_negatives, op13_line_dedup, pipeline)}
 
 
 def load_all():
