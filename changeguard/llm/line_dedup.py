@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeguard.llm.common import SPACES, row_key
+from changeguard.llm.common import SPACES, row_key, stored
 
 #: Code points from which a key counts, and documents from which its lines go.
 LEAST_KEY, LEAST_DOCS = 10, 2
@@ -39,6 +39,7 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     long = F.transform(F.filter(keyed, lambda x: F.char_length(x["key"]) >= least_key), lambda x: F.struct(x["at"].alias("at"), F.unhex(F.md5(x["key"])).alias("hash")))
     lines = df.select(row_key(doc_id, text).alias("__key"), own.alias("__doc"), F.explode(long).alias("line")).select("__key", "__doc", "line.*")
     common = lines.groupBy("hash").agg(F.count_distinct("__doc").alias("docs"), F.min("__doc").alias("first")).filter(F.col("docs") >= least_docs)
+    common = stored(common.drop("docs"), "common-lines")  # written, so that the join can split a hot line
     return lines.join(common, "hash").filter(F.col("__doc") != F.col("first")).groupBy("__key").agg(F.collect_set("at").alias("gone"))
 
 
