@@ -220,8 +220,10 @@ def trie(sequences: DataFrame, convs: DataFrame) -> DataFrame:
         full = [p.join(contents[k - 1].filter(F.col("n") == 1 << k).select("content"), "content", "left_semi") if k else p for k, p in enumerate(pieces[:-1])]
         edges = [stored(p.select("above", "below", "at").dropDuplicates(["below"]), f"edges-{k}") for k, p in enumerate(full)]
         below = _grafted(own, edges).select("node", *(F.col(c).alias(f"__{c}") for c in _SUMS))
-        top = everyone.withColumn("above", _root()).join(children, "above").select(
-            F.col("above").alias("node"), F.lit(None).cast("binary").alias("above"), F.lit(0).cast("long").alias("depth"), "n_convs", "least", "n_children",
+        firsts = children.filter(F.col("above") == _root()).select(F.lit(None).cast("long").alias("least"), F.lit(0).cast("long").alias("n_convs"), "n_children")
+        top = everyone.withColumn("n_children", F.lit(0).cast("long")).unionByName(firsts).agg(
+            F.min("least").alias("least"), F.sum("n_convs").alias("n_convs"), F.sum("n_children").alias("n_children")).select(
+            _root().alias("node"), F.lit(None).cast("binary").alias("above"), F.lit(0).cast("long").alias("depth"), "n_convs", "least", "n_children",
             F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))
         everything = own.drop("at").unionByName(top)
         nodes = everything.join(below, "node", "left").select(
