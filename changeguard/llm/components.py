@@ -27,3 +27,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = done.select("node", F.col("__next").alias("label"))
         if done.filter("__next != label").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, label) of ``components`` after further ``links`` (a, b); a node without a label is its own.
+
+    Links are drawn between components, so the work goes with the new links only.
+    """
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"__{c}"))
+    drawn = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"))
+    tops = components(drawn).withColumnsRenamed({"node": "__node", "label": "__top"})
+    moved = labels.join(tops, F.col("label") == F.col("__node"), "left").select("node", F.coalesce("__top", "label").alias("label"))
+    fresh = tops.join(labels, F.col("__node") == F.col("node"), "left_anti").select(F.col("__node").alias("node"), F.col("__top").alias("label"))
+    return stored(moved.unionByName(fresh), "joined")

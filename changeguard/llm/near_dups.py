@@ -7,8 +7,10 @@
 3. In each posting list all members are compared with one hub, the least altered one, never all with all. The
    comparison keeps the differences from the hub. Two members of which at least one is no neighbour of the hub
    can only be similar if they share differences, and by an exactly known number; a second inverted join, over the
-   differences and with its own prefix, finds these pairs. A large group of near copies so costs about as many
-   comparisons as it has members, and no link between two lists' members is lost.
+   differences and with its own prefix, finds these pairs. Only components are asked for, so it goes by stars as well:
+   in each list of a difference one member is compared with those of other components, twice, and only what is left
+   in other components then is compared in pairs. A large group of near copies so costs about as many comparisons
+   as it has members, whether they are near the hub or only near each other, and no component is cut.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeguard.llm.common import prepare, row_key, stored
-from changeguard.llm.components import components
+from changeguard.llm.components import components, joined
 from changeguard.llm.wordhash import mixed, shingle_hashes, word_hashes
 
 COORDINATES = 32
@@ -91,12 +93,10 @@ def _whole_sets(batches):
     for batch in batches:
         texts = [x or b"" for x in batch.column(1).to_pylist()]
         for begin in range(0, len(texts), _ROWS):
-            found, signature = _sets(texts[begin : begin + _ROWS])
+            found, _ = _sets(texts[begin : begin + _ROWS])
             part = batch.slice(begin, len(found))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), _lists(signature.ravel(), np.arange(len(found) + 1) * COORDINATES),
-                 _lists(np.concatenate(found), np.concatenate(([0], np.cumsum([len(s) for s in found]))))],
-                names=["node", "tokens", "members"])
+                [part.column(0), _lists(np.concatenate(found), np.concatenate(([0], np.cumsum([len(s) for s in found]))))], names=["node", "members"])
 
 
 def _postings(classes: DataFrame, similarity: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _postings(classes: DataFrame, similarity: int) -> DataFrame:
 
 
 def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: bool) -> DataFrame:
-    """(hub, node, h, s, missing, d, matches, diff): every member of a posting list against the list's hub.
+    """(hub, node, h, s, missing, d, diff): every member of a posting list against the list's hub.
 
     ``repeated`` tells that rows repeat id and text; only one of them gives its class its set.
     """
@@ -121,14 +121,13 @@ def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: b
     stars = stored(stars, "stars")
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
     texts = classes.select("node", F.col("key").alias("__key")).join(wanted, "node").join(docs, "__key").select("node", "__body")
-    sets = texts.mapInArrow(_whole_sets, "node long, tokens array<bigint>, members array<bigint>")
+    sets = texts.mapInArrow(_whole_sets, "node long, members array<bigint>")
     sets = stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
-    hubs = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"), F.col("members").alias("hub_members"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_members"))
     both = stars.join(sets, "node").join(hubs, "hub").select(
         "hub", "node", F.size("hub_members").cast("long").alias("h"), F.size("members").cast("long").alias("s"),
-        F.array_except("hub_members", "members").alias("gone"), F.array_except("members", "hub_members").alias("new"),
-        F.size(F.array_intersect("tokens", "hub_tokens")).alias("matches"))
-    out = both.select("hub", "node", "h", "s", F.size("gone").cast("long").alias("missing"), "matches", F.concat("gone", "new").alias("diff"))
+        F.array_except("hub_members", "members").alias("gone"), F.array_except("members", "hub_members").alias("new"))
+    out = both.select("hub", "node", "h", "s", F.size("gone").cast("long").alias("missing"), F.concat("gone", "new").alias("diff"))
     return stored(out.withColumn("d", F.size("diff").cast("long")), "compared")
 
 
@@ -136,12 +135,13 @@ def _is_link(common, sizes, similarity):
     return (100 + similarity) * common >= similarity * sizes
 
 
-def _links_past_hub(compared: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): similar members of one hub's lists, at least one of them not similar to the hub.
+def _differences(compared: DataFrame, similarity: int) -> DataFrame:
+    """(hub, item, node, h, w, d, linked, place, alone): the differences from the hub that members share, with their place by rarity.
 
     With h the hub's size, s a member's, m what it lacks of the hub, and v the shared differences of two members,
     their intersection is h - m1 - m2 + v. So similarity asks for v >= (w1 + w2 - (100 + S) h) / (100 + S) with
-    w = S s + (100 + S) m. Members similar to the hub need no pair among themselves.
+    w = S s + (100 + S) m. Members similar to the hub need no pair among themselves. ``alone`` counts the differences
+    that a member shares with nobody.
     """
     whole = 100 + similarity
     weighed = compared.withColumn("w", similarity * F.col("s") + whole * F.col("missing")).withColumn(
@@ -149,21 +149,57 @@ def _links_past_hub(compared: DataFrame, similarity: int) -> DataFrame:
     items = weighed.select("hub", "node", "h", "w", "d", "linked", F.explode("diff").alias("item"))
     common = items.groupBy("hub", "item").agg(F.count("*").alias("n"), F.bool_and("linked").alias("quiet")).filter("n > 1 and not quiet")
     own = W.partitionBy("hub", "node")
-    posted = items.join(common, ["hub", "item"]).withColumn("place", F.row_number().over(own.orderBy("n", "item"))).withColumn(
-        "place", F.col("d") - F.count("*").over(own) + F.col("place") - 1)
-    one = posted.filter("not linked").select("hub", "item", "h", *(F.col(c).alias(c + "1") for c in ("node", "w", "d", "place")))
-    two = posted.select("hub", "item", *(F.col(c).alias(c + "2") for c in ("node", "w", "d", "place", "linked")))
-    need = F.ceil((F.col("w1") + F.col("w2") - whole * F.col("h")) / F.lit(whole))
-    pairs = one.join(two, ["hub", "item"]).filter(
-        (F.col("linked2") | (F.col("node1") < F.col("node2"))) & (F.col("node1") != F.col("node2"))
-        & (need <= F.least("d1", "d2")) & (F.col("place1") <= F.col("d1") - need) & (F.col("place2") <= F.col("d2") - need))
-    pairs = stored(pairs.select("hub", "node1", "node2").distinct(), "past-hub")
+    return items.join(common, ["hub", "item"]).withColumn("place", F.row_number().over(own.orderBy("n", "item"))).withColumn(
+        "alone", F.col("d") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.col("place") - 1).drop("n", "quiet")
+
+
+def _verified(pairs: DataFrame, compared: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): the similar ones among pairs (hub, node1, node2) of members, by their differences from the hub."""
     side = lambda n: compared.select("hub", "h", F.col("node").alias(f"node{n}"), F.col("s").alias(f"s{n}"), F.col("missing").alias(f"m{n}"), F.col("diff").alias(f"diff{n}"))
     sized = pairs.join(side(1), ["hub", "node1"]).join(side(2).drop("h"), ["hub", "node2"])
     common_members = F.col("h") - F.col("m1") - F.col("m2") + F.size(F.array_intersect("diff1", "diff2"))
     return sized.filter(_is_link(common_members, F.col("s1") + F.col("s2"), similarity)).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
+#: Rounds of stars over the lists of shared differences, before pairs.
+STARS = 2
+
+
+def _past_hub(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """(node, label) with the components joined that similar members of a list connect, where one of them is not similar to the hub.
+
+    ``labels`` has the components of the links to hubs. In each round a list's star is the least altered of those that
+    miss the hub, later of those outside the list's largest component. The last round takes all pairs of which
+    one is outside it; members of one component are never paired.
+    """
+    whole = 100 + similarity
+    posted = stored(_differences(compared, similarity), "differences")
+    fits = (F.ceil((F.col("w1") + F.col("w2") - whole * F.col("h")) / F.lit(whole)) <= F.least(
+        "d1", "d2", F.col("d1") - F.col("place1"), F.col("d2") - F.col("place2"))) & ~(F.col("linked1") & F.col("linked2")) & (F.col("label1") != F.col("label2"))
+    names = ("node", "w", "d", "place", "linked", "label")
+    for turn in range(STARS + 1):
+        tagged = stored(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+        sizes = tagged.groupBy("hub", "item", "label").agg(F.count("*").alias("n"), F.min(F.struct("linked", "alone", *names[:4])).alias("best"))
+        lists = sizes.groupBy("hub", "item").agg(
+            F.count("*").alias("labels"), F.bool_and("best.linked").alias("quiet"), F.max(F.struct("n", "label")).alias("major"),
+            F.min(F.struct("best.*", "label")).alias("one")).filter("labels > 1 and not quiet")
+        if turn:  # the best outside the largest component
+            outside = sizes.join(lists.select("hub", "item", "major"), ["hub", "item"]).filter("label != major.label")
+            lists = outside.groupBy("hub", "item").agg(F.any_value("major").alias("major"), F.min(F.struct("best.*", "label")).alias("one"))
+        lists = stored(lists.select("hub", "item", F.col("major.label").alias("major"), *(F.col(f"one.{c}").alias(c + "1") for c in names)), "mixed")
+        if lists.isEmpty():
+            break
+        two = tagged.select("hub", "item", "h", *(F.col(c).alias(c + "2") for c in names))
+        if turn < STARS:
+            met = two.join(lists.drop("major"), ["hub", "item"]).filter(fits)
+        else:
+            one = tagged.join(lists.select("hub", "item", "major"), ["hub", "item"]).filter("label != major").select("hub", "item", "major", *(F.col(c).alias(c + "1") for c in names))
+            met = stored(one, "outside").join(two, ["hub", "item"]).filter(fits & ((F.col("label2") == F.col("major")) | (F.col("node1") < F.col("node2"))))
+        pairs = stored(met.select("hub", "node1", "node2").distinct(), "past-hub")
+        labels = joined(labels, _verified(pairs, compared, similarity))
+    return labels
+
+
 def _repeated(profiles: DataFrame) -> DataFrame:
     """Keys of rows with words that repeat id and text."""
     return profiles.filter("__class is not null").groupBy("__key").count().filter("count > 1").select("__key")
@@ -181,9 +217,8 @@ def _grouped(df: DataFrame, doc_id: str, text: str, similarity: int) -> tuple[Da
         F.any_value("__tokens").alias("tokens")).select(F.monotonically_increasing_id().alias("node"), "__class", "best", F.col("best.key").alias("key"), "tokens")
     classes = stored(classes, "classes")
     compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes, similarity), "postings"), not _repeated(profiles).isEmpty())
-    near = compared.filter((F.col("matches") >= matches_for(similarity)) & _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
-    links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(_links_past_hub(compared, similarity))
-    labels = components(links)
+    near = compared.filter(_is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
+    labels = _past_hub(compared, components(near.select(F.col("hub").alias("a"), F.col("node").alias("b"))), similarity)
     grouped = classes.select("node", "__class", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = grouped.groupBy("label").agg(F.min("best").alias("__best"))
     return profiles.drop("__tokens"), grouped.select("__class", "label").join(best, "label")

@@ -165,6 +165,59 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in near_dups.one_of_each(docs).collect()} == {i for i in range(len(texts)) if find(i) == i}
 
 
+def grouped_by_hand(texts, similarity=85):
+    """Smallest member of each text's component."""
+    sets, top = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if find(i) != find(j) and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_copies_that_all_miss_the_hub(spark, monkeypatch):
+    """Members near each other but not near the list's hub: what is written grows with the members, not with their pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    turned = base[:150] + [f"v{i}" for i in range(50)]  # far from the base by a fifth, with most coordinates equal
+
+    def altered(w, n):
+        w = list(w)
+        for k in rng.sample(range(20, 120), n):
+            w[k] = f"x{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = [" ".join(base)] + [altered(turned, 1) for _ in range(300)] + [altered(turned, 3) for _ in range(60)] + [altered(base, 1) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, keep = {}, near_dups.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == grouped_by_hand(texts)
+    assert written["past-hub"] <= 6 * len(texts) and written["stars"] <= 40 * len(texts)
+
+
+def test_a_compared_pair_stays_linked(spark, monkeypatch):
+    """Full sets decide, however few coordinates are equal: with more wanted than any pair of near copies has, stars still link."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base), " ".join([*base[:118], "a", "b"]), " ".join(base[4:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for wanted in (1, 12):
+        monkeypatch.setattr(near_dups, "matches_for", lambda _, n=wanted: n)
+        assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == dict.fromkeys(range(3), 0)
+
+
 def test_many_repeated_rows_are_compared_once(spark):
     """Two near copies, each some hundred times with the same id: one comparison, no product of the repeats."""
     base = [f"w{i}" for i in range(100)]
