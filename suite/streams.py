@@ -16,6 +16,7 @@ from changeguard.session import scratch_dir
 from changeguard.sources.logs import read_log, stream_log
 from changeguard.streaming import monitors, stateful
 from changeguard.streaming.backfill import backfill_stream, run_available
+from changeguard.streaming.ordered import increase_stream, rate_limit_stream_ordered, rocksdb_state, throttle_stream_ordered
 from suite.base import SIZE_CLASS, check, rounded
 from suite.objectives import PACE, _with_walk
 from suite.tables import BAND, TIER
@@ -91,6 +92,58 @@ def rate_limit_stream(i):
     return out.select("client_id", "request_id", "allowed")
 
 
+def shuffled_files(i, rows, files=6, late_days=2):
+    """A stream over ``rows`` with one file per micro-batch: a row comes up to ``late_days`` after its time, in any order."""
+    path = scratch_dir(i.spark, "shuffled")
+    came = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("id"), F.lit(late_days * 86_400_000_000))
+    rows = rows.withColumn("came", came)
+    first, last = rows.agg(F.min("came"), F.max("came")).first()
+    step = (last - first) // files + 1
+    for n in range(files):  # one after the other: the order of the files is that of their times
+        rows.filter((F.col("came") >= first + n * step) & (F.col("came") < first + (n + 1) * step)).drop("came").repartition(1).sort("id").write.mode("append").parquet(path)
+    return stream_log(i.spark, path, rows.drop("came").schema, files_per_trigger=1)
+
+
+#: What the watermark has passed at the end, where rows come up to two days late.
+PASSED = f"(epoch_ms({LAST}) - 2 * 86400000) * 1000"
+
+
+@check(_with_walk(f"SELECT target, id, b::int AS batch_size, p::int AS throttle_ms, o AS tripped, trips::int AS trip_count FROM walk WHERE rn > 0 AND epoch_us(ts) <= {PASSED}"),
+       "health_samples scored")
+def throttle_stream_out_of_order(i):
+    """Samples come up to two days late, in six micro-batches: the trace is that of the batch form."""
+    with rocksdb_state(i.spark):
+        out = finished(i, throttle_stream_ordered(shuffled_files(i, i.health_samples), PACE, delay="2 days"), "throttle-ordered")
+    return out.select("target", "id", "batch_size", "throttle_ms", "tripped", "trip_count")
+
+
+@check(f"""WITH line AS (SELECT user_id AS client_id, event_id AS request_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (SELECT client_id, request_id, us, rn, 2 * 28800000000 AS level, true AS allowed FROM line WHERE rn = 1
+      UNION ALL SELECT client_id, request_id, us, rn, CASE WHEN full_now >= 28800000000 THEN full_now - 28800000000 ELSE full_now END, full_now >= 28800000000
+      FROM (SELECT l.*, least(3 * 28800000000, w.level + (l.us - w.us)) AS full_now FROM walk w JOIN line l ON l.client_id = w.client_id AND l.rn = w.rn + 1))
+    SELECT client_id, request_id, allowed FROM walk WHERE us <= {PASSED}""", "requests")
+def rate_limit_stream_out_of_order(i):
+    """Requests come up to two days late, in six micro-batches; idle clients are forgotten on the way."""
+    log = shuffled_files(i, i.table("events").selectExpr("user_id AS client_id", "event_id AS id", "ts"))
+    limited = rate_limit_stream_ordered(log, tie="id", tokens=1, seconds=28_800, burst=3, idle_seconds=86_400, delay="2 days")
+    with rocksdb_state(i.spark):
+        out = finished(i, limited, "limit-ordered")
+    return out.select("client_id", F.col("id").alias("request_id"), "allowed")
+
+
+@check(f"""WITH w AS (SELECT *, unnest(list_transform([0, 1, 2], lambda k: date_trunc('day', ts) - k * INTERVAL 1 DAY)) AS window_start FROM counters),
+    d AS (SELECT *, lag(value) OVER (PARTITION BY series, window_start ORDER BY ts, id) AS prev FROM w)
+    SELECT window_start, window_start + INTERVAL 3 DAY AS window_end, series, count(*) AS samples,
+           round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)::double, 6) AS increase
+    FROM d GROUP BY series, window_start HAVING epoch_us(window_start) + 3 * 86400000000 <= {PASSED}""", "counters")
+def increase_stream_out_of_order(i):
+    """Counters that reset, samples up to two days late: the growth in each window of three days is that of the sorted samples."""
+    samples = shuffled_files(i, i.counters)
+    with rocksdb_state(i.spark):
+        out = finished(i, increase_stream(samples, "series", window_seconds=3 * 86_400, slide_seconds=86_400, delay="2 days"), "increase")
+    return rounded(out.drop("rate"))
+
+
 @check("""WITH runs AS (SELECT *, sum(CASE WHEN to_state IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY migration_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS run
       FROM (SELECT *, lag(to_state) OVER (PARTITION BY migration_id ORDER BY id) AS p FROM state_log)),
     last AS (SELECT migration_id, arg_max(to_state, id) AS state, arg_max(first_at, id) AS since FROM

@@ -1,6 +1,7 @@
 """Streams: several micro-batches, late rows, restarts."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from changeguard.operators.fold import rate_limit, throttle_trace
 from changeguard.plans.plan import Slo, ThrottleConfig
 from changeguard.sources.logs import stream_log
-from changeguard.streaming import monitors, stateful
+from changeguard.streaming import monitors, ordered, stateful
 from changeguard.streaming.backfill import backfill_stream, run_available
 from tests.conftest import as_set
 from tests.test_controllers import samples
@@ -110,3 +111,61 @@ def test_backfill_stream_resumes_and_repeats_safely(spark, tmp_path):
     backfill_stream(spark, src, dst, ck, {"c": "concat('v', id)"}, schema)
     table = spark.read.parquet(f"{dst}/table")
     assert table.count() == 16 and table.filter("c IS NULL").count() == 0 and table.select("id").distinct().count() == 16
+
+
+def grown_by_hand(samples, window, slide, passed):
+    """(start, increase, samples) of each window of (seconds, value) that ends by ``passed``."""
+    out = {}
+    for t, _ in samples:
+        for k in range(window // slide):
+            start = (t // slide - k) * slide
+            inside = [v for s, v in sorted(samples) if start <= s < start + window]
+            if start + window <= passed:
+                out[start] = (sum(b if b < a else b - a for a, b in zip(inside, inside[1:], strict=False)), len(inside))
+    return out
+
+
+def test_counter_windows_with_resets_at_edges_and_silence(spark, feed, finish):
+    """Resets on both sides of pane edges, a silence longer than a window, any order of arrival."""
+    rng = random.Random(8)
+    samples = {"a": [(t, (t * 7) % 50) for t in range(0, 300, 5)] + [(t, t % 40) for t in range(3000, 3200, 9)],
+               "b": [(59, 10), (60, 4), (119, 9), (120, 0), (121, 3), (10_000, 5)]}
+    rows = [(k, n, at(t), float(v)) for k, xs in samples.items() for n, (t, v) in enumerate(xs)] + [("end", 0, at(30_000), 1.0)]
+    rng.shuffle(rows)
+    rows = sorted(rows, key=lambda r: (r[0] == "end", rng.random()))
+    stream = feed([rows[:40], rows[40:70], rows[70:]], "k string, id long, ts timestamp, value double")
+    with ordered.rocksdb_state(spark):
+        got = finish(ordered.increase_stream(stream, "k", window_seconds=180, slide_seconds=60, delay="8 hours"))
+    base = int(BASE.replace(tzinfo=dt.UTC).timestamp())
+    seen = {(r.k, int(r.window_start.replace(tzinfo=dt.UTC).timestamp()) - base): (r.increase, r.samples) for r in got.collect()}
+    assert seen == {(k, s): v for k, xs in samples.items() for s, v in grown_by_hand(xs, 180, 60, 30_000 - 8 * 3600).items()}
+
+
+def test_controllers_in_time_order_whatever_comes_first(spark, feed, finish):
+    """The later half first: the trace and the admissions of the batch forms, up to the watermark."""
+    rows = [(k, n, at(n * 3 + k)) for k in range(3) for n in range(40)]
+    late_first = sorted(rows, key=lambda r: (r[1] < 20, r[1] * 7 % 20))
+    stream = feed([late_first[:50], late_first[50:90], [*late_first[90:], (9, 0, at(10_000))]], "client_id long, request_id long, ts timestamp")
+    with ordered.rocksdb_state(spark):
+        got = finish(ordered.rate_limit_stream_ordered(stream, tokens=1, seconds=10, burst=2, idle_seconds=600, delay="30 minutes"))
+    want = rate_limit(spark.createDataFrame(rows, "client_id long, request_id long, ts timestamp"), tokens=1, seconds=10, burst=2)
+    names = ("client_id", "request_id", "allowed")
+    assert as_set(got.select(*names)) == as_set(want.select(*names)) and got.count() == 120
+
+
+def test_ordered_state_goes_on_after_a_restart(spark, feed, tmp_path):
+    """Waiting rows and the controller's state survive a stop between two files."""
+    cfg = ThrottleConfig()
+    health = samples(spark, 60).filter("id > 0")  # a time of zero is behind any watermark
+    first, second = health.filter("id % 2 = 0"), health.filter("id % 2 = 1")
+    stream = feed([first], None)
+    schema, src = health.schema, tmp_path / "src"
+    out, point = str(tmp_path / "o"), str(tmp_path / "p")
+    with ordered.rocksdb_state(spark):
+        run_available(ordered.throttle_stream_ordered(stream, cfg, delay="1 day"), out, point)
+        second.coalesce(1).write.mode("append").parquet(str(src / "b=1"))
+        end = health.filter("id = 1").withColumns({"id": F.lit(-1).cast(schema["id"].dataType), "target": F.lit(99).cast(schema["target"].dataType), "ts": F.col("ts") + F.expr("interval 40 days")})
+        end.coalesce(1).write.mode("append").parquet(str(src / "b=2"))
+        got = run_available(ordered.throttle_stream_ordered(stream, cfg, delay="1 day"), out, point)
+    names = ("target", "id", "batch_size", "throttle_ms", "tripped", "trip_count")
+    assert as_set(got.select(*names)) == as_set(throttle_trace(health, cfg).select(*names))
