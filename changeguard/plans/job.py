@@ -8,7 +8,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,13 @@ from changeguard.operators.registry import service_readiness
 from changeguard.operators.schema_change import ChangeError, contract, expand, rollback, verify_rollback
 from changeguard.operators.slo import canary_run, lag_gate
 from changeguard.plans.plan import FLOW, ROLLED_BACK, ROLLING_BACK, TERMINAL, Plan
-from changeguard.sources.logs import append_events, append_log, read_log
+from changeguard.sources.commits import CommitLog, Folder, as_file, commit_name
+from changeguard.sources.logs import BACKFILL_LOG, STATE_EVENT, append_log, read_log
 
 #: Rows one range of a backfill is meant to have; each range is written and logged on its own.
 RANGE_ROWS = 50_000_000
+#: Files a range is dealt into when the source is cut.
+RANGE_FILES = 16
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,11 @@ class ChangeResult:
 
 class ChangeJob:
     """Runs one plan on one table. ``workdir`` is a shared folder and belongs to
-    this run: the event, batch and canary logs, the filled ranges and the final table.
+    this change: the event, batch and canary logs, the filled ranges and the final table.
+
+    Events are numbered commits, and a run claims the log before its first step: of two runs on one folder the one
+    that started earlier is refused at its next step. Data is written aside and moved to its place whole, so a
+    stop between data and event leaves data that the next run takes over.
 
     ``lag`` has ``max_lag_ms`` rows as of now; ``as_of`` is the time of the log
     entries, the current time if it is not given.
@@ -56,7 +63,8 @@ class ChangeJob:
         self.df, self.plan, self.requests, self.key, self.registry, self.lag = df, plan, requests, key, registry, lag
         self.spark = df.sparkSession
         self.as_of, self.range_rows = as_of, range_rows
-        self.events_path, self.filled_path, self.final_path = (f"{workdir}/{n}" for n in ("events", "filled", "final"))
+        self.workdir, self.events_path, self.filled_path, self.final_path = workdir, *(f"{workdir}/{n}" for n in ("events", "filled", "final"))
+        self.log = CommitLog(self.spark, self.events_path, STATE_EVENT)
         self.backfill_path, self.canary_path = f"{workdir}/backfill-log", f"{workdir}/canary-log"
         have = {c.lower() for c in df.columns}
         self.added = [s for s in plan.add if s.name.lower() not in have]
@@ -78,27 +86,32 @@ class ChangeJob:
         return ChangeResult(state, self._table(state), read_log(self.spark, self.events_path, "state"))
 
     def _where(self) -> tuple[str, int, dict]:
-        """(state, number of the last event, what the last event notes)."""
-        try:
-            log = read_log(self.spark, self.events_path, "state")
-            row = log.agg(F.max_by("to_state", "id").alias("s"), F.max("id").alias("n"), F.max_by("detail", "id").alias("d")).first()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # a log that cannot be read is no new start
-                raise
-            row = None
-        return (row["s"], row["n"], json.loads(row["d"] or "{}")) if row and row["s"] else ("Pending", 0, {})
+        """(state, number of the last event, what the last event notes); this run is the writer from now on."""
+        row = self.log.last()[1]
+        if not row or row["to_state"] not in TERMINAL:
+            row = self.log.claim()
+        return (row["to_state"], row["id"], json.loads(row["detail"] or "{}")) if row else ("Pending", 0, {})
 
-    def _now(self) -> Column:
-        return F.current_timestamp() if self.as_of is None else F.lit(self.as_of).cast("timestamp")
+    def _now(self) -> dt.datetime:
+        return dt.datetime.now(dt.UTC) if self.as_of is None else self.as_of
 
     def _log(self, seq: int, before: str, after: str, note: dict) -> None:
-        row = self.spark.createDataFrame(
-            [(seq, self.plan.id, before, after, json.dumps(note))],
-            "id long, migration_id string, from_state string, to_state string, detail string",
-        ).withColumn("created_at", self._now())
-        append_events(row.coalesce(1), self.events_path)
+        self.log.commit([{"id": seq, "migration_id": self.plan.id, "from_state": before, "to_state": after, "detail": json.dumps(note), "created_at": self._now()}])
         self.noted = note
 
+    def _publish(self, df: DataFrame, folder: str, name: str, watch: dict[str, Column] | None = None) -> dict:
+        """Write ``df`` aside and move it to ``folder``/``name`` whole; what is there already, from a run that
+        stopped before its event, stays. Returns the ``watch`` aggregates, from the write itself where there is one."""
+        place, path = Folder(self.spark, folder), f"{folder}/{name}"
+        watch = watch or {"rows": F.count(F.lit(1))}
+        if not place.exists(name):
+            seen = Observation()
+            aside = f"{self.workdir}/attempts/{self.log.writer}/{name}"
+            df.observe(seen, *(c.alias(n) for n, c in watch.items())).write.mode("overwrite").parquet(aside)
+            if place.move(aside, name):
+                return seen.get
+        return self.spark.read.schema(df.schema).parquet(path).agg(*(c.alias(n) for n, c in watch.items())).first().asDict()
+
     def _table(self, state: str) -> DataFrame:
         if state == "Done":
             return self.spark.read.parquet(self.final_path)
@@ -106,9 +119,6 @@ class ChangeJob:
             return rollback(self.df, self.added)
         return self.df
 
-    def _range_path(self, n: int) -> str:
-        return f"{self.filled_path}/range-{n:06d}"
-
     def _filled(self) -> DataFrame:
         wide = expand(self.df, self.plan.add)  # the schema: a range may be empty
         return self.spark.read.schema(wide.schema).parquet(f"{self.filled_path}/range-*")
@@ -127,32 +137,54 @@ class ChangeJob:
             return {"bounds": sorted(set(at or [])), "hashed": 0}
         return {"bounds": [], "hashed": n}
 
-    def _in_range(self, cut: dict, n: int) -> Column:
-        """Whether a key is in the n-th range; the first also has NULL keys."""
+    def _range_of(self, cut: dict) -> Column:
+        """Number of a row's range, from 1; the first also has NULL keys."""
         if cut["hashed"]:
-            width = 2**32 / cut["hashed"]
-            return key_hash(self.key).between(math.ceil((n - 1) * width), math.ceil(n * width) - 1)
-        bounds, k = cut["bounds"], F.col(self.key)
-        low = k > bounds[n - 2] if n > 1 else F.lit(True)
-        high = k <= bounds[n - 1] if n <= len(bounds) else F.lit(True)
-        return (low & high) | k.isNull() if n == 1 else low & high
+            return F.floor(F.coalesce(key_hash(self.key), F.lit(0)) / (2**32 / cut["hashed"])).cast("int") + 1
+        k, bounds = F.col(self.key), cut["bounds"]
+        above = F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < k) if bounds else F.array()
+        return F.when(k.isNull(), 1).otherwise(F.size(above) + 1)
+
+    def _source(self, cut: dict, n: int, ranges: int) -> DataFrame:
+        """The rows of a range. With several, the source is read once and dealt to a folder per range, before the first."""
+        if ranges == 1:
+            return self.df
+        dealt = f"{self.workdir}/dealt"
+        if not Folder(self.spark, self.workdir).exists("dealt"):
+            tagged = self.df.withColumn("__range", self._range_of(cut))
+            # By range and a hash of the whole row: no range and no key ends in one task.
+            spread = tagged.repartition(ranges * RANGE_FILES, "__range", F.pmod(F.xxhash64(*(f"`{c}`" for c in self.df.columns)), F.lit(RANGE_FILES)))
+            aside = f"{self.workdir}/attempts/{self.log.writer}/dealt"
+            spread.write.partitionBy("__range").mode("overwrite").parquet(aside)
+            Folder(self.spark, self.workdir).move(aside, "dealt")
+        mine = f"__range={n}"
+        if not Folder(self.spark, dealt).exists(mine):  # no key fell between two bounds
+            return self.spark.createDataFrame([], self.df.schema)
+        return self.spark.read.schema(self.df.schema).parquet(f"{dealt}/{mine}")
 
     def _backfill(self) -> dict:
         """Fill and write the next range; its event is the checkpoint that a later run goes on from."""
-        before = self.noted if "batch_num" in self.noted else {"batch_num": 0, "rows_done": 0, "last_id": None, **self._ranges()}
+        before = self.noted if "batch_num" in self.noted else {"batch_num": 0, "rows_done": 0, "last_id": None, **self._cut()}
         n, ranges = before["batch_num"] + 1, before["hashed"] or len(before["bounds"]) + 1
-        wide = expand(self.df, self.plan.add)
+        wide = expand(self._source(before, n, ranges), self.plan.add)
         filled = fill_pending(wide, self.plan.exprs) if self.plan.exprs else wide
-        filled.filter(self._in_range(before, n)).write.mode("overwrite").parquet(self._range_path(n))
-        done = self.spark.read.schema(filled.schema).parquet(self._range_path(n)).agg(F.count("*").alias("rows"), F.max(self.key).alias("last")).first()
-        if not self._logged(self.backfill_path, "backfill", F.col("batch_number") == n):
-            self._note(self.backfill_path, "backfill", [(n, done["rows"], self.plan.throttle_ms)], "batch_number int, rows_affected int, throttle_ms int", "created_at")
+        done = self._publish(filled, self.filled_path, f"range-{n:06d}", {"rows": F.count(F.lit(1)), "last": F.max(self.key)})
+        # Named by the range, so a repeated step leaves one row.
+        note = {"migration_id": self.plan.id, "batch_number": n, "rows_affected": done["rows"], "throttle_ms": self.plan.throttle_ms, "created_at": self._now()}
+        Folder(self.spark, self.backfill_path).put(commit_name(n), as_file([note], BACKFILL_LOG))
         last = before["last_id"] if before["hashed"] or done["last"] is None else done["last"]
         point = {"batch_num": n, "rows_done": before["rows_done"] + done["rows"], "last_id": last}
         if n < ranges:
             return {**point, "bounds": before["bounds"], "hashed": before["hashed"], "next": "Backfilling"}
         return {**{k: v for k, v in point.items() if k != "batch_num"}, "batches": n, "filled": list(self.plan.exprs)}
 
+    def _cut(self) -> dict:
+        """The ranges of this change: those that a stopped run has dealt the source by, or new ones."""
+        place = Folder(self.spark, self.workdir)
+        if not place.exists("ranges.json"):
+            place.put("ranges.json", json.dumps(self._ranges()).encode())
+        return json.loads(place.read("ranges.json"))
+
     def _logged(self, path: str, kind: str, which: Column) -> bool:
         """Whether an interrupted step has written its log row already."""
         try:
@@ -163,7 +195,7 @@ class ChangeJob:
             return False
 
     def _note(self, path: str, kind: str, rows: list[tuple], schema: str, at: str) -> None:
-        frame = self.spark.createDataFrame(rows, schema).withColumns({"migration_id": F.lit(self.plan.id), at: self._now()})
+        frame = self.spark.createDataFrame(rows, schema).withColumns({"migration_id": F.lit(self.plan.id), at: F.lit(self._now())})
         append_log(frame.coalesce(1), path, kind)
 
     def _verify(self) -> dict:
@@ -224,7 +256,7 @@ class ChangeJob:
         # Derived columns were counted at the cutover; the write still refuses NULLs.
         unchecked = [c for c in self.plan.required if c not in self.plan.exprs]
         final = contract(contract(self._filled(), (), unchecked), self.plan.drop, self.plan.required, check=False)
-        final.write.mode("overwrite").parquet(self.final_path)
+        self._publish(final, self.workdir, "final")
         return {"dropped": list(self.plan.drop), "not_null": self.plan.required}
 
     def _rollback(self) -> dict:

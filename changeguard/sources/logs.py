@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeguard.sources.commits import CommitLog, is_commit_log
+
 STATE_EVENT = "id long, migration_id string, from_state string, to_state string, detail string, created_at timestamp"
 DDL_LOG = (
     "id long, migration_id string, statement string, started_at timestamp, completed_at timestamp, "
@@ -48,6 +50,9 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A log in Parquet files or in numbered commits."""
+    if is_commit_log(spark, path):
+        return CommitLog(spark, path, LOG_SCHEMAS[kind]).read()
     return spark.read.schema(LOG_SCHEMAS[kind]).parquet(path)
 
 
