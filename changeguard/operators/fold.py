@@ -63,14 +63,13 @@ def ordered_fold(
         return rows.assign(**made)
 
     def in_buckets(part: DataFrame) -> DataFrame:
-        sizes = part.groupBy(*by).agg(F.count("*").alias("_n"))
-        large = F.col("_n") > BUCKET_ROWS
-        row = sizes.agg(F.sum("_n").alias("rows"), F.collect_list(F.when(large, F.xxhash64(*by))).alias("large")).first()
-        buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((row["rows"] or 0) / BUCKET_ROWS))
         hashed = F.xxhash64(*by)
-        # At most rows / BUCKET_ROWS large keys; their hash names their bucket, the others share the numbers from 0.
-        own = F.array_contains(F.array(*[F.lit(x) for x in row["large"]]), hashed) if row["large"] else F.lit(False)
-        shared = part.withColumn("_bucket", F.pmod(hashed, F.lit(buckets))).withColumn("_own", F.when(own, hashed))
+        sizes = part.groupBy(hashed.alias("_own")).agg(F.count("*").alias("_n"))
+        rows = sizes.agg(F.sum("_n")).first()[0] or 0
+        buckets = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / BUCKET_ROWS))
+        # A large key's hash names its bucket, the others share the numbers from 0.
+        large = sizes.filter(F.col("_n") > BUCKET_ROWS).select("_own")
+        shared = part.withColumn("_hash", hashed).join(large, F.col("_hash") == F.col("_own"), "left").withColumn("_bucket", F.pmod("_hash", F.lit(buckets))).drop("_hash")
         return shared.groupBy("_bucket", "_own").applyInPandas(run_bucket, schema)
 
     if not cut:
