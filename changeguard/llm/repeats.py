@@ -212,6 +212,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     windows = stored(pieces.filter(F.col("m") > FEW).select("key", "n", "first", "body").mapInArrow(
         _windows(length), "key binary, end boolean, at int, name binary"), "windows")
     twice = windows.groupBy("name").agg(F.min(F.struct("key", "at")).alias("x"), F.max(F.struct("key", "at")).alias("y")).filter("x != y").select("name")
+    twice = stored(twice, "repeated-windows")  # written as above: a string that is in all copies is split over tasks
     many = windows.filter("end").join(twice, "name", "left_semi").select("key", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     return whole.select("key", F.col("first").alias("a"), (F.col("last") + length).alias("b")).union(few).union(many)
 
