@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from changeguard.llm.common import prepare, row_key, stored
 from changeguard.llm.wordhash import SHINGLE, shingle_hashes, word_hashes
@@ -26,6 +28,8 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 #: Share of an item's own score that its non-essential terms may have.
 SILENT = 0.3
+#: Value of ``parts``: question and answer by their shingles only, which SQL can say too.
+SHINGLES = "shingles"
 #: Words from which a question alone, without its answer, is a leak.
 TELLING = 8
 K1, B = 1.2, 0.75
@@ -55,7 +59,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Item:
-    item_id: int | None
+    item_id: object
     shingles: np.ndarray
     question: int  # so many shingles end before the answer
     size: int  # words of a shingle
@@ -93,7 +97,7 @@ def _segments(words: np.ndarray) -> list[np.ndarray]:
     return [words[begin : begin + STEP] for begin in range(0, len(words), STEP)]
 
 
-def build_index(rows: list[tuple[int | None, str]], parts: bool = False, weighed: Spread | None = None) -> Index:
+def build_index(rows: list[tuple[object, str]], parts: bool = False, weighed: Spread | None = None) -> Index:
     """The index of some items, weighed by the ``Spread`` of all items (None: these are all).
 
     With ``parts`` questions are segments of their own beside those of the whole items.
@@ -206,22 +210,22 @@ def _in_order(part: np.ndarray, own: np.ndarray) -> bool:
     return bool(row.min() <= (1 - OVERLAP) * len(part) + 1e-9)
 
 
-def _holds(part: np.ndarray, own: np.ndarray) -> bool:
-    """Whether a document holds a question or an answer: by its own shingles, up to ``STEP`` words in order too."""
+def _holds(part: np.ndarray, own: np.ndarray, edits: bool) -> bool:
+    """Whether a document holds a question or an answer: by its own shingles or, with ``edits``, up to ``STEP`` words in order."""
     size = min(SHINGLE, len(part))
     if len(own) < size:
         return False
     there = np.isin(shingle_hashes(part, np.array([0, len(part)]), size)[0], shingle_hashes(own, np.array([0, len(own)]), size)[0])
-    return bool(there.sum() >= OVERLAP * len(there) - 1e-9) or (len(part) <= STEP and _in_order(part, own))
+    return bool(there.sum() >= OVERLAP * len(there) - 1e-9) or (edits and len(part) <= STEP and _in_order(part, own))
 
 
-def _holds_parts(item: Item, own: np.ndarray) -> bool:
+def _holds_parts(item: Item, own: np.ndarray, edits: bool) -> bool:
     """Question and answer, each by its own limit; the question alone if it is long enough to be no chance."""
     question, answer = item.words[: item.head], item.words[item.head :]
-    return len(question) > 0 and _holds(question, own) and (len(question) >= TELLING or (len(answer) > 0 and _holds(answer, own)))
+    return len(question) > 0 and _holds(question, own, edits) and (len(question) >= TELLING or (len(answer) > 0 and _holds(answer, own, edits)))
 
 
-def _search(shipped, parts: bool):
+def _search(shipped, parts: bool | str, id_type: pa.DataType):
     def run(batches):
         index = shipped.value
         for batch in batches:
@@ -236,10 +240,10 @@ def _search(shipped, parts: bool):
                     if (t, item.size) not in held:
                         held[t, item.size] = shingle_hashes(own, np.array([0, len(own)]), item.size)[0]
                     there = np.isin(item.shingles, held[t, item.size])
-                    if there.sum() >= OVERLAP * len(there) - 1e-9 or (parts and _holds_parts(item, own)):
+                    if there.sum() >= OVERLAP * len(there) - 1e-9 or (parts and _holds_parts(item, own, parts != SHINGLES)):
                         out.append((ids[begin + t], item.item_id, score, int(there[: item.question].sum()), item.question,
                                     int(there[item.question :].sum()), len(there) - item.question))
-            kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), *[pa.int32()] * 4)
+            kinds = (batch.schema.field(0).type, id_type, pa.float64(), *[pa.int32()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=_NAMES)
 
     return run
@@ -271,23 +275,25 @@ def _spread_for(own: DataFrame, spread: tuple[DataFrame, int, float]) -> Spread:
     return Spread(hashes[order], np.array([r["n"] for r in rows], dtype=np.int64)[order], *spread[1:])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: bool | str = False) -> DataFrame:
     """(id, item_id) of every document that holds a test item, with the shingles of question and answer that it holds.
 
     A document holds an item if at least ``OVERLAP`` of the item's shingles, question and answer together, are in it;
     an item of fewer than five words is one shingle. With ``parts`` it also holds an item if it holds question and answer
-    each by its own limit, wherever they are, or a question of ``TELLING`` words or more alone. ``score`` is the best passage's share of the item's own BM25
+    each by its own limit, wherever they are, or a question of ``TELLING`` words or more alone; a part is held by
+    its own shingles or, unless ``parts`` is ``SHINGLES``, by its words in order. Ids of items are of any type. ``score`` is the best passage's share of the item's own BM25
     score. NULL texts and items without words hold and match nothing; repeated documents give repeated rows, repeated
     items one row each; empty tables give no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__body"))
-    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
+    item_type = items.schema["item_id"].dataType
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // INDEX_BYTES))
     schema = source.select("__id").schema
-    for name, kind in zip(_NAMES[1:], ("long", "double", *["integer"] * 4), strict=True):
+    for name, kind in zip(_NAMES[1:], (item_type, *map(T._parse_datatype_string, ("double", *["integer"] * 4))), strict=True):
         schema = schema.add(name, kind)
     spread = _spread(items) if blocks > 1 else None
     found = []
@@ -295,7 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else items
         index = build_index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])),
                             parts, _spread_for(own, spread) if spread else None)
-        found.append(source.mapInArrow(_search(spark.sparkContext.broadcast(index), parts), schema))
+        found.append(source.mapInArrow(_search(spark.sparkContext.broadcast(index), parts, to_arrow_type(item_type)), schema))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeguard.llm.contamination import OVERLAP
+from changeguard.llm.contamination import OVERLAP, TELLING
 from changeguard.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
 from changeguard.llm.line_dedup import LEAST_DOCS, LEAST_KEY
 from changeguard.llm.quality_rules import HOST_SHARE, LEFT_SHARE, MIN_DOCS, MIN_WORDS
@@ -91,11 +91,19 @@ i0 AS (SELECT item_id, text, regexp_extract(regexp_replace(text, '\s+$', ''), '(
 i1 AS (SELECT row_number() OVER () AS item, item_id, {_PLAIN.format('text')} AS w, len({_PLAIN.format("CASE WHEN head = '' THEN text ELSE head END")}) AS head FROM i0),
 i2 AS (SELECT item, item_id, least(len(w), 5) AS q, head, {_shingles('w', 'least(len(w), 5)')} AS sh FROM i1 WHERE len(w) > 0),
 i3 AS (SELECT item, item_id, q, greatest(0, least(len(sh), head - q + 1)) AS question, len(sh) AS m, unnest(range(1, len(sh) + 1)) AS i, unnest(sh) AS s FROM i2),
+p1 AS (SELECT item, 1 AS part, w[1 : head] AS pw FROM i1 WHERE head > 0 UNION ALL SELECT item, 2, w[head + 1 :] FROM i1 WHERE len(w) > head),
+p2 AS (SELECT item, part, len(pw) AS n, least(len(pw), 5) AS q, {_shingles('pw', 'least(len(pw), 5)')} AS sh FROM p1),
+p3 AS (SELECT item, part, n, q, len(sh) AS m, unnest(sh) AS s FROM p2),
 c AS (SELECT rid, doc_id, {_PLAIN.format('body')} AS w FROM d),
-f AS (SELECT rid, doc_id, q, unnest(list_distinct({_shingles('w', 'q')})) AS s FROM c CROSS JOIN (SELECT DISTINCT q FROM i2) WHERE len(w) >= q)
-SELECT doc_id, item_id, CAST(count_if(i <= question) AS INT) AS question_shared, CAST(any_value(question) AS INT) AS question_shingles,
-       CAST(count_if(i > question) AS INT) AS answer_shared, CAST(any_value(m - question) AS INT) AS answer_shingles
-FROM f JOIN i3 USING (q, s) GROUP BY rid, doc_id, item, item_id HAVING count(*) >= {OVERLAP} * any_value(m)"""
+f AS (SELECT rid, doc_id, q, unnest(list_distinct({_shingles('w', 'q')})) AS s FROM c CROSS JOIN (SELECT q FROM i2 UNION SELECT q FROM p2) WHERE len(w) >= q),
+whole AS (SELECT rid, item, count_if(i <= question) AS asked, count_if(i > question) AS told, count(*) >= {OVERLAP} * any_value(m) AS held FROM f JOIN i3 USING (q, s) GROUP BY rid, item),
+parts AS (SELECT rid, item, part, any_value(n) AS n FROM f JOIN p3 USING (q, s) GROUP BY rid, item, part HAVING count(*) >= {OVERLAP} * any_value(m)),
+leaks AS (SELECT rid, item FROM whole WHERE held
+          UNION SELECT a.rid, a.item FROM parts AS a LEFT JOIN parts AS b ON b.rid = a.rid AND b.item = a.item AND b.part = 2 WHERE a.part = 1 AND (a.n >= {TELLING} OR b.rid IS NOT NULL)),
+sizes AS (SELECT item, item_id, any_value(question) AS question, any_value(m) AS m FROM i3 GROUP BY item, item_id)
+SELECT doc_id, item_id, CAST(coalesce(asked, 0) AS INT) AS question_shared, CAST(question AS INT) AS question_shingles,
+       CAST(coalesce(told, 0) AS INT) AS answer_shared, CAST(m - question AS INT) AS answer_shingles
+FROM leaks JOIN c USING (rid) JOIN sizes USING (item) LEFT JOIN whole USING (rid, item)"""
 
 _TABLE = """list_transform(range(256), lambda i: list_reduce([i::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
     lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END))"""

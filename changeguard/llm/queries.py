@@ -41,7 +41,7 @@ def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), parts=contamination.SHINGLES)
     return found.drop("score")  # SQL knows no BM25; all else is exact
 
 

@@ -228,6 +228,37 @@ def test_many_repeated_rows_are_compared_once(spark):
     assert sorted(r.doc_id for r in near_dups.one_of_each(docs).collect()) == [0, 5]
 
 
+def test_parts_against_brute_force(spark):
+    """Questions and answers planted apart, alone, cut and edited; the rule of the query. Ids of items are texts."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "and", f"y{rng.randrange(500)}"])
+    say = lambda n: " ".join(word() for _ in range(n))
+    tests = [(f"item-{i}", f"{say(rng.choice([3, 6, 8, 14, 30]))} z{i}? {say(rng.choice([1, 4, 9]))} v{i}.") for i in range(40)]
+    docs = []
+    for i in range(160):
+        question, answer = rng.choice(tests)[1].split("? ")
+        if i % 5 == 3 and len(question.split()) > 12:  # a short question that lacks a rare word is below the score that retrieves
+            question = question.split(" ", 1)[1]
+        docs.append((i, f"{say(30)} " + (f"{question}? so the answer is {answer}", question, answer, f"{answer} {say(40)} {question}")[i % 4] + f" {say(30)}"))
+    plain = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", t.lower()) if w]
+
+    def share(part, words):
+        n = min(5, len(part))
+        there = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+        own = [tuple(part[k : k + n]) for k in range(len(part) - n + 1)]
+        return sum(x in there for x in own) >= 0.8 * len(own)
+
+    want = set()
+    for d, t in docs:
+        for i, s in tests:
+            question, answer = (plain(x) for x in s.split("? "))
+            if share(question + answer, plain(t)) or (share(question, plain(t)) and (len(question) >= 8 or share(answer, plain(t)))):
+                want.add((d, i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in contamination.contaminated(*frames, parts=contamination.SHINGLES).collect()} == want
+    assert len(want) > 60 and len({d for d, _ in want} & {d for d, _ in docs if d % 4 == 0}) > 20
+
+
 def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda: rng.choice(["the", "of", "and", "to", f"x{rng.randrange(900)}"])
