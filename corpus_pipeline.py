@@ -12,7 +12,7 @@ from changeguard.llm.settings import PII_KEY, RANKS
 
 
 #: Percent of shared shingles from which two texts are near copies.
-NEAR = 85
+NEAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
