@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import re
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import xxhash
 
 # Element names of the HTML standard by their role here.
@@ -204,77 +206,118 @@ def _outlined(children: list[Node], order: list) -> tuple:
     return tuple(out)
 
 
-def weight(tree: Outline) -> int:
-    return 1 + sum(weight(c) for c in tree[2])
+def _further(row: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The next row of the table of best matches of two lists, from the gain of each of its pairs."""
+    out = np.zeros_like(row)
+    np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain), out=out[1:])
+    return out
 
 
-#: Pairs of children that one comparison may weigh; beyond it, children are matched in order by label.
-CELLS = 40_000
+def _matched(rows: int, columns: int, gain) -> list[tuple[int, int]]:
+    """Pairs of the best match of two lists; ``gain(i)`` holds what i gains with each of the other list.
+
+    Only every so many rows of the table are kept and those between are made again on the way back, so memory grows
+    with the root of its length, and lists of any length are matched alike.
+    """
+    step = isqrt(rows) + 1
+    row = np.zeros(columns + 1, np.int64)
+    kept = [row]
+    for i in range(rows):
+        row = _further(row, gain(i))
+        if (i + 1) % step == 0:
+            kept.append(row)
+    out, j = [], columns
+    for start in range((rows - 1) // step * step, -1, -step):
+        gains = [gain(i) for i in range(start, min(rows, start + step))]
+        table = [kept[start // step]]
+        for g in gains:
+            table.append(_further(table[-1], g))
+        i = len(gains)
+        while i and j:
+            g = gains[i - 1][j - 1]
+            if g and table[i][j] == table[i - 1][j - 1] + g:
+                out.append((start + i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return out[::-1]
 
 
 def align(a: Outline, b: Outline) -> list[tuple[int, int]]:
-    """Pairs of preorder numbers that simple tree matching maps to each other; none if the roots differ."""
-    memo: dict[tuple[int, int], int] = {}
-    sizes: dict[int, int] = {}
-
-    def size(t: Outline) -> int:
-        if id(t) not in sizes:
-            sizes[id(t)] = weight(t)
-        return sizes[id(t)]
-
-    def table(x: tuple, y: tuple) -> list[list[int]]:
-        rows = [[0] * (len(y) + 1)]
-        for p in x:
-            above, row = rows[-1], [0]
-            for j, q in enumerate(y):
-                row.append(max(above[j + 1], row[j], above[j] + score(p, q)))
-            rows.append(row)
-        return rows
-
-    def score(p: Outline, q: Outline) -> int:
-        if p[0] != q[0]:
-            return 0
-        key = (id(p), id(q))
-        if key not in memo:
-            if p == q:
-                memo[key] = size(p)
-            elif len(p[2]) * len(q[2]) > CELLS:
-                memo[key] = 1 + sum(score(x, y) for x, y in zip(p[2], q[2]))
-            else:
-                memo[key] = 1 + table(p[2], q[2])[-1][-1]
-        return memo[key]
+    """Pairs of preorder numbers that simple tree matching maps to each other; none if the roots differ.
 
+    Of the matches with the most nodes, one with the most nodes in subtrees of the same text is taken.
+    """
+    shapes: dict[tuple, int] = {}
+    trees: dict[tuple, int] = {}
+    kinds: list[tuple[str, tuple, int]] = []  # of each shape: label, shapes of the children, nodes
+    known: dict[tuple[int, int], int] = {}
+
+    def numbered(tree: Outline) -> list[tuple[int, int, list[int]]]:
+        """By preorder number: shape, tree with its texts, numbers of the children."""
+        out: list = []
+
+        def add(t: Outline) -> int:
+            n = len(out)
+            out.append(None)
+            children = [add(c) for c in t[2]]
+            key = (t[0], tuple(out[c][0] for c in children))
+            shape = shapes.setdefault(key, len(shapes))
+            if shape == len(kinds):
+                kinds.append((*key, 1 + sum(kinds[s][2] for s in key[1])))
+            out[n] = (shape, trees.setdefault((t[0], t[1], tuple(out[c][1] for c in children)), len(trees)), children)
+            return n
+
+        add(tree)
+        return out
+
+    def gains(shape: int, others: tuple | list) -> np.ndarray:
+        of = {t: score(shape, t) for t in set(others)}
+        return np.fromiter((of[t] for t in others), np.int64, len(others))
+
+    def score(s: int, t: int) -> int:
+        """Most nodes of two shapes that match."""
+        (label, x, size), (other, y, _) = kinds[s], kinds[t]
+        if label != other:
+            return 0
+        if s == t:
+            return size
+        if not x or not y:
+            return 1
+        if (s, t) not in known:
+            of = {p: gains(p, y) for p in set(x)}
+            row = np.zeros(len(y) + 1, np.int64)
+            for p in x:
+                row = _further(row, of[p])
+            known[s, t] = 1 + int(row[-1])
+        return known[s, t]
+
+    left, right = numbered(a), numbered(b)
+    most = len(left) + 1
     out: list[tuple[int, int]] = []
 
-    def walk(p: Outline, q: Outline, n: int, m: int) -> None:
-        out.append((n, m))
-        x, y = p[2], q[2]
-        if not x or not y:
-            return
-        starts_x, starts_y = [n + 1], [m + 1]
-        for c in x:
-            starts_x.append(starts_x[-1] + size(c))
-        for c in y:
-            starts_y.append(starts_y[-1] + size(c))
-        if len(x) * len(y) > CELLS:
-            for i, (c, d) in enumerate(zip(x, y)):
-                if c[0] == d[0]:
-                    walk(c, d, starts_x[i], starts_y[i])
+    def walk(n: int, m: int) -> None:
+        if left[n][1] == right[m][1]:
+            out.extend((n + k, m + k) for k in range(kinds[left[n][0]][2]))
             return
-        rows, i, j = table(x, y), len(x), len(y)
-        pairs = []
-        while i and j:
-            gain = score(x[i - 1], y[j - 1])
-            if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
-                pairs.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        for i, j in reversed(pairs):
-            walk(x[i], y[j], starts_x[i], starts_y[j])
+        out.append((n, m))
+        x, y = left[n][2], right[m][2]
+        start, end, shorter = 0, 0, min(len(x), len(y))
+        while start < shorter and left[x[start]][1] == right[y[start]][1]:
+            start += 1
+        while end < shorter - start and left[x[-1 - end]][1] == right[y[-1 - end]][1]:
+            end += 1
+        inner, other = x[start : len(x) - end], y[start : len(y) - end]
+        pairs = [(0, 0)] if len(inner) == len(other) == 1 and kinds[left[inner[0]][0]][0] == kinds[right[other[0]][0]][0] else []
+        if inner and other and not pairs:
+            same, forms = np.array([right[c][1] for c in other]), [right[c][0] for c in other]
+            of = {s: gains(s, forms) * most for s in {left[c][0] for c in inner}}
+            pairs = _matched(len(inner), len(other), lambda i: of[left[inner[i]][0]] + (same == left[inner[i]][1]) * kinds[left[inner[i]][0]][2])
+        for c, d in [*zip(x[:start], y[:start]), *((inner[i], other[j]) for i, j in pairs), *zip(x[len(x) - end :], y[len(y) - end :])]:
+            walk(c, d)
 
     if a[0] == b[0]:
-        walk(a, b, 0, 0)
+        walk(0, 0)
     return out

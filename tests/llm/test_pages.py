@@ -72,6 +72,77 @@ def test_wrappers_by_join(spark, monkeypatch):
     assert sorted(map(tuple, html_text.extract(pages).collect())) == want
 
 
+def most(a, b):
+    """Nodes of simple tree matching, by its plain recursion."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2], 1):
+        for j, y in enumerate(b[2], 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + most(x, y))
+    return 1 + table[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    label = "root" if not depth else rng.choice("abc")
+    if depth and rng.random() < 0.4:
+        return (label, f"1.{rng.randrange(3)}", ())
+    return (label, "", tuple(random_tree(rng, depth + 1) for _ in range(rng.randrange(6 if depth < 3 else 1))))
+
+
+def test_matching_against_plain_recursion():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = random_tree(rng), random_tree(rng)
+        pairs = align(a, b)
+        labels = [[t[0] for t in flat(x)] for x in (a, b)]
+        assert len(pairs) == most(a, b) and pairs == sorted(pairs) and all(labels[0][n] == labels[1][m] for n, m in pairs)
+        assert [m for _, m in pairs] == sorted({m for _, m in pairs})
+
+
+def flat(t):
+    return [t] + [n for c in t[2] for n in flat(c)]
+
+
+@pytest.mark.parametrize("blocks", [20, 300, 3000])
+def test_one_child_more_shifts_nothing(blocks):
+    """Blocks that differ in their texts, a constant one among them, and on one page a block more in front."""
+    def long_page(i, more=""):
+        middle = blocks // 2
+        return "<div>" + more + "".join(f"<div class=card><p>{'Same for all' if k == middle else f'{i} {k}'}</p></div><h3>{i} h {k}</h3>" for k in range(blocks)) + "</div>"
+
+    a, b = tree(long_page(1)), tree(long_page(2, "<div class=card><p>more</p></div>"))
+    own, other = html_text._digests(a), html_text._digests(b)
+    equal = [(n, m) for n, m in align(a, b) if own[n] and own[n] == other[m]]
+    assert len(equal) == 1 and own[equal[0][0]].startswith("12.")
+
+
+def test_small_hosts_layouts_and_missing_blocks(spark):
+    """Notices without a telling name on a host of three pages, in its second layout, and on pages other than the reference."""
+    def three(i):
+        return f"<div class=top>Welcome to the shop</div><div class=text><p>Story {i} of its own, told in {i * 31} words</p></div>"
+
+    def second(i):
+        return f"<section class=text><p>Tale {i} of another kind, in {i * 17} words of its own</p></section><section class=low><p>Call us any time</p></section>"
+
+    def more(i):
+        return f"<div class=text><p>Report {i} on matter {i * 13}, which is long enough</p></div>" + ("<div class=end><b>Buy now!</b></div>" if i % 3 else "")
+
+    rows = [(i, "http://three.example/", three(i)) for i in range(3)]
+    rows += [(100 + i, "http://two.example/", three(i) if i % 3 else second(i)) for i in range(24)]
+    rows += [(200 + i, "http://more.example/", more(i)) for i in range(12)]
+    rows += [(300 + i, "http://copies.example/", three(7)) for i in range(5)]  # one article only: nothing to learn from
+    rows += [(400 + i, "http://hot.example/", three(i % 2 + 50 if i < 40 else i)) for i in range(60)]  # two articles with many copies
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} of its own, told in {i * 31} words" for i in range(3))
+    assert all(got[100 + i] == (f"Story {i} of its own, told in {i * 31} words" if i % 3 else f"Tale {i} of another kind, in {i * 17} words of its own") for i in range(24))
+    assert all(got[200 + i] == f"Report {i} on matter {i * 13}, which is long enough" for i in range(12))
+    assert got[300] == got[304] == "Welcome to the shop\nStory 7 of its own, told in 217 words"
+    assert all(got[400 + i] == (lambda k: f"Story {k} of its own, told in {k * 31} words")(i % 2 + 50 if i < 40 else i) for i in range(60))
+
+
 def test_leaf_texts_are_all_there():
     assert [n.text for n in leaves(parse("a<p>b</p>c<div>d<span>e</span></div>"))] == ["a", "b", "c", "de"]
 
