@@ -174,6 +174,28 @@ class PaneIncrease(DueRows):
         return (starts, firsts, lasts, within, samples, end), frame, -(-end // 1000)
 
 
+class LastMark(DueRows):
+    """Gives each row the last mark of its key at or before its time; a mark older than ``within`` microseconds is forgotten."""
+
+    def __init__(self, by: str, pending: T.StructType, within: int | None):
+        super().__init__(by, "tie", pending, "mark string, marked_us long")
+        self.within = within
+
+    def advance(self, key, now, rows, passed):
+        rows = rows.sort_values(["at_us", "side", "tie"], kind="stable")
+        out = []
+        for at, side, body in zip(rows["at_us"].tolist(), rows["side"].tolist(), rows["body"].tolist(), strict=True):
+            if side == 0:
+                now = (body, at)
+            else:
+                out.append((key, body, now[0] if now and (self.within is None or at - now[1] <= self.within) else None))
+        frame = pd.DataFrame(out, columns=[self.by, "body", "mark"], dtype=object) if out else None
+        if now is None or self.within is None:
+            return now, frame, None
+        end = now[1] + self.within
+        return (None, frame, None) if end < passed else (now, frame, end // 1000 + 1)
+
+
 def _pending(rows: DataFrame, *held: str) -> T.StructType:
     return T.StructType([f for c in dict.fromkeys(held) for f in rows.schema.fields if f.name == c])
 
@@ -234,3 +256,39 @@ def increase_stream(
     return panes.select(
         F.timestamp_micros("start_us").alias("window_start"), F.timestamp_micros("end_us").alias("window_end"), by, "increase",
         (F.col("increase") / F.lit(float(window_seconds))).alias("rate"), "samples")
+
+
+#: Rows wait as text; times keep their microseconds.
+_AS_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def attach_latest_stream(
+    rows: DataFrame, marks: DataFrame, by: str, take: dict[str, str], ts: str = "created_at", marks_ts: str = "ts", tie: str = "id", marks_tie: str = "id",
+    delay: str = "1 minute", marks_delay: str = "1 minute", within_seconds: float | None = None,
+) -> DataFrame:
+    """Stream ``rows`` with columns of the latest of ``marks`` of their key at or before their time, each stream in any order within its delay.
+
+    The rows of ``operators.lifecycle.asof`` whose time both watermarks have passed. ``take`` maps new names to columns of
+    ``marks``; among marks of one time the largest ``marks_tie`` counts, both ties are whole numbers. Where
+    ``within_seconds`` is given, older marks do not count. State is the rows that wait and one mark per key, which
+    with a bound is forgotten after it. Nothing is multiplied: a row is never paired with more than one mark.
+    Rows without a time are left out; a NULL key matches nothing. Start it inside ``rocksdb_state``.
+    """
+    names, shapes = rows.columns, {c: rows.schema[c] for c in rows.columns}
+    mark = F.struct(*[F.col(src).alias(new) for new, src in take.items()])
+    left, right = timed(rows, ts, delay), timed(marks.filter(F.col(by).isNotNull()), marks_ts, marks_delay)
+    row_type = T.StructType([shapes[c] for c in names])
+    mark_type = right.select(mark.alias("m")).schema["m"].dataType
+
+    def side(df: DataFrame, number: int, at: str, order: str, body) -> DataFrame:
+        return df.filter(F.col(at).isNotNull()).select(
+            F.col(by), F.col(at).alias("_ts"), F.unix_micros(at).alias("at_us"), F.lit(number).alias("side"), F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("tie"),
+            F.to_json(body, {**_AS_TEXT, "ignoreNullFields": "false"}).alias("body"))
+
+    line = side(right, 0, marks_ts, marks_tie, mark).unionByName(side(left, 1, ts, tie, F.struct(*names)))
+    pending = _pending(line, "at_us", "side", "tie", "body")
+    out = T.StructType([line.schema[by], *T._parse_datatype_string("body string, mark string").fields])
+    done = line.groupBy(by).transformWithStateInPandas(
+        LastMark(by, pending, None if within_seconds is None else int(within_seconds * 1_000_000)), out, "append", "EventTime")
+    parsed = done.select(F.from_json("body", row_type, _AS_TEXT).alias("_row"), F.from_json("mark", mark_type, _AS_TEXT).alias("_last"))
+    return parsed.select("_row.*", *[F.col(f"_last.{n}").alias(n) for n in take])

@@ -16,7 +16,8 @@ from changeguard.session import scratch_dir
 from changeguard.sources.logs import read_log, stream_log
 from changeguard.streaming import monitors, stateful
 from changeguard.streaming.backfill import backfill_stream, run_available
-from changeguard.streaming.ordered import increase_stream, rate_limit_stream_ordered, rocksdb_state, throttle_stream_ordered
+from changeguard.streaming.ordered import attach_latest_stream, increase_stream, rate_limit_stream_ordered, rocksdb_state, throttle_stream_ordered
+from changeguard.streaming.paced import paced_backfill
 from suite.base import SIZE_CLASS, check, rounded
 from suite.objectives import PACE, _with_walk
 from suite.tables import BAND, TIER
@@ -303,3 +304,46 @@ def change_job_cutover_blocked(i):
     out = run_change(target, plan, _requests(i), scratch_dir(i.spark, "change"), registry=registry_from_heartbeats(i.heartbeats))
     rows = target.count()
     return out.events.select("id", "from_state", "to_state", F.lit(rows).cast("long").alias("target_rows"))
+
+
+GRANTS = f"""SELECT id, b::int AS batch_size, o AS tripped, sum(n) OVER (ORDER BY ts, id)::bigint - n AS granted_before, sum(n) OVER (ORDER BY ts, id)::bigint AS granted_after
+    FROM (SELECT id, ts, b, o, CASE WHEN o THEN 0 ELSE b // 100 END::bigint AS n FROM walk WHERE rn > 0 AND target = 3 AND epoch_us(ts) <= {PASSED})"""
+
+
+def _paced(i, folder):
+    out = scratch_dir(i.spark, folder)
+    lines = i.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") == 1, "first").alias("place"))
+    samples = shuffled_files(i, i.health_samples, files=4)
+    paced_backfill(lines, "l_orderkey", {"place": "concat('line ', l_linenumber)"}, samples, 3, out, scratch_dir(i.spark, f"{folder}-checkpoint"), PACE,
+                   delay="2 days", grain=200, grant="CASE WHEN tripped THEN 0 ELSE batch_size div 100 END")
+    return out
+
+
+@check(_with_walk(GRANTS), "health_samples scored")
+def paced_backfill_samples(i):
+    """What each health sample grants, over four micro-batches whose samples come up to two days late."""
+    return i.spark.read.parquet(f"{_paced(i, 'paced')}/samples").select("id", "batch_size", "tripped", "granted_before", "granted_after")
+
+
+@check(_with_walk(f""", granted AS ({GRANTS})
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 THEN 'first' ELSE 'line ' || l_linenumber END AS place
+    FROM (SELECT *, rank() OVER (ORDER BY l_orderkey) - 1 AS before FROM lineitem) WHERE before // 200 < (SELECT ceil(max(granted_after) / 200) FROM granted)"""), "health_samples scored")
+def paced_backfill_table(i):
+    """The rows up to the key that the samples allow, each once."""
+    return i.spark.read.parquet(f"{_paced(i, 'paced-table')}/table").select("l_orderkey", "l_linenumber", "l_partkey", "place")
+
+
+_LATE_BATCHES = "SELECT o_orderkey % 10 AS target, o_orderkey AS id, (SELECT min(ts) FROM events) + to_minutes(o_orderkey % 40000) AS ts FROM orders"
+
+
+@check(f"""SELECT b.target, b.id, h.id AS sample_id, h.dead_tuples FROM ({_LATE_BATCHES}) b ASOF LEFT JOIN health_samples h ON h.target = b.target AND h.ts <= b.ts
+    WHERE epoch_us(b.ts) <= least({PASSED}, (SELECT epoch_ms(max(ts)) - 2 * 86400000 FROM ({_LATE_BATCHES})) * 1000)""", "health_samples")
+def attach_health_stream(i):
+    """Batches and health samples as two streams, both up to two days late: the as-of join of the batch form."""
+    start = F.lit(i.table("events").agg(F.min("ts").cast("timestamp")).first()[0])
+    batches = i.table("orders").select((F.col("o_orderkey") % 10).alias("target"), F.col("o_orderkey").alias("id"), start.alias("_s")).select(
+        "target", "id", F.expr("timestampadd(MINUTE, cast(id % 40000 AS int), _s)").alias("ts"))
+    with rocksdb_state(i.spark):
+        out = finished(i, attach_latest_stream(
+            shuffled_files(i, batches), shuffled_files(i, i.health_samples), "target", {"sample_id": "id", "dead_tuples": "dead_tuples"}, "ts", delay="2 days", marks_delay="2 days"), "attached")
+    return out.select("target", "id", "sample_id", "dead_tuples")
