@@ -307,7 +307,7 @@ def change_job_cutover_blocked(i):
 
 
 GRANTS = f"""SELECT id, b::int AS batch_size, o AS tripped, sum(n) OVER (ORDER BY ts, id)::bigint - n AS granted_before, sum(n) OVER (ORDER BY ts, id)::bigint AS granted_after
-    FROM (SELECT id, ts, b, o, CASE WHEN o THEN 0 ELSE b // 100 END::bigint AS n FROM walk WHERE rn > 0 AND target = 3 AND epoch_us(ts) <= {PASSED})"""
+    FROM (SELECT id, ts, b, o, CASE WHEN o THEN 0 ELSE b // 100 END::bigint AS n FROM walk WHERE rn > 0 AND target = 3 AND epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 2 * 86400000000 FROM health_samples WHERE target = 3))"""
 
 
 def _paced(i, folder):
@@ -337,7 +337,7 @@ _LATE_BATCHES = "SELECT o_orderkey % 10 AS target, o_orderkey AS id, (SELECT min
 
 
 @check(f"""SELECT b.target, b.id, h.id AS sample_id, h.dead_tuples FROM ({_LATE_BATCHES}) b ASOF LEFT JOIN health_samples h ON h.target = b.target AND h.ts <= b.ts
-    WHERE epoch_us(b.ts) <= least({PASSED}, (SELECT epoch_ms(max(ts)) - 2 * 86400000 FROM ({_LATE_BATCHES})) * 1000)""", "health_samples")
+    WHERE epoch_us(b.ts) <= (SELECT least((SELECT max(epoch_us(ts)) FROM ({_LATE_BATCHES})), (SELECT max(epoch_us(ts)) FROM events)) // 1000 * 1000 - 2 * 86400000000)""", "health_samples")
 def attach_health_stream(i):
     """Batches and health samples as two streams, both up to two days late: the as-of join of the batch form."""
     start = F.lit(i.table("events").agg(F.min("ts").cast("timestamp")).first()[0])
