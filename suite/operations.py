@@ -14,6 +14,7 @@ from changeguard.operators.parity import drift_scan
 from changeguard.plans.lint import lint_plans
 from changeguard.plans.plan import FLOW
 from changeguard.session import scratch_dir
+from changeguard.sources.keyed import KeyedTable
 from changeguard.sources.logs import append_all, append_log, audit_summary, read_audit, read_log
 from changeguard.sources.metrics_text import read_metric_samples
 from suite.base import check, latest, rounded
@@ -160,6 +161,25 @@ def upsert_registry(i):
     return rg.upsert(cur, upd, ["migration_id", "service_name"], keep=["registered_at"])
 
 
+@check("""WITH upd AS (SELECT * FROM (SELECT l_orderkey AS id, l_extendedprice AS amount, 'U' AS status, l_shipdate::varchar AS first_seen,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_shipdate DESC) AS rn
+      FROM lineitem WHERE l_orderkey % 37 = 0 OR l_orderkey % 5 = 0) WHERE rn = 1),
+    cur AS (SELECT o_orderkey AS id, o_totalprice AS amount, o_orderstatus AS status, o_orderdate::varchar AS first_seen FROM orders WHERE o_orderkey % 5 <> 0)
+    SELECT id, CASE WHEN u.id IS NULL THEN c.amount ELSE u.amount END AS amount, coalesce(u.status, c.status) AS status, coalesce(c.first_seen, u.first_seen) AS first_seen
+    FROM cur c FULL JOIN upd u USING (id) WHERE NOT (coalesce(u.status, c.status) = 'F' AND coalesce(u.amount, c.amount) < 100000) AND id % 11 <> 4""")
+def stored_upsert_and_purge(i):
+    """A stored table: repeated update keys, kept columns, keys deleted, rows purged."""
+    o, lines = i.table("orders"), i.table("lineitem")
+    table = KeyedTable(i.spark, scratch_dir(i.spark, "keyed"), ["id"], "id long, amount double, status string, first_seen string")
+    table.create(o.filter("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS id", "o_totalprice AS amount", "o_orderstatus AS status", "cast(o_orderdate AS string) AS first_seen"), 32)
+    table.upsert(lines.filter("l_orderkey % 37 = 0 OR l_orderkey % 5 = 0").selectExpr(
+        "l_orderkey AS id", "l_extendedprice AS amount", "'U' AS status", "cast(l_shipdate AS string) AS first_seen", "l_linenumber", "l_partkey", "l_suppkey"),
+        keep=["first_seen"], order=["l_linenumber", "l_partkey", "l_suppkey", "amount", "first_seen"])
+    table.delete(o.filter("o_orderkey % 11 = 4").select(F.col("o_orderkey").alias("id")))
+    table.purge("status = 'F' AND amount < 100000")
+    return table.read()
+
+
 @check("""SELECT migration_id, count(*) AS total, count(*) FILTER (WHERE compatible) AS ready, count(*) FILTER (WHERE NOT compatible) AS not_ready,
     count(*) = count(*) FILTER (WHERE compatible) AS all_ready FROM registry GROUP BY migration_id""", "heartbeats registry")
 def service_readiness(i):
