@@ -16,6 +16,7 @@ from changeguard.session import scratch_dir
 from changeguard.sources.logs import read_log, stream_log
 from changeguard.streaming import monitors, stateful
 from changeguard.streaming.backfill import backfill_stream, run_available
+from changeguard.streaming.late import late_rows, late_rows_to
 from changeguard.streaming.ordered import attach_latest_stream, increase_stream, rate_limit_stream_ordered, rocksdb_state, throttle_stream_ordered
 from changeguard.streaming.paced import paced_backfill
 from suite.base import SIZE_CLASS, check, rounded
@@ -93,10 +94,10 @@ def rate_limit_stream(i):
     return out.select("client_id", "request_id", "allowed")
 
 
-def shuffled_files(i, rows, files=6, late_days=2):
+def shuffled_files(i, rows, files=6, late_days=2, late=None):
     """A stream over ``rows`` with one file per micro-batch: a row comes up to ``late_days`` after its time, in any order."""
     path = scratch_dir(i.spark, "shuffled")
-    came = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("id"), F.lit(late_days * 86_400_000_000))
+    came = F.unix_micros(F.col("ts").cast("timestamp")) + (F.pmod(F.xxhash64("id"), F.lit(late_days * 86_400_000_000)) if late is None else late)
     rows = rows.withColumn("came", came)
     first, last = rows.agg(F.min("came"), F.max("came")).first()
     step = (last - first) // files + 1
@@ -347,3 +348,17 @@ def attach_health_stream(i):
         out = finished(i, attach_latest_stream(
             shuffled_files(i, batches), shuffled_files(i, i.health_samples), "target", {"sample_id": "id", "dead_tuples": "dead_tuples"}, "ts", delay="2 days", marks_delay="2 days"), "attached")
     return out.select("target", "id", "sample_id", "dead_tuples")
+
+
+@check("""WITH came AS (SELECT epoch_us(ts) AS us, epoch_us(ts) + (event_id * 7919 % 172800) * 1000000 AS came FROM events),
+    dealt AS (SELECT us, (came - lo) // step AS batch FROM came, (SELECT min(came) AS lo, (max(came) - min(came)) // 6 + 1 AS step FROM came)),
+    marks AS (SELECT batch, max(max(us)) OVER (ORDER BY batch) // 1000 * 1000 - 21600000000 AS mark FROM dealt GROUP BY batch)
+    SELECT d.batch::bigint AS batch_id, count(*) AS dropped FROM dealt d JOIN marks m ON m.batch = d.batch - 2 WHERE us <= mark GROUP BY d.batch""")
+def late_row_account(i):
+    """Rows come up to two days late where six hours are allowed; a batch drops what the watermark of the batch before it had passed."""
+    rows = i.table("events").select(F.col("event_id").alias("id"), "ts")
+    stream = shuffled_files(i, rows, late=F.col("id") * 7919 % 172_800 * 1_000_000)
+    account = scratch_dir(i.spark, "late")
+    with late_rows_to(i.spark, account):
+        finished(i, monitors.dedup_stream(stream, "ts", ["id"], "6 hours"), "late-rows")
+    return late_rows(i.spark, account).select("batch_id", "dropped")
