@@ -84,6 +84,10 @@ def _regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: How cards are printed; digits in one piece must have the check digit of a card.
+_GROUPED = re.compile(r"[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{4,5})")
+
+
 def _luhn(digits: str) -> bool:
     total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -126,6 +130,8 @@ def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
             end = m.start() + len(value) - len(names[-1]) - 1
             value = value[: end - m.start()]
         return m.start(), end, kind, " ".join(_person(value)[1]).casefold()
+    if kind == "card" and not (_luhn(value) if value.isdigit() else _GROUPED.fullmatch(value)):
+        return None  # a number of another kind
     if kind in ("card", "phone", "ssn", "iban"):
         return m.start(), end, kind, re.sub(r"[^0-9A-Z+]", "", value)
     if kind == "secret" and len(set(value)) == 1 and not _drawn(value[0]):
@@ -218,17 +224,26 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
 
 
 def _script(text: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
+    """The script of a name's letters where there are names on the lists for it, else ``other``."""
+    scripts = {unicodedata.name(c, "").split(" ")[0].lower() for c in text if c.isalpha()}
+    return next(iter(scripts)) if scripts in ({"latin"}, {"cyrillic"}) else "other" if scripts else "latin"
 
 
 def named(canonical: str, gender: str, script: str, key: bytes, attempt: int) -> list[str]:
     """The parts of a person's surrogate name, as many as the name has."""
     draw = _stream(key, "name", canonical, script, str(attempt))
-    pool, family = NAMES[gender, script], SURNAMES[script]
     parts = canonical.split(" ")
+    if script == "other":  # letter by letter in the scripts of the name
+        made = ["".join(_like(c, draw) for c in p) for p in (parts[0], parts[-1])[-len(parts):]]
+        made[-1] += _more(parts[-1][-1], draw, attempt)
+        return [x[:1].upper() + x[1:] for x in made]
+    pool, family = NAMES[gender, script], SURNAMES[script]
     given = [pool[draw(len(pool))]] if len(parts) > 1 else []
     tail = "".join(_like(c, draw) for c in parts[-1][: 2 + attempt]) + _more("а" if script == "cyrillic" else "a", draw, attempt)  # names on the lists alone would soon repeat
-    return [*given, family[draw(len(family))] + tail.lower()]
+    surname = family[draw(len(family))]
+    if script == "cyrillic":  # the ending tells the gender
+        return [*given, surname[:-2] + tail.lower() + surname[-2:] + ("а" if gender == "f" else "")]
+    return [*given, surname + tail.lower()]
 
 
 def _title_gender(mention: str) -> str:

@@ -476,3 +476,28 @@ def test_question_and_answer_apart(spark, monkeypatch):
         scores.append({r.doc_id: round(r.score, 9) for r in got})
     assert scores[0] == scores[1]
     assert not contamination.contaminated(docs, tests).filter("item_id = 1 and doc_id in (0, 2)").count()
+
+
+def test_numbers_that_are_no_cards():
+    text = "order 1234567890123, paid by 4111111111111111, 4111-1111-1111-1112 or 3782 822463 10005; row 12 34 56 78 90 12 34 56"
+    assert [text[a:b] for a, b, kind, _ in pii.entities(text) if kind == "card"] == ["4111111111111111", "4111-1111-1111-1112", "3782 822463 10005"]
+    assert pii.replace("order 1234567890123", b"k", {})[0] == "order 1234567890123"
+
+
+def test_names_keep_script_and_gender(spark):
+    texts = ["Dr. Νίκος Παπαδόπουλος spoke", "Госпожа Анна Иванова, Господин Борис Петров", "Mr. Ørjan Åsen"]
+    new = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch("Dr\\. [Α-Ω][α-ω]+ [Α-Ω][α-ω]+ spoke", new[0]) and "Νίκος" not in new[0]
+    assert re.fullmatch("Госпожа (\\w+) [А-Я][а-я]+(ова|ева|ина), Господин (\\w+) [А-Я][а-я]+(ов|ев|ин)", new[1]), new[1]
+    woman, man = re.findall("(?:Госпожа|Господин) (\\w+)", new[1])
+    assert woman in pii.NAMES["f", "cyrillic"] and man in pii.NAMES["m", "cyrillic"]
+    assert new[2].split(" ")[1] in pii.NAMES["m", "latin"]
+
+
+def test_names_of_other_scripts_stay_apart(spark):
+    """Short names of a script without lists: as many surrogates as names."""
+    letters = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡ"
+    names = [f"{a}{b.lower()}" for a in letters for b in letters]
+    docs = spark.createDataFrame([(i, f"Dr. {n} here") for i, n in enumerate(names)], "doc_id long, text string")
+    new = [r.text for r in pii.surrogates(docs, "k").collect()]
+    assert len(set(new)) == len(names) and not {t.split(" ")[1] for t in new} & set(names)
