@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +19,9 @@ from changeguard.plans.plan import TERMINAL, ThrottleConfig
 from changeguard.streaming.monitors import timed
 
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
+#: Buckets that keys share state in. It names the state, so a checkpoint keeps to it.
+BUCKETS = 1024
+NEVER = np.iinfo(np.int64).max
 
 
 def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -115,6 +119,74 @@ def rate_limit_stream(
     ).withColumn(ts, F.timestamp_micros("_us")).drop("_us")
 
 
+def _bucket(key: str):
+    """Number of the bucket a key is in; NULL has one of its own, so that whole numbers of the others stay whole in pandas."""
+    return F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
+
+
+_HELD = ["migration_id", "to_state", "since", "_us", "id", "due"]
+
+
+def _newest_states(held: pd.DataFrame | None, new: pd.DataFrame | None, passed: int, wait: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(held, rows to emit) of a bucket of changes after the events ``new`` of a micro-batch, at the watermark ``passed`` in ms.
+
+    ``held`` has one row per change: its newest event (``_us``, id, to_state), the start of that state and when it is due.
+    """
+    parts = [p for p in (held, new) if p is not None and len(p)]
+    if not parts:
+        return pd.DataFrame(columns=_HELD), pd.DataFrame()
+    line = pd.concat([p[[c for c in _HELD if c in p]] for p in parts], ignore_index=True)
+    n = len(line) if new is None else len(line) - len(new)
+    key, keys = pd.factorize(line["migration_id"], use_na_sentinel=False)  # those held come first, one row each
+    state, states = pd.factorize(line["to_state"], use_na_sentinel=False)
+    rank = pd.factorize(line["id"], sort=True)[0]
+    rank[rank < 0] = len(line)
+    us = line["_us"].to_numpy().astype(np.int64)
+    touched = np.zeros(len(keys), bool)
+    touched[key[n:]] = True
+    old = np.minimum(key, n - 1) if n else key
+    live = (np.arange(len(line)) < n) | (key >= n) | (us > us[old]) | ((us == us[old]) & (rank > rank[old]))
+    at = np.flatnonzero(live)
+    at = at[np.lexsort((rank[at], us[at], at >= n, key[at]))]
+    first = np.diff(key[at], prepend=-1) != 0
+    again = ~first & (at >= n) & (np.roll(at, 1) >= n) & (np.roll(us[at], 1) == us[at]) & (np.roll(rank[at], 1) == rank[at])
+    at = at[~again]
+    first = np.diff(key[at], prepend=-1) != 0
+    is_null = pd.isna(states)[state[at]] if len(states) else np.zeros(0, bool)
+    moved = np.where(first, (at >= n) & ~is_null, state[at] != np.roll(state[at], 1))
+    since = np.where(moved, us[at], 0)
+    if n:
+        since[first & (at < n)] = held["since"].to_numpy()
+    last = np.flatnonzero(np.append(first[1:], True))
+    since = since[np.maximum.accumulate(np.where(first | moved, np.arange(len(at)), 0))[last]]
+    end = at[last]  # the newest event of each change, in the order of ``keys``
+    name = pd.Series(np.asarray(states, dtype=object)[state[end]], dtype=object)
+    done, waits = name.isin(TERMINAL).to_numpy(), (name != "Pending").to_numpy()
+    due = np.full(len(keys), NEVER)
+    if n:
+        due[:n] = held["due"].to_numpy()
+    fresh = np.maximum(np.where(done, us[end] // 1000 + 1, since // 1000 + wait), passed + 1)
+    due = np.where(touched, np.where(done | waits, fresh, NEVER), due)
+    ripe = ~touched & (due < passed)
+    due[ripe] = NEVER
+    now = pd.DataFrame({"migration_id": keys, "to_state": name, "since": since, "_us": us[end], "id": line["id"].to_numpy()[end], "due": due})
+    said = touched | (ripe & ~done)
+    out = now.loc[said, ["migration_id", "to_state", "since", "_us"]].assign(stuck=ripe[said])
+    return now[~(ripe & done)], out
+
+
 def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds") -> DataFrame:
     """Current state per change. A row per change and micro-batch with its newest
     state, and a row with ``stuck`` set when an unfinished change, not Pending,
@@ -123,39 +195,27 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
     The newest event is the one with the largest (created_at, id) of all
     micro-batches so far: events that come late do not turn a state back. A
     finished change is forgotten once the watermark has passed its last event.
+    Changes share state and Python calls by bucket, so one costs bytes and not a call.
     """
     wait = int(secs * 1000)
-    key_type, id_type = (dict(events.dtypes)[c] for c in ("migration_id", "id"))
-
-    def row(key, name, since, newest, stuck):
-        return pd.DataFrame({"migration_id": [key[0]], "state": [name], "since_us": [since], "newest_us": [newest], "stuck": [stuck]})
+    key_type = dict(events.dtypes)["migration_id"]
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            name, since, newest, newest_id = state.get
-            if name in TERMINAL:
-                state.remove()
-                return
-            state.update((name, since, newest, newest_id))
-            yield row(key, name, since, newest, True)
-            return
-        name, since, newest, newest_id = state.get if state.exists else (None, 0, None, None)
-        for to_state, at, event in _rows(batches, ["_us", "id"])[["to_state", "_us", "id"]].itertuples(index=False):
-            if newest is not None and (at, event) <= (newest, newest_id):
-                continue
-            if to_state != name:
-                name, since = to_state, int(at)
-            newest, newest_id = int(at), event.item() if hasattr(event, "item") else event
-        state.update((name, since, newest, newest_id))
-        if name in TERMINAL:
-            state.setTimeoutTimestamp(max(newest // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif name != "Pending":
-            state.setTimeoutTimestamp(max(since // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield row(key, name, since, newest, False)
+        held = _unpacked(bytes(state.get[0])) if state.exists else None
+        new = None if state.hasTimedOut else pd.concat([b[["migration_id", "to_state", "_us", "id"]] for b in batches], ignore_index=True)
+        held, out = _newest_states(held, new, state.getCurrentWatermarkMs(), wait)
+        if len(held):
+            state.update((_packed(held),))
+            due = int(held["due"].min())
+            if due < NEVER:
+                state.setTimeoutTimestamp(due)
+        else:
+            state.remove()
+        if len(out):
+            yield out.set_axis(["migration_id", "state", "since_us", "newest_us", "stuck"], axis=1)
 
     rows = timed(events, "created_at", delay).select(
-        "migration_id", "id", "to_state", "created_at", F.unix_micros("created_at").alias("_us"))
-    return rows.groupBy("migration_id").applyInPandasWithState(
-        step, f"migration_id {key_type}, state string, since_us long, newest_us long, stuck boolean",
-        f"state string, since_us long, newest_us long, newest_id {id_type}", "append", EVENT_TIME,
+        "migration_id", "id", "to_state", "created_at", F.unix_micros("created_at").alias("_us"), _bucket("migration_id").alias("_bucket"))
+    return rows.groupBy("_bucket").applyInPandasWithState(
+        step, f"migration_id {key_type}, state string, since_us long, newest_us long, stuck boolean", "held binary", "append", EVENT_TIME,
     ).select("migration_id", "state", F.timestamp_micros("since_us").alias("since"), F.timestamp_micros("newest_us").alias("newest_at"), "stuck")

@@ -93,6 +93,24 @@ def test_state_stream_flags_stuck(spark, feed, finish):
     assert ("m", "Canary", at(0), True) in got and not any(r[3] for r in got if r[0] != "m")
 
 
+def test_changes_share_state_by_bucket(spark, feed, tmp_path):
+    """More changes than buckets, the newest events first and a NULL key: no state row and no call for each change."""
+    rows = spark.range(9000).select(
+        F.col("id") * 10 + 1, F.when(F.col("id") > 0, F.col("id") + 2**60).alias("migration_id"), F.lit("Done").alias("to_state"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 50).alias("created_at")).toDF("id", "migration_id", "to_state", "created_at")
+    before = rows.withColumns({"id": F.col("id") - 1, "to_state": F.lit("Canary"), "created_at": F.col("created_at") - F.expr("interval 9 seconds")})
+    stuck = [(1, 7, "Canary", at(0)), (2, 8, "Pending", at(3000))]
+    s = feed([rows.filter("id % 3 = 0").union(before.filter("id % 3 = 0")), rows.filter("id % 3 > 0"), before.filter("id % 3 > 0"),
+              spark.createDataFrame(stuck, rows.schema)], None)
+    query = stateful.state_stream(s, 600, "30 minutes").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "o"))
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= stateful.BUCKETS + 1
+    got = spark.read.parquet(str(tmp_path / "o"))
+    newest = got.filter("not stuck").groupBy("migration_id").agg(F.max_by(F.struct("state", "since"), "newest_at").alias("x")).select("migration_id", "x.*")
+    want = as_set(rows.select("migration_id", "to_state", "created_at")) | {(7, "Canary", at(0)), (8, "Pending", at(3000))}
+    assert as_set(newest) == want and [tuple(r)[:2] for r in got.filter("stuck").collect()] == [(7, "Canary")]
+
+
 def test_dedup_stream(spark, feed, finish):
     s = feed([[("a", at(0))], [("a", at(10)), ("b", at(11))]], "k string, ts timestamp")
     assert sorted(r.k for r in finish(monitors.dedup_stream(s, "ts", ["k"], "1 minute")).collect()) == ["a", "b"]
