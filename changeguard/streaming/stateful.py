@@ -119,12 +119,12 @@ def rate_limit_stream(
     ).withColumn(ts, F.timestamp_micros("_us")).drop("_us")
 
 
-def _bucket(key: str):
+def bucket_of(key: str):
     """Number of the bucket a key is in; NULL has one of its own, so that whole numbers of the others stay whole in pandas."""
     return F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
+def packed(rows: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_pandas(rows, preserve_index=False)
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -132,8 +132,8 @@ def _packed(rows: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(packed: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(packed).read_pandas()
+def unpacked(body: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(body).read_pandas()
 
 
 _HELD = ["migration_id", "to_state", "since", "_us", "id", "due"]
@@ -201,11 +201,11 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
     key_type = dict(events.dtypes)["migration_id"]
 
     def step(key, batches, state: GroupState):
-        held = _unpacked(bytes(state.get[0])) if state.exists else None
+        held = unpacked(bytes(state.get[0])) if state.exists else None
         new = None if state.hasTimedOut else pd.concat([b[["migration_id", "to_state", "_us", "id"]] for b in batches], ignore_index=True)
         held, out = _newest_states(held, new, state.getCurrentWatermarkMs(), wait)
         if len(held):
-            state.update((_packed(held),))
+            state.update((packed(held),))
             due = int(held["due"].min())
             if due < NEVER:
                 state.setTimeoutTimestamp(due)
@@ -215,7 +215,7 @@ def state_stream(events: DataFrame, secs: float = 600, delay: str = "0 seconds")
             yield out.set_axis(["migration_id", "state", "since_us", "newest_us", "stuck"], axis=1)
 
     rows = timed(events, "created_at", delay).select(
-        "migration_id", "id", "to_state", "created_at", F.unix_micros("created_at").alias("_us"), _bucket("migration_id").alias("_bucket"))
+        "migration_id", "id", "to_state", "created_at", F.unix_micros("created_at").alias("_us"), bucket_of("migration_id").alias("_bucket"))
     return rows.groupBy("_bucket").applyInPandasWithState(
         step, f"migration_id {key_type}, state string, since_us long, newest_us long, stuck boolean", "held binary", "append", EVENT_TIME,
     ).select("migration_id", "state", F.timestamp_micros("since_us").alias("since"), F.timestamp_micros("newest_us").alias("newest_at"), "stuck")
