@@ -19,13 +19,17 @@ GRANT = "CASE WHEN tripped THEN 0 ELSE batch_size END"
 _DONE = "_done"
 
 
-def key_cuts(df: DataFrame, key: str, grain: int = GRAIN) -> DataFrame:
+def key_cuts(df: DataFrame, key: str, grain: int = GRAIN, keep: str | None = None) -> DataFrame:
     """Cuts of a key into ranges of about ``grain`` rows: grain, last_key, row_count.
 
     Rows of one key stay together: they belong to the grain in which the first of them falls, so a key with more rows
-    than a grain leaves the numbers after it out. Keys are counted before they are put in order, so a hot one is one row.
+    than a grain leaves the numbers after it out. Keys are counted before they are put in order, so a hot one is one row;
+    the counts are written to ``keep``, where given, so that ``df`` is read once.
     """
     keys = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("last_key")).agg(F.count("*").alias("_n"))
+    if keep:
+        keys.write.mode("overwrite").parquet(keep)
+        keys = df.sparkSession.read.schema(keys.schema).parquet(keep)
     ranked = scan(keys, [], ["last_key"], running={"_upto": F.col("_n")})
     grains = ranked.groupBy(F.floor((F.col("_upto") - F.col("_n")) / grain).cast("long").alias("grain"))
     return grains.agg(F.max("last_key").alias("last_key"), F.sum("_n").alias("row_count"))
@@ -35,7 +39,7 @@ def _cuts(df: DataFrame, key: str, grain: int, path: str) -> DataFrame:
     """The cuts, made once: those of a run that was stopped are made again, those of a whole one are kept."""
     folder, name = Folder(df.sparkSession, path), f"cuts-{grain}"
     if not folder.exists(f"{name}{_DONE}"):
-        key_cuts(df, key, grain).write.mode("overwrite").parquet(f"{path}/{name}")
+        key_cuts(df, key, grain, f"{path}/keys-{grain}").write.mode("overwrite").parquet(f"{path}/{name}")
         folder.put(f"{name}{_DONE}", b"")
     return df.sparkSession.read.parquet(f"{path}/{name}")
 
@@ -64,6 +68,13 @@ def paced_backfill(
     progress = f"granted long, from_key {kind}, upto_key {kind}, rows long"
 
     def write(trace: DataFrame, batch_id: int) -> None:
+        trace = trace.persist()  # read several times; the state behind it is not to be gone through again
+        try:
+            advance(trace, batch_id)
+        finally:
+            trace.unpersist()
+
+    def advance(trace: DataFrame, batch_id: int) -> None:
         before = (0, None)
         if batch_id:
             last = spark.read.schema(progress).parquet(f"{dst}/progress/batch_id={batch_id - 1}").first()

@@ -1,13 +1,17 @@
 """The backfill that health samples pace, and health samples attached to a stream."""
 
 import datetime as dt
+import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeguard.operators.lifecycle import asof
 from changeguard.plans.plan import ThrottleConfig
+from changeguard.streaming import ordered, paced
 from changeguard.streaming.backfill import run_available
 from changeguard.streaming.ordered import attach_latest_stream, rocksdb_state
 from changeguard.streaming.paced import key_cuts, paced_backfill
@@ -81,6 +85,103 @@ def test_nothing_granted_fills_nothing(spark, health, tmp_path):
     assert log.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] == 0
 
 
+def test_the_state_of_a_batch_is_gone_through_once(spark, health, tmp_path, monkeypatch):
+    seen, trace = spark.sparkContext.accumulator(0), paced.throttle_stream_ordered
+
+    def counted(*args):
+        out = trace(*args)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return out.mapInPandas(count, out.schema)
+
+    monkeypatch.setattr(paced, "throttle_stream_ordered", counted)
+    run(spark, health(samples(spark, 60).withColumn("ts", F.timestamp_seconds(F.col("id") * 60)).filter("target = 1")), tmp_path)
+    assert 0 < seen.value == spark.read.parquet(str(tmp_path / "dst/samples")).count()
+
+
+class Held:
+    """State of one key in memory, as a processor sees it."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Value()
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def getValue(self, key):
+        return self.kept[key]
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def deleteTimer(self, at):
+        assert at == self.timer
+
+
+class Value:
+    now = None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        return self.now
+
+    def update(self, value):
+        self.now = value
+
+    def clear(self):
+        self.now = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_hot_key_is_attached_in_turns(monkeypatch):
+    """20,000 rows of one key fall due at once: a turn takes a few pieces of them, and the marks are the last ones."""
+    monkeypatch.setattr(ordered, "FLUSH", 1000)
+    monkeypatch.setattr(ordered, "PIECE", 100)
+    rng, turns = random.Random(4), []
+    rows = [(1, rng.randrange(10**9), n % 2, n, f"b{n}") for n in range(20_000)]
+    names = ["k", "at_us", "side", "tie", "body"]
+    held = Held()
+    step = ordered.LastMark("k", T.StructType().add("k", "long").add("at_us", "long").add("side", "integer").add("tie", "long").add("body", "string"), None)
+    step.init(held)
+    turn = step._turn
+    monkeypatch.setattr(step, "_turn", lambda states, some, passed: (turns.append(0 if some is None else len(some)), turn(states, some, passed))[1])
+    for a in range(0, len(rows), 500):
+        step.handleInputRows((0,), iter([pd.DataFrame(rows[a : a + 500], columns=names)]), Clock(0))
+    got = []
+    for ms in (600_000, 2_000_000):
+        got += [r for out in step.handleExpiredTimer((0,), Clock(ms), None) for r in out.itertuples(index=False, name=None)]
+    want, mark = [], None
+    for k, _, side, _, body in sorted(rows, key=lambda r: r[1:4]):
+        if side == 0:
+            mark = body
+        else:
+            want.append((k, body, mark))
+    assert got == want and not held.kept
+    assert sum(turns) == 20_000 and max(turns) <= 6000
+
+
 def test_attached_marks_equal_the_batch_form(spark, tmp_path):
     at = lambda s: BASE + dt.timedelta(seconds=s, microseconds=7)
     marks = [(k, n, at(n * 13 % 400), n % 5 or None) for n in range(60) for k in (1, 2)] + [(None, 900, at(5), 1), (1, 901, at(26), 8)]

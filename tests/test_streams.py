@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeguard.operators.fold import rate_limit, throttle_trace
@@ -187,3 +188,28 @@ def test_ordered_state_goes_on_after_a_restart(spark, feed, tmp_path):
         got = run_available(ordered.throttle_stream_ordered(stream, cfg, delay="1 day"), out, point)
     names = ("target", "id", "batch_size", "throttle_ms", "tripped", "trip_count")
     assert as_set(got.select(*names)) == as_set(throttle_trace(health, cfg).select(*names))
+
+
+@pytest.mark.parametrize("kind", ["increase", "rate"])
+def test_ordered_keys_share_state_by_bucket(spark, feed, tmp_path, kind):
+    """More keys than buckets, one of them NULL, rows in any order: neither a key nor a waiting row is a state row of its own."""
+    rows = spark.range(24_000).select(
+        F.when(F.col("id") % 6000 > 0, F.col("id") % 6000 + 2**60).alias("k"), "id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 7 % 1000).alias("ts"), (F.col("id") * 31 % 97).alias("value"))
+    end = spark.createDataFrame([(5, -1, at(90_000), 1)], "k long, id long, ts timestamp, value long")
+    stream = feed([rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), end], None)
+    if kind == "increase":
+        made = ordered.increase_stream(stream, "k", window_seconds=1200, slide_seconds=600, delay="1 hour")
+        steps = rows.withColumn("w", F.explode(F.expr("transform(array(0, 1), n -> (unix_seconds(ts) div 600 - n) * 600)")))
+        last = F.lag("value").over(Window.partitionBy("k", "w").orderBy("ts", "id"))
+        grown = steps.withColumn("g", F.coalesce(F.when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last), F.lit(0)).cast("double"))
+        want = as_set(grown.groupBy("k", F.timestamp_seconds("w").alias("window_start")).agg(F.sum("g").alias("increase"), F.count("*").alias("samples")))
+        names = ("k", "window_start", "increase", "samples")
+    else:
+        made = ordered.rate_limit_stream_ordered(stream, by="k", tie="id", tokens=1, seconds=300, burst=2, idle_seconds=None, delay="1 hour")
+        names = ("k", "id", "allowed")
+        want = as_set(rate_limit(rows.select("k", "id", "ts"), by="k", tie="id", tokens=1, seconds=300, burst=2).select(*names))
+    with ordered.rocksdb_state(spark):
+        query = made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "o"))
+        query.awaitTermination()
+    assert as_set(spark.read.parquet(str(tmp_path / "o")).select(*names)) == want
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6 * (stateful.BUCKETS + 1)
