@@ -21,6 +21,8 @@ from changeguard.streaming.monitors import timed
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 #: Buckets that keys share state in. It names the state, so a checkpoint keeps to it.
 BUCKETS = 1024
+#: The bucket of the NULL key.
+NULLS = -1
 NEVER = np.iinfo(np.int64).max
 
 
@@ -121,7 +123,7 @@ def rate_limit_stream(
 
 def bucket_of(key: str):
     """Number of the bucket a key is in; NULL has one of its own, so that whole numbers of the others stay whole in pandas."""
-    return F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return F.when(F.col(key).isNull(), F.lit(NULLS).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
 
 
 def packed(rows: pd.DataFrame) -> bytes:
