@@ -40,6 +40,8 @@ _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2
 _MARKS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 #: Documents hashed at once, so that the signature work stays in the processor's cache.
 _ROWS = 256
+#: Larger Arrow batches only take memory, in the worker and in the executor that fills them.
+_BATCH_BYTES = str(4 << 20)
 
 
 def matches_for(similarity: int) -> int:
@@ -142,15 +144,22 @@ def _differences(compared: DataFrame, similarity: int) -> DataFrame:
     their intersection is h - m1 - m2 + v. So similarity asks for v >= (w1 + w2 - (100 + S) h) / (100 + S) with
     w = S s + (100 + S) m. Members similar to the hub need no pair among themselves. ``alone`` counts the differences
     that a member shares with nobody.
+
+    The smallest w that a partner may have tells how many differences a member shares at least with any partner;
+    items too far behind for that (``last``) are left out, with members and lists that have no such items.
     """
     whole = 100 + similarity
     weighed = compared.withColumn("w", similarity * F.col("s") + whole * F.col("missing")).withColumn(
         "linked", _is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
-    items = weighed.select("hub", "node", "h", "w", "d", "linked", F.explode("diff").alias("item"))
+    least = weighed.groupBy("hub").agg(F.count("*").alias("n"), F.min("w").alias("any"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("free"))
+    least = stored(least.filter("n > 1 and free is not null").drop("n"), "least")  # written, so that the join can split a hot list
+    partner = F.when(F.col("linked"), F.col("free")).otherwise(F.col("any"))
+    able = weighed.join(least, "hub").withColumn("last", F.col("d") - F.ceil((F.col("w") + partner - whole * F.col("h")) / F.lit(whole))).filter("last >= 0")
+    items = able.select("hub", "node", "h", "w", "d", "linked", "last", F.explode("diff").alias("item"))
     common = items.groupBy("hub", "item").agg(F.count("*").alias("n"), F.bool_and("linked").alias("quiet")).filter("n > 1 and not quiet")
     own = W.partitionBy("hub", "node")
     return items.join(common, ["hub", "item"]).withColumn("place", F.row_number().over(own.orderBy("n", "item"))).withColumn(
-        "alone", F.col("d") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.col("place") - 1).drop("n", "quiet")
+        "alone", F.col("d") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.col("place") - 1).filter("place <= last").drop("n", "quiet", "last")
 
 
 def _verified(pairs: DataFrame, compared: DataFrame, similarity: int) -> DataFrame:
@@ -207,8 +216,7 @@ def _repeated(profiles: DataFrame) -> DataFrame:
 
 def _grouped(df: DataFrame, doc_id: str, text: str, similarity: int) -> tuple[DataFrame, DataFrame]:
     """(documents with __key, __id, n_shingles, __class; classes with __class, label, best)."""
-    spark = df.sparkSession
-    prepare(spark)
+    prepare(df.sparkSession, _BATCH_BYTES)
     source = df.select(row_key(doc_id, text).alias("__key"), F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__body"))
     profiles = stored(source.mapInArrow(
         _profile, source.select("__key", "__id").schema.add("n_shingles", "long").add("__class", "binary").add("__tokens", T.ArrayType(T.LongType()))), "profiles")

@@ -208,6 +208,29 @@ def test_near_copies_that_all_miss_the_hub(spark, monkeypatch):
     assert written["past-hub"] <= 6 * len(texts) and written["stars"] <= 40 * len(texts)
 
 
+def test_members_that_share_too_little_post_no_differences(spark, monkeypatch):
+    """Strangers with a common passage miss the list's hub alike, which makes no pair: what is written grows with the pairs that may be."""
+    rng = random.Random(11)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(120)]
+    strangers = [passage + own(80) for _ in range(120)]
+    # Near copies of each other and of no hub, by one and by another passage, some of them at the limit.
+    turned = passage + own(80)
+    pairs = [turned[:k] + own(n) + turned[k + n :] for k, n in [(130, 1), (150, 3), (170, 7), (140, 9), (188, 12), (125, 14)]]
+    texts = [" ".join(t) for t in [*strangers[:60], *pairs, *strangers[60:], turned, [*strangers[5], "end"], strangers[9][2:]]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, keep = {}, near_dups.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == grouped_by_hand(texts)
+    assert written["compared"] >= 100 and written["differences"] <= 20 * written["compared"]
+
+
 def test_a_compared_pair_stays_linked(spark, monkeypatch):
     """Full sets decide, however few coordinates are equal: with more wanted than any pair of near copies has, stars still link."""
     base = [f"w{i}" for i in range(120)]
