@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeguard.llm.common import prepare, row_key, stored
+from changeguard.llm.common import join_hint, prepare, row_key, stored
 from changeguard.llm.components import components, joined
 from changeguard.llm.wordhash import mixed, shingle_hashes, word_hashes
 
@@ -106,7 +106,7 @@ def _postings(classes: DataFrame, similarity: int) -> DataFrame:
     posts = classes.select("node", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     own = W.partitionBy("node")
-    ranked = posts.join(common, "token").select(
+    ranked = posts.join(common.hint("merge"), "token").select(
         "node", "token", F.row_number().over(own.orderBy("n", "token")).alias("place"), F.count("*").over(own).alias("shared"))
     # The rarest COORDINATES - m + 1 are the unshared values first, then these.
     return ranked.filter(F.col("place") <= F.col("shared") - matches_for(similarity) + 1).select("node", "token", "shared")
@@ -119,14 +119,15 @@ def _compared(docs: DataFrame, classes: DataFrame, posts: DataFrame, repeated: b
     """
     lists = posts.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("s"), "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     lists = stored(lists.select("token", F.col("hub.node").alias("hub")), "hubs")  # written, so that the join can split a hot list
-    stars = posts.join(lists, "token").filter("node != hub").select("hub", "node").distinct()
+    stars = posts.join(lists.hint(join_hint(lists)), "token").filter("node != hub").select("hub", "node").distinct()
     stars = stored(stars, "stars")
+    how = join_hint(stars)
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
-    texts = classes.select("node", F.col("key").alias("__key")).join(wanted, "node").join(docs, "__key").select("node", "__body")
+    texts = classes.select("node", F.col("key").alias("__key")).join(wanted.hint(how), "node").join(docs, "__key").select("node", "__body")
     sets = texts.mapInArrow(_whole_sets, "node long, members array<bigint>")
     sets = stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
     hubs = sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_members"))
-    both = stars.join(sets, "node").join(hubs, "hub").select(
+    both = stars.hint(how).join(sets, "node").join(hubs, "hub").select(
         "hub", "node", F.size("hub_members").cast("long").alias("h"), F.size("members").cast("long").alias("s"),
         F.array_except("hub_members", "members").alias("gone"), F.array_except("members", "hub_members").alias("new"))
     out = both.select("hub", "node", "h", "s", F.size("gone").cast("long").alias("missing"), F.concat("gone", "new").alias("diff"))
@@ -158,14 +159,14 @@ def _differences(compared: DataFrame, similarity: int) -> DataFrame:
     items = able.select("hub", "node", "h", "w", "d", "linked", "last", F.explode("diff").alias("item"))
     common = items.groupBy("hub", "item").agg(F.count("*").alias("n"), F.bool_and("linked").alias("quiet")).filter("n > 1 and not quiet")
     own = W.partitionBy("hub", "node")
-    return items.join(common, ["hub", "item"]).withColumn("place", F.row_number().over(own.orderBy("n", "item"))).withColumn(
+    return items.join(common.hint("merge"), ["hub", "item"]).withColumn("place", F.row_number().over(own.orderBy("n", "item"))).withColumn(
         "alone", F.col("d") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.col("place") - 1).filter("place <= last").drop("n", "quiet", "last")
 
 
 def _verified(pairs: DataFrame, compared: DataFrame, similarity: int) -> DataFrame:
     """(a, b): the similar ones among pairs (hub, node1, node2) of members, by their differences from the hub."""
     side = lambda n: compared.select("hub", "h", F.col("node").alias(f"node{n}"), F.col("s").alias(f"s{n}"), F.col("missing").alias(f"m{n}"), F.col("diff").alias(f"diff{n}"))
-    sized = pairs.join(side(1), ["hub", "node1"]).join(side(2).drop("h"), ["hub", "node2"])
+    sized = pairs.hint(join_hint(pairs)).join(side(1), ["hub", "node1"]).join(side(2).drop("h"), ["hub", "node2"])
     common_members = F.col("h") - F.col("m1") - F.col("m2") + F.size(F.array_intersect("diff1", "diff2"))
     return sized.filter(_is_link(common_members, F.col("s1") + F.col("s2"), similarity)).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
@@ -187,23 +188,25 @@ def _past_hub(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFr
         "d1", "d2", F.col("d1") - F.col("place1"), F.col("d2") - F.col("place2"))) & ~(F.col("linked1") & F.col("linked2")) & (F.col("label1") != F.col("label2"))
     names = ("node", "w", "d", "place", "linked", "label")
     for turn in range(STARS + 1):
-        tagged = stored(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+        tagged = stored(posted.join(labels.hint(join_hint(labels)), "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
         sizes = tagged.groupBy("hub", "item", "label").agg(F.count("*").alias("n"), F.min(F.struct("linked", "alone", *names[:4])).alias("best"))
         lists = sizes.groupBy("hub", "item").agg(
             F.count("*").alias("labels"), F.bool_and("best.linked").alias("quiet"), F.max(F.struct("n", "label")).alias("major"),
             F.min(F.struct("best.*", "label")).alias("one")).filter("labels > 1 and not quiet")
         if turn:  # the best outside the largest component
-            outside = sizes.join(lists.select("hub", "item", "major"), ["hub", "item"]).filter("label != major.label")
+            outside = sizes.join(lists.select("hub", "item", "major").hint("merge"), ["hub", "item"]).filter("label != major.label")
             lists = outside.groupBy("hub", "item").agg(F.any_value("major").alias("major"), F.min(F.struct("best.*", "label")).alias("one"))
         lists = stored(lists.select("hub", "item", F.col("major.label").alias("major"), *(F.col(f"one.{c}").alias(c + "1") for c in names)), "mixed")
         if lists.isEmpty():
             break
+        lists = lists.hint(join_hint(lists))
         two = tagged.select("hub", "item", "h", *(F.col(c).alias(c + "2") for c in names))
         if turn < STARS:
             met = two.join(lists.drop("major"), ["hub", "item"]).filter(fits)
         else:
             one = tagged.join(lists.select("hub", "item", "major"), ["hub", "item"]).filter("label != major").select("hub", "item", "major", *(F.col(c).alias(c + "1") for c in names))
-            met = stored(one, "outside").join(two, ["hub", "item"]).filter(fits & ((F.col("label2") == F.col("major")) | (F.col("node1") < F.col("node2"))))
+            one = stored(one, "outside")
+            met = one.hint(join_hint(one)).join(two, ["hub", "item"]).filter(fits & ((F.col("label2") == F.col("major")) | (F.col("node1") < F.col("node2"))))
         pairs = stored(met.select("hub", "node1", "node2").distinct(), "past-hub")
         labels = joined(labels, _verified(pairs, compared, similarity))
     return labels
@@ -227,7 +230,7 @@ def _grouped(df: DataFrame, doc_id: str, text: str, similarity: int) -> tuple[Da
     compared = _compared(source.select("__key", "__body"), classes, stored(_postings(classes, similarity), "postings"), not _repeated(profiles).isEmpty())
     near = compared.filter(_is_link(F.col("h") - F.col("missing"), F.col("h") + F.col("s"), similarity))
     labels = _past_hub(compared, components(near.select(F.col("hub").alias("a"), F.col("node").alias("b"))), similarity)
-    grouped = classes.select("node", "__class", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grouped = classes.select("node", "__class", "best").join(labels.hint(join_hint(labels)), "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = grouped.groupBy("label").agg(F.min("best").alias("__best"))
     return profiles.drop("__tokens"), grouped.select("__class", "label").join(best, "label")
 

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import regex
 
-from changeguard.llm import bpe, contamination, licenses, near_dups, pii, quality_model, quality_rules, repeats, shards
+from changeguard.llm import bpe, common, components, contamination, licenses, near_dups, pii, quality_model, quality_rules, repeats, shards
 from tests.llm.data import LONG, awkward, none
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -231,6 +231,35 @@ def test_members_that_share_too_little_post_no_differences(spark, monkeypatch):
     assert written["compared"] >= 100 and written["differences"] <= 20 * written["compared"]
 
 
+def test_many_rows_are_joined_by_shuffle(spark, monkeypatch):
+    """Postings are never broadcast, whatever Spark takes their size for, and other tables of numbers only if they have few rows."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    turned = base[:150] + [f"v{i}" for i in range(50)]
+
+    def altered(w, n):
+        w = list(w)
+        for k in rng.sample(range(20, 120), n):
+            w[k] = f"x{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = [" ".join(base)] + [altered(turned, 1) for _ in range(12)] + [altered(turned, 3) for _ in range(12)] + [altered(base, 1) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, keep = collections.defaultdict(list), near_dups.stored
+
+    def planned(df, name):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    for module in (near_dups, components):
+        monkeypatch.setattr(module, "stored", planned)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == grouped_by_hand(texts)
+    names = ["postings", "stars", "labels", "tagged", "mixed", "joined"]
+    assert {n: [p for p in plans[n] if "BroadcastHashJoin" in p] for n in names} == {n: [] for n in names}
+    assert all(plans[n] for n in names)
+
+
 def test_a_compared_pair_stays_linked(spark, monkeypatch):
     """Full sets decide, however few coordinates are equal: with more wanted than any pair of near copies has, stars still link."""
     base = [f"w{i}" for i in range(120)]
