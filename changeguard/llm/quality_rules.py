@@ -87,8 +87,7 @@ def boilerplate(pages: DataFrame, min_docs: int = MIN_DOCS, host_share: float =
 def _hot_lines(pages: DataFrame, min_docs: int, host_share: float) -> DataFrame:
     """(__key, __hot): the boilerplate line hashes of every document that has any."""
     hot = stored(boilerplate(pages, min_docs, host_share), "boilerplate")
-    if hot.count() <= BROADCAST_LINES:
-        hot = F.broadcast(hot)
+    hot = hot.hint("broadcast" if hot.count() <= BROADCAST_LINES else "merge")
     held = pages.select("__key", "__host", F.explode(F.array_distinct(F.expr("transform(filter(__lines, x -> x.n > 0), x -> x.h)"))).alias("h"))
     return held.join(hot, ["__host", "h"], "left_semi").groupBy("__key").agg(F.collect_set("h").alias("__hot"))
 

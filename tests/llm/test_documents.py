@@ -260,6 +260,18 @@ def test_many_rows_are_joined_by_shuffle(spark, monkeypatch):
     assert all(plans[n] for n in names)
 
 
+def test_many_boilerplate_lines_are_joined_by_shuffle(spark, monkeypatch):
+    """Beyond its limit the table of boilerplate lines is not broadcast, small as its files may be."""
+    docs = spark.createDataFrame([(i, f"the same line\nand one of its own {chr(97 + i)}", "h") for i in range(6)], "doc_id long, text string, source string")
+    texts = []
+    for most, join in ((50_000, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", most)
+        out = quality_rules.judge(docs, min_docs=1, host_share=0.0)
+        assert f"{join} LeftSemi" in re.sub(r"\[[^]]*\], ", "", out._jdf.queryExecution().executedPlan().toString())
+        texts.append(sorted((r.doc_id, r.n_left_words) for r in out.collect()))
+    assert texts[0] == texts[1] == [(i, 6) for i in range(6)]
+
+
 def test_a_compared_pair_stays_linked(spark, monkeypatch):
     """Full sets decide, however few coordinates are equal: with more wanted than any pair of near copies has, stars still link."""
     base = [f"w{i}" for i in range(120)]
